@@ -1,8 +1,8 @@
 """N-gram Jaccard join by a prefix tree.
 
 Documents are sets of hashed word shingles. Equal sets are one class. A shuffle of compact
-blobs counts in how many classes each shingle occurs; the global order is by that count,
-then hash, so shingles of one class come first. A class whose first |x| - ceil(t|x|) + 1
+blobs counts in how many texts each shingle occurs; the global order is by that count,
+then hash, so shingles of one text come first. A class whose first |x| - ceil(t|x|) + 1
 shingles all occur nowhere else has no partner and goes. Classes that share a shingle of
 those prefixes are connected into candidate components (light rows only), and each component's
 ordered sets are stored in a path-compressed trie; a set is matched while it descends the
@@ -51,15 +51,35 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(size > 0, out, np.uint64(0)).view(np.int64)
 
 
-def pack(h: np.ndarray) -> bytes:
-    """Sorted hashes as compressed byte planes of their differences."""
-    d = np.diff(h, prepend=np.uint64(0))
+def pack(x: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes of their differences."""
+    d = np.diff(x.astype(np.uint64), prepend=np.uint64(0))
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def unpack(blob: bytes) -> np.ndarray:
+def pack_mixed(x: np.ndarray) -> bytes:
+    """Numbers in no order as compressed byte planes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def unpack_mixed(blob: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack_mixed(blob), dtype=np.uint64)
+
+
+def six(h: np.ndarray) -> bytes:
+    """48-bit numbers, 6 bytes each."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def from_six(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def classes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -80,9 +100,28 @@ def classes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
 
 
 def shared_shingles(docs: DataFrame, text_col: str, n: int, n_buckets: int) -> DataFrame:
-    """(cls, n, hashes, counts) of the shingles that occur in more than one class, in parts."""
+    """Blobs of the shingles that occur in more than one text, dealt by text: rows (part, kind, x, y, z).
+
+    kind 0: texts (x), shingles (y) and in how many texts each stands (z); kind 1: texts (x),
+    their classes (y) and set sizes (z). A text is numbered where it is read; texts of one class
+    that are read by one task count once. Here a shingle is 48 bits of its hash: within the few
+    sets that are compared that tells shingles apart, and a chance meeting of two elsewhere
+    only makes one more shingle count as shared.
+    """
+
+    def part_of(uid):
+        return (mix(uid) % np.uint64(n_buckets)).astype(np.int64)
+
+    def rows(out, names, types):
+        out = list(out)
+        for at in range(0, len(out), 64):
+            part = out[at : at + 64]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], t) for k, t in enumerate(types)], names)
 
     def deal(batches):
+        from pyspark import TaskContext
+
+        base = TaskContext.get().partitionId() << 40
         hs, idx, cls, size, seen, held = [], [], [], [], set(), 0
 
         def flush():
@@ -91,22 +130,15 @@ def shared_shingles(docs: DataFrame, text_col: str, n: int, n_buckets: int) -> D
             h, i = np.concatenate(hs), np.concatenate(idx)
             order = np.argsort(h, kind="stable")
             h, i = h[order], i[order]
-            c, s = np.array(cls, np.int64), np.array(size, np.int64)
-            to = ((h >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
+            to = (h * np.uint64(n_buckets)) >> np.uint64(48)
             cuts = np.searchsorted(to, np.arange(n_buckets + 1, dtype=np.uint64))
             for k in range(n_buckets):
-                a, b = cuts[k], cuts[k + 1]
-                if a < b:
-                    used, local = np.unique(i[a:b], return_inverse=True)
-                    local = local.astype(np.uint16 if len(used) <= 65536 else np.uint32)
-                    yield k, pack(h[a:b]), local.tobytes(), local.itemsize, c[used].tobytes(), s[used].tobytes()
-
-        def rows(out):
-            out = list(out)
-            for at in range(0, len(out), 64):
-                part = out[at : at + 64]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "h", "i", "w", "c", "s"])
+                x, y = cuts[k], cuts[k + 1]
+                if x < y:
+                    yield k, base, pack(h[x:y]), i[x:y].astype(np.uint32).tobytes() if len(cls) > 65536 else i[x:y].astype(np.uint16).tobytes(), None
+            yield int(base >> 40) % n_buckets, base, None, np.array(cls, np.int64).tobytes(), np.array(size, np.int64).tobytes()
 
+        names, types = ["bucket", "base", "h", "i", "s"], (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         for b in batches:
             for _, h, bounds in set_rows(b.column(0), n):
                 sig = signatures(h, bounds)
@@ -116,86 +148,96 @@ def shared_shingles(docs: DataFrame, text_col: str, n: int, n_buckets: int) -> D
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(sig[r])
-                    hs.append(h[lo:hi])
+                    hs.append(h[lo:hi] >> np.uint64(16))
                     idx.append(np.full(hi - lo, len(cls), np.int32))
                     cls.append(sig[r])
                     size.append(hi - lo)
                     held += hi - lo
                     if held >= CHUNK:
-                        yield from rows(flush())
+                        yield from rows(flush(), names, types)
+                        base += len(cls)
                         hs, idx, cls, size, held = [], [], [], [], 0
-        yield from rows(flush())
+        yield from rows(flush(), names, types)
+
+    names, types = ["part", "kind", "x", "y", "z"], (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+
+    def spread(kind, uid, *more):
+        to = part_of(uid)
+        order = np.lexsort((uid, to))
+        to, uid, more = to[order], uid[order], [m[order] for m in more]
+        cuts = np.searchsorted(to, np.arange(n_buckets + 1))
+        for k in range(n_buckets):
+            x, y = cuts[k], cuts[k + 1]
+            if x < y:
+                yield k, kind, pack(uid[x:y]), *(pack_mixed(m[x:y]) for m in more)
 
     def meet(batches):
         got: dict[int, list] = {}
         for b in batches:
             for r in b.to_pylist():
-                got.setdefault(r["bucket"], []).append(r)
+                if r["h"] is None:
+                    c = np.frombuffer(r["i"], np.uint64)
+                    yield from rows(spread(1, np.uint64(r["base"]) + np.arange(len(c), dtype=np.uint64), c, np.frombuffer(r["s"], np.uint64)), names, types)
+                else:
+                    got.setdefault(r["bucket"], []).append(r)
         for parts in got.values():
-            h = np.concatenate([unpack(r["h"]) for r in parts])
-            at, local = 0, []
+            hs, uids = [], []
             for r in parts:
-                i = np.frombuffer(r["i"], np.uint16 if r["w"] == 2 else np.uint32).astype(np.int64)
-                local.append(i + at)
-                at += len(r["c"]) // 8
-            i = np.concatenate(local)
-            c = np.concatenate([np.frombuffer(r["c"], np.int64) for r in parts])
-            s = np.concatenate([np.frombuffer(r["s"], np.int64) for r in parts])
+                hs.append(unpack(r["h"]))
+                width = np.uint16 if len(r["i"]) == 2 * len(hs[-1]) else np.uint32
+                uids.append(np.frombuffer(r["i"], width).astype(np.uint64) + np.uint64(r["base"]))
+            h, uid = np.concatenate(hs), np.concatenate(uids)
             order = np.argsort(h)
-            h, i = h[order], i[order]
-            same = np.zeros(len(h), bool)
-            same[1:] = h[1:] == h[:-1]
-            some = same.copy()
-            some[:-1] |= same[1:]
-            h, i = h[some], i[some]
-            if not len(h):
-                continue
-            order = np.lexsort((c[i], h))
-            h, i = h[order], i[order]
-            keep = np.ones(len(h), bool)
-            keep[1:] = (h[1:] != h[:-1]) | (c[i[1:]] != c[i[:-1]])
-            h, i = h[keep], i[keep]
+            h, uid = h[order], uid[order]
             runs = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
             count = np.repeat(np.diff(runs), np.diff(runs))
-            h, i, count = h[count > 1], i[count > 1], count[count > 1]
-            if not len(h):
-                continue
-            order = np.argsort(c[i], kind="stable")
-            h, i, count = h[order], i[order], np.minimum(count[order], 2**31 - 1).astype(np.int32)
-            at = np.flatnonzero(np.r_[True, c[i[1:]] != c[i[:-1]], True])
-            for lo in range(0, len(at) - 1, 5000):
-                cut = at[lo : lo + 5001]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[i[cut[:-1]]]), pa.array(s[i[cut[:-1]]]), pa.array([h[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([count[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())],
-                    ["cls", "n", "h", "k"],
-                )
+            some = count > 1
+            if some.any():
+                yield from rows(spread(0, uid[some], h[some], count[some].astype(np.uint64)), names, types)
 
-    dealt = docs.select(F.col(text_col).cast("string")).mapInArrow(deal, "bucket int, h binary, i binary, w int, c binary, s binary")
-    return dealt.repartition(n_buckets, "bucket").mapInArrow(meet, "cls long, n long, h binary, k binary")
+    dealt = docs.select(F.col(text_col).cast("string")).mapInArrow(deal, "bucket int, base long, h binary, i binary, s binary")
+    return dealt.repartition(n_buckets, "bucket").mapInArrow(meet, "part int, kind int, x binary, y binary, z binary")
 
 
 def prefix_length(n: int, per_cent: int) -> int:
     return n - -(-per_cent * n // 100) + 1
 
 
-def ordered_sets(parts: DataFrame, per_cent: int) -> DataFrame:
-    """(cls, n, shared, prefix): shared shingles in the global order as binary pairs (count, hash), those of the prefix."""
-    one = parts.groupBy("cls", "n").agg(F.collect_list(F.struct("h", "k")).alias("parts"))
+def ordered_sets(blobs: DataFrame, per_cent: int, n_buckets: int) -> DataFrame:
+    """(cls, n, m, h, k, prefix): m shared shingles in the global order (by count, then hash), those of the prefix.
+
+    Sets whose prefix is all of shingles that stand nowhere else are left out.
+    """
 
     def order(batches):
+        got: dict[int, list] = {0: [], 1: []}
         for b in batches:
-            out = []
-            for cls, n, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                h = np.frombuffer(b"".join(p["h"] for p in part), np.uint64)
-                k = np.frombuffer(b"".join(p["k"] for p in part), np.int32)
-                own = prefix_length(n, per_cent) - (n - len(h))
-                if own > 0:
-                    at = np.lexsort((h, k))
-                    out.append((cls, n, len(h), h[at].tobytes(), k[at].tobytes(), h[at[:own]].view(np.int64).tolist()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[x] for r in out], t) for x, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], ["cls", "n", "m", "h", "k", "prefix"])
-
-    return one.mapInArrow(order, "cls long, n long, m long, h binary, k binary, prefix array<long>")
+            for kind, *row in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                got[kind].append((unpack(row[0]), unpack_mixed(row[1]), unpack_mixed(row[2])))
+        if not got[0]:
+            return
+        uid, h, k = (np.concatenate(x) for x in zip(*got[0], strict=True))
+        known, cls, size = (np.concatenate(x) for x in zip(*got[1], strict=True))
+        at = np.lexsort((h, k, uid))
+        uid, h, k = uid[at], h[at], k[at]
+        cuts = np.flatnonzero(np.r_[True, uid[1:] != uid[:-1], True])
+        by = np.argsort(known)
+        of = by[np.searchsorted(known[by], uid[cuts[:-1]])]
+        out = []
+        for x, y, c, n in zip(cuts, cuts[1:], cls[of].view(np.int64).tolist(), size[of].tolist(), strict=False):
+            own = prefix_length(n, per_cent) - (n - int(y - x))
+            if own > 0:
+                out.append((c, n, int(y - x), six(h[x:y]), k[x:y].astype(np.int32).tobytes(), h[x : x + own].view(np.int64).tolist()))
+            if len(out) >= 500:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array([r[x] for r in out], t) for x, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], ["cls", "n", "m", "h", "k", "prefix"])
+
+    return blobs.repartition(n_buckets, "part").mapInArrow(order, "cls long, n long, m long, h binary, k binary, prefix array<long>")
 
 
 class Trie:
@@ -294,15 +336,15 @@ class Trie:
 
 def trie_edges(rows: list[tuple[int, int, bytes, bytes]], per_cent: int) -> list[tuple[int, int]]:
     """Links (cls, cls) that join all sets of the rows (cls, n, hashes, counts) that any links join."""
-    rows = sorted(rows, key=lambda r: (r[1], r[0]))
-    h = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
+    rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: (r[1], r[0]))
+    h = np.concatenate([from_six(r[2]) for r in rows])
     k = np.concatenate([np.frombuffer(r[3], np.int32) for r in rows])
     u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
     rank = np.empty(len(u), np.int64)
     rank[np.lexsort((u, k[first]))] = np.arange(len(u))
     ranks, at, mark, trie = rank[inverse], 0, np.zeros(len(u), np.uint8), Trie(per_cent)
     for r in rows:
-        m = len(r[2]) // 8
+        m = len(r[2]) // 6
         trie.add(np.sort(ranks[at : at + m]), r[1], mark)
         at += m
     return [(rows[a][0], rows[b][0]) for a, b in trie.edges]
@@ -342,12 +384,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     light = written(classes(docs, id_col, text_col, n), "classes")
     total = light.agg(F.sum("n_shingles")).first()[0] or 0
     n_buckets = max(1, -(-total // BUCKET))
-    sets = written(ordered_sets(shared_shingles(docs, text_col, n, n_buckets), per_cent), "sets")
+    sets = written(ordered_sets(shared_shingles(docs, text_col, n, n_buckets), per_cent, n_buckets), "sets")
 
     posts = sets.select("cls", F.explode("prefix").alias("token"))
     lead = posts.groupBy("token").agg(F.min("cls").alias("lead"), F.max("cls").alias("most")).where("lead < most").select("token", "lead")
     near = components(posts.join(lead, "token").select(F.col("lead").alias("a"), F.col("cls").alias("b")), "candidates")
-    near = written(near.join(sets.select("cls", "m"), near.node == F.col("cls")).select("cls", "component", "m"), "near")
+    near = written(near.join(sets.groupBy("cls").agg(F.max("m").alias("m")), near.node == F.col("cls")).select("cls", "component", "m"), "near")
     size = near.groupBy("component").agg(F.sum("m").alias("size"))
     small = near.join(size.where(F.col("size") <= TRIE), "component").select(F.col("component").alias("g"), "cls")
     links = written(_edges_of(small.join(sets, "cls"), per_cent), "links")
