@@ -1,5 +1,6 @@
 """All queries by name, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import classification, concept_queries, relational, site_queries, tree_queries  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
+
 FLAGSHIP = "knn_orbit"
