@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
+from .common import written
+
 UNIT = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s)[^\n.!?]*)*[.!?]*\s*")
 
 
@@ -60,6 +62,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     types = [to_arrow_type(f.dataType) for f in schema.fields]
     all_units = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
     first = all_units.where("id is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = written(first, "digests")  # so that both sides of the join are dealt anew and hot digests can be split
     found = all_units.join(first.select("digest", "first"), "digest", "left").where("again or (first is not null and (id is null or id > first))")
     doc = found.groupBy("id", "k").agg(F.collect_list(F.struct("unit", "start", "end", "words", "first")).alias("u"))
 
