@@ -21,8 +21,9 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from .common import written
 
-#: Words whose ids a Python worker keeps.
-KEPT = 400_000
+#: Words whose ids a Python worker keeps (some 150 bytes each); marks that end a word and are tokens of their own.
+KEPT = 1_000_000
+MARKS = b".,;:!?"
 _known: dict[str, tuple] = {}
 
 
@@ -35,17 +36,31 @@ def _encoder(path: str):
     return _known[path]
 
 
+def plain(word: bytes) -> tuple[bytes, bytes]:
+    """The word as the tokenizer sees it, A-Z lower-cased, and a mark at its end that it cuts off from letters."""
+    if b"<|" in word:  # may hold a special token's string, whose case counts
+        return word, b""
+    word = word.lower()
+    if len(word) > 1 and word[-1] in MARKS and word[:-1].decode().isalpha():
+        return word[:-1], word[-1:]
+    return word, b""
+
+
 def encode_words(path: str, words: list[bytes]) -> dict[bytes, bytes]:
     """Ids (little-endian, 32 bits) of words; the tokenizer drops white space, so words don't touch."""
     tokenizer, known = _encoder(path)
-    new = [w for w in set(words) if w not in known]
+    new = set(words).difference(known)
     if len(known) + len(new) > KEPT:
         known.clear()
-        new = list(set(words))
-    for lo in range(0, len(new), 20_000):
-        part = new[lo : lo + 20_000]
+        new = set(words)
+    parts = {w: plain(w) for w in new}
+    todo = [w for w in {x for p in parts.values() for x in p if x} if w not in known]
+    for lo in range(0, len(todo), 20_000):
+        part = todo[lo : lo + 20_000]
         got = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
         known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
+    known[b""] = b""
+    known.update((w, known[core] + known[mark]) for w, (core, mark) in parts.items())
     return known
 
 
