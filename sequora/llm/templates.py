@@ -32,12 +32,14 @@ def _hash(x: bytes) -> int:
 
 
 def parse_line(line: bytes) -> tuple[int, bytes, list[bytes]] | None:
-    """(leaf, template, tokens) of a line of enough tokens, else None; a variable token is b'*'."""
+    """(leaf, template, tokens) of a line of enough tokens, at least half of them fixed, else None; a variable token is b'*'."""
     toks = line.split()
     if len(toks) < LEAST_TOKENS:
         return None
     if DIGIT.search(line):
         toks = [b"*" if DIGIT.search(t) else t for t in toks]
+        if 2 * toks.count(b"*") > len(toks):
+            return None
     return _hash(b"%d " % len(toks) + b" ".join(toks[:LEADING])), b" ".join(toks), toks
 
 
@@ -136,13 +138,14 @@ def _clusters(rows: DataFrame, similar: float) -> DataFrame:
 def drop_templates(docs: DataFrame, text_col: str = "text", least: int = 8, share: float = 0.3, similar: float = 0.8) -> DataFrame:
     """docs with recurring lines taken out of text_col, and dropped_lines (line numbers from 0) added.
 
-    A line of at least 3 tokens goes, wherever it stands, if its template has at least `least`
+    A line of at least 3 tokens, half of them without a digit, goes, wherever it stands, if its template has at least `least`
     different surroundings, and at least `share` of the number of different texts that hold it.
     Null texts stay null; a text that loses every line is empty; equal texts lose equal lines,
     so repeated rows and null ids make no difference. All other columns stay as they are (one
     named dropped_lines is replaced). An empty table stays empty.
     """
     keys = (F.xxhash64(F.col(text_col)), F.xxhash64(F.lit(1), F.col(text_col)))
+    # a null text has the keys of its seeds: no line, nothing to drop
     texts = docs.select(keys[0].alias("k1"), keys[1].alias("k2"), F.col(text_col).cast("string").alias("text"))
     lines = written(_lines(texts), "lines")
     once = lines.select("leaf", "template", "around", "k1").distinct()
@@ -156,10 +159,12 @@ def drop_templates(docs: DataFrame, text_col: str = "text", least: int = 8, shar
     sums = of.join(pairs, "template").groupBy("cluster", "around").agg(F.sum("n").alias("n")).groupBy("cluster").agg(F.count("*").alias("arounds"), F.sum("n").alias("texts"))
     gone = of.join(sums.where((F.col("arounds") >= least) & (F.col("arounds") >= share * F.col("texts"))), "cluster").select("template").distinct()
     cut = lines.select("k1", "k2", "template", "lines").distinct().join(gone, "template").groupBy("k1", "k2").agg(F.sort_array(F.flatten(F.collect_list("lines"))).alias("_cut"))
-    rest = docs.drop(*[c for c in docs.columns if c.lower() == "dropped_lines"]).withColumns({"_k1": keys[0], "_k2": keys[1]})
-    joined = rest.join(cut, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left").drop("k1", "k2", "_k1", "_k2")
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("_cut", i)), "\n")
-    return joined.withColumns({text_col: F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(kept), "dropped_lines": F.coalesce("_cut", F.array().cast("array<int>"))}).drop("_cut")
+    rest = [c for c in docs.columns if c.lower() != "dropped_lines"]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col(text_col).cast("string").alias("_text"), keys[0].alias("k1"), keys[1].alias("k2"))
+    joined = whole.join(cut, ["k1", "k2"], "left")
+    kept = F.array_join(F.filter(F.split("_text", "\n", -1), lambda x, i: ~F.array_contains("_cut", i)), "\n")
+    text = F.when(F.col("_cut").isNull(), F.col("_text")).otherwise(kept)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in rest], F.coalesce("_cut", F.array().cast("array<int>")).alias("dropped_lines"))
 
 
 def op10_templates(spark, sf_dir: str) -> DataFrame:
