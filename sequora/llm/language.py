@@ -20,7 +20,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Longest piece in characters; probability of a letter that is no piece; words kept by a worker.
-LONGEST, FLOOR, KEPT = 9, 1e-7, 400_000
+LONGEST, FLOOR, KEPT = 9, 1e-7, 300_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 

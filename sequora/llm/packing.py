@@ -11,6 +11,7 @@ that a small table of partition histograms gives.
 from __future__ import annotations
 
 import os
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 from .common import written
 
 #: Words whose ids a Python worker keeps (some 150 bytes each); marks that end a word and are tokens of their own.
-KEPT = 1_000_000
+KEPT = 700_000
 MARKS = b".,;:!?"
 _known: dict[str, tuple] = {}
 
@@ -58,7 +59,7 @@ def encode_words(path: str, words: list[bytes]) -> dict[bytes, bytes]:
     for lo in range(0, len(todo), 20_000):
         part = todo[lo : lo + 20_000]
         got = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got, strict=True))
+        known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, got, strict=True))
     known[b""] = b""
     known.update((w, known[core] + known[mark]) for w, (core, mark) in parts.items())
     return known
