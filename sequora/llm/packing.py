@@ -23,7 +23,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 from .common import written
 
 #: Words whose ids a Python worker keeps (some 150 bytes each); marks that end a word and are tokens of their own.
-KEPT = 700_000
+KEPT = 900_000
 MARKS = b".,;:!?"
 _known: dict[str, tuple] = {}
 
@@ -51,6 +51,8 @@ def encode_words(path: str, words: list[bytes]) -> dict[bytes, bytes]:
     """Ids (little-endian, 32 bits) of words; the tokenizer drops white space, so words don't touch."""
     tokenizer, known = _encoder(path)
     new = set(words).difference(known)
+    if not new:
+        return known
     if len(known) + len(new) > KEPT:
         known.clear()
         new = set(words)
@@ -84,10 +86,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
                 words, ids = (text.as_py() or "").encode().split(), []
                 for lo in range(0, len(words), 100_000):
                     some = words[lo : lo + 100_000]
-                    try:
-                        ids.append(b"".join(map(_encoder(tokenizer_path)[1].__getitem__, some)))
-                    except KeyError:
-                        ids.append(b"".join(map(encode_words(tokenizer_path, some).__getitem__, some)))
+                    ids.append(b"".join(map(encode_words(tokenizer_path, some).__getitem__, some)))
                 ids = b"".join(chain(ids, [last]))
                 for k, at in enumerate(range(0, len(ids), 4 * most)):
                     one = ids[at : at + 4 * most]
