@@ -194,6 +194,9 @@ def identify(docs: DataFrame, train: DataFrame, vocabulary_path: str, text_col:
     schema = StructType([whole.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches):
+        from sequora.llm import packing
+
+        packing.forget()
         if key not in _workers:
             _workers.clear()
             _workers[key] = _Worker(*model.value)

@@ -47,19 +47,25 @@ def plain(word: bytes) -> tuple[bytes, bytes]:
     return word, b""
 
 
-def encode_words(path: str, words: list[bytes]) -> dict[bytes, bytes]:
+def forget() -> None:
+    """Frees what this worker keeps, for an operator that follows in it."""
+    for _, known in _known.values():
+        known.clear()
+
+
+def encode_words(path: str, words: list[bytes], keep: int = KEPT) -> dict[bytes, bytes]:
     """Ids (little-endian, 32 bits) of words; the tokenizer drops white space, so words don't touch."""
     tokenizer, known = _encoder(path)
     new = set(words).difference(known)
     if not new:
         return known
-    if len(known) + len(new) > KEPT:
+    if len(known) + len(new) > keep:
         known.clear()
         new = set(words)
     parts = {w: plain(w) for w in new}
     todo = [w for w in {x for p in parts.values() for x in p if x} if w not in known]
-    for lo in range(0, len(todo), 20_000):
-        part = todo[lo : lo + 20_000]
+    for lo in range(0, len(todo), 5_000):
+        part = todo[lo : lo + 5_000]
         got = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
         known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, got, strict=True))
     known[b""] = b""
@@ -67,7 +73,7 @@ def encode_words(path: str, words: list[bytes]) -> dict[bytes, bytes]:
     return known
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = 4096, end: int = 1) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = 4096, end: int = 1, keep: int = KEPT) -> DataFrame:
     """One row per piece: id, piece, start, length, ids (binary, unsigned little-endian 32 bits), part, rank.
 
     A text's ids (null: none) and the end id make one piece, or pieces of exactly `most` ids
@@ -86,7 +92,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
                 words, ids = (text.as_py() or "").encode().split(), []
                 for lo in range(0, len(words), 100_000):
                     some = words[lo : lo + 100_000]
-                    ids.append(b"".join(map(encode_words(tokenizer_path, some).__getitem__, some)))
+                    ids.append(b"".join(map(encode_words(tokenizer_path, some, keep).__getitem__, some)))
                 ids = b"".join(chain(ids, [last]))
                 for k, at in enumerate(range(0, len(ids), 4 * most)):
                     one = ids[at : at + 4 * most]
@@ -189,11 +195,11 @@ def packed(pieces: DataFrame, most: int = 4096, documents: int | None = None, co
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame) -> DataFrame:
+def pack_documents(docs: DataFrame, keep: int = KEPT) -> DataFrame:
     """Pieces of all documents with their places; the digest stands for the ids."""
     import public_tokenizers
 
-    pieces = tokenised(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = tokenised(docs, public_tokenizers.path("word_bpe_49k.json"), keep=keep)
     slim = written(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     return packed(slim, 4096, documents=4096, cost=4096 * 4096).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
