@@ -51,7 +51,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences of 4096 tokens."""
-    return pack_documents(docs)
+    return pack_documents(docs, keep=300_000)  # workers still hold memory of earlier stages
 
 
 STAGES = [
