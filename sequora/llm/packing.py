@@ -11,6 +11,7 @@ that a small table of partition histograms gives.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from itertools import chain
 
@@ -22,9 +23,9 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from .common import written
 
-#: Words whose ids a Python worker keeps (some 150 bytes each); marks that end a word and are tokens of their own.
-KEPT = 900_000
-MARKS = b".,;:!?"
+#: Words whose ids a Python worker keeps (some 150 bytes each); a mark that ends a word and is a token of its own (İ in lower case ends in a mark).
+KEPT = 1_200_000
+MARK = re.compile(r"[.,;:!?](?<=[^\W_İ].)(?=[ \t-\r]|\Z)")
 _known: dict[str, tuple] = {}
 
 
@@ -37,14 +38,12 @@ def _encoder(path: str):
     return _known[path]
 
 
-def plain(word: bytes) -> tuple[bytes, bytes]:
-    """The word as the tokenizer sees it, A-Z lower-cased, and a mark at its end that it cuts off from letters."""
-    if b"<|" in word:  # may hold a special token's string, whose case counts
-        return word, b""
-    word = word.lower()
-    if len(word) > 1 and word[-1] in MARKS and word[:-1].decode().isalpha():
-        return word[:-1], word[-1:]
-    return word, b""
+def words_of(text: str) -> list[bytes]:
+    """The text's words, A-Z lower-cased, and apart from them the marks that the tokenizer cuts off from letters and digits."""
+    words = MARK.sub(r" \g<0>", text).encode()
+    if b"<|" not in words:  # may hold a special token's string, whose case counts
+        words = words.lower()
+    return words.split()
 
 
 def forget() -> None:
@@ -62,14 +61,11 @@ def encode_words(path: str, words: list[bytes], keep: int = KEPT) -> dict[bytes,
     if len(known) + len(new) > keep:
         known.clear()
         new = set(words)
-    parts = {w: plain(w) for w in new}
-    todo = [w for w in {x for p in parts.values() for x in p if x} if w not in known]
+    todo = list(new)
     for lo in range(0, len(todo), 5_000):
         part = todo[lo : lo + 5_000]
         got = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
         known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, got, strict=True))
-    known[b""] = b""
-    known.update((w, known[core] + known[mark]) for w, (core, mark) in parts.items())
     return known
 
 
@@ -89,7 +85,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
         for b in batches:
             out, held = [], 0
             for key, text in zip(b.column(0), b.column(1), strict=True):
-                words, ids = (text.as_py() or "").encode().split(), []
+                words, ids = words_of(text.as_py() or ""), []
                 for lo in range(0, len(words), 100_000):
                     some = words[lo : lo + 100_000]
                     ids.append(b"".join(map(encode_words(tokenizer_path, some, keep).__getitem__, some)))
