@@ -45,14 +45,14 @@ def calls(cells: DataFrame, rules: DataFrame, taxon: str) -> DataFrame:
     """(seq, taxon, hits, rules, call): rules whose site has an allowed code; a call needs all of them."""
     r = rules.select(F.col(taxon).alias("concept"), "site", "allowed")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("code").cast("int"))
-    hit = cells.join(F.broadcast(r), "site").withColumn("hit", (F.col("allowed").bitwiseAND(bit) != 0).cast("bigint"))
+    hit = cells.join(r, "site").withColumn("hit", (F.col("allowed").bitwiseAND(bit) != 0).cast("bigint"))
     return hit.groupBy("seq", "concept").agg(F.sum("hit").alias("hits"), F.count("*").alias("rules")).withColumn("call", F.col("hits") == F.col("rules"))
 
 
 def keep_full(found: DataFrame, status: DataFrame) -> DataFrame:
     """Of several calls of a sequence, only those of fully solved taxa, if there are any. status: (concept, full)."""
     w = Window.partitionBy("seq")
-    c = found.where("call").join(F.broadcast(status), "concept").withColumns({"many": F.count("*").over(w), "any_full": F.max(F.col("full").cast("int")).over(w)})
+    c = found.where("call").join(status, "concept").withColumns({"many": F.count("*").over(w), "any_full": F.max(F.col("full").cast("int")).over(w)})
     return c.where("many = 1 or any_full = 0 or full").select("seq", "concept")
 
 
@@ -63,7 +63,7 @@ def composite(cells: DataFrame, types: DataFrame, taxon: str) -> DataFrame:
     """
     t3 = types.where("type = 3 and shared <> 0").select(F.col(taxon).alias("concept"), "site", "inside")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("code").cast("int"))
-    others = cells.join(F.broadcast(t3), "site").where((F.col(taxon).isNull() | (F.col(taxon) != F.col("concept"))) & (F.col("inside").bitwiseAND(bit) == 0))
+    others = cells.join(t3, "site").where((F.col(taxon).isNull() | (F.col(taxon) != F.col("concept"))) & (F.col("inside").bitwiseAND(bit) == 0))
     rejected = others.groupBy("concept", "site", "inside").agg(F.collect_set("seq").alias("rows"))
 
     def cover(pdf: pd.DataFrame) -> pd.DataFrame:

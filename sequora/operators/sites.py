@@ -67,7 +67,7 @@ def select_sites(cells: DataFrame, taxon: str, most: int) -> DataFrame:
     """(taxon, site, diff, rank): sites by entropy within the taxon less entropy over all, lowest first."""
     all_h = entropy(code_counts(cells, ["site"]), ["site"]).select("site", F.col("h").alias("h_all"))
     own = entropy(code_counts(cells.where(F.col(taxon).isNotNull()), [taxon, "site"]), [taxon, "site"])
-    diff = own.join(F.broadcast(all_h), "site").select(taxon, "site", F.round(F.col("h") - F.col("h_all"), 6).alias("diff"))
+    diff = own.join(all_h, "site").select(taxon, "site", F.round(F.col("h") - F.col("h_all"), 6).alias("diff"))
     return diff.withColumn("rank", F.row_number().over(Window.partitionBy(taxon).orderBy(F.asc_nulls_last("diff"), "site"))).where(F.col("rank") <= most)
 
 

@@ -1,6 +1,6 @@
 """All queries by name, and their SQL."""
 
-from . import classification, concept_queries, relational, report_queries, site_queries, tree_queries  # noqa: F401
+from . import classification, concept_queries, relational, report_queries, signal_queries, site_queries, tree_queries  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
 
 FLAGSHIP = "knn_orbit"

@@ -26,7 +26,7 @@ def _lin(spark, d):
 
 def _near(spark, d, k=3, criterion="orbit"):
     genus = _lin(spark, d).select(F.col("seq").alias("r"), "genus")
-    return N.neighbours(_dist(spark, d), k, criterion).join(F.broadcast(genus), "r")
+    return N.neighbours(_dist(spark, d), k, criterion).join(genus, "r")
 
 
 def _sup(spark, d):
@@ -102,7 +102,7 @@ def real_support(spark, d):
 
 def _cluster_pairs(spark, d):
     lab = T.alignment(spark, d, 1).select("seq", "label")
-    p = _dist(spark, d).join(F.broadcast(lab.withColumnRenamed("seq", "q")), "q").join(F.broadcast(lab.select(F.col("seq").alias("r"), F.col("label").alias("l2"))), "r")
+    p = _dist(spark, d).join(lab.withColumnRenamed("seq", "q"), "q").join(lab.select(F.col("seq").alias("r"), F.col("label").alias("l2")), "r")
     return p.where("label = l2")
 
 
@@ -201,13 +201,13 @@ def grid_supports(spark, d):
     x = weights(F.col("d4"), F.col("lo"), F.col("hi"))
     near = near.withColumns({"lo": F.min("d4").over(g), "hi": F.max("d4").over(g)})
     genus = T.lineage(a).select(F.col("seq").alias("r"), "genus").where("genus is not null")
-    sums = near.join(F.broadcast(genus), "r").groupBy("w_idx", "k", "q", "genus").agg(*[F.round(F.sum(v), 6).alias(m) for m, v in x.items()])
+    sums = near.join(genus, "r").groupBy("w_idx", "k", "q", "genus").agg(*[F.round(F.sum(v), 6).alias(m) for m, v in x.items()])
     return sums.unpivot(["w_idx", "k", "q", "genus"], ["u", "w", "d"], "mth", "s")
 
 
 def grid_confusion(spark, d):
     real = _lin(spark, d).select(F.col("seq").alias("q"), F.col("genus").alias("real"))
-    calls = N.winner(grid_supports(spark, d), [*_BY, "q"], "genus", "s").join(F.broadcast(real), "q")
+    calls = N.winner(grid_supports(spark, d), [*_BY, "q"], "genus", "s").join(real, "q")
     return M.confusion(calls, _BY)
 
 
@@ -223,7 +223,7 @@ def grid_search_f1(spark, d):
 @query("SELECT w_idx, k, mth, round(avg(-ln(least(greatest(coalesce(sm, 0), exp(-10)), 1))), 6) AS ce FROM lin CROSS JOIN (SELECT DISTINCT w_idx, k, mth FROM gs) p LEFT JOIN (SELECT *, exp(s) / sum(exp(s)) OVER (PARTITION BY w_idx, k, mth, q) AS sm FROM gs) x USING (w_idx, k, mth, genus) WHERE lin.genus IS NOT NULL AND (x.q = lin.seq) GROUP BY ALL", "cells lin")
 def grid_search_ce(spark, d):
     real = _lin(spark, d).where("genus is not null").select(F.col("seq").alias("q"), "genus")
-    s = N.softmax(grid_supports(spark, d), [*_BY, "q"], ("s",)).join(F.broadcast(real), ["q", "genus"])
+    s = N.softmax(grid_supports(spark, d), [*_BY, "q"], ("s",)).join(real, ["q", "genus"])
     return s.groupBy(*_BY).agg(F.round(F.avg(M.cross_entropy(F.col("softmax_s"))), 6).alias("ce"))
 
 

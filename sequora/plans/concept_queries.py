@@ -91,7 +91,7 @@ def confirmed(spark, d):
     c = s.select(F.col("s_suppkey").alias("seq"), F.col("s_nationkey").cast("bigint").alias("genus"), F.posexplode(v).alias("site", "code"))
     r = K.simple_rules(_supplier_types(spark, d), "genus").select("genus", "site", "own")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("code").cast("int"))
-    return c.join(F.broadcast(r), ["genus", "site"]).where(F.col("own").bitwiseAND(bit) != 0).select("seq", "genus").distinct()
+    return c.join(r, ["genus", "site"]).where(F.col("own").bitwiseAND(bit) != 0).select("seq", "genus").distinct()
 
 
 @query(f"WITH {{cells}}, {_FINE}, {_FTYP}, ru AS ({_SHARED3}) SELECT seq, ru.genus AS concept, count(*) FILTER (allowed & (1 << code) <> 0) AS hits, count(*) AS rules FROM fine JOIN ru ON fine.site = ru.site WHERE fine.genus IS NULL OR fine.genus <> ru.genus GROUP BY ALL HAVING count(*) FILTER (allowed & (1 << code) <> 0) = count(*)")
@@ -151,7 +151,7 @@ def composite_rules(spark, d):
 def distinct_values(spark, d):
     c = _fine(spark, d).where("genus is not null and code > 0").groupBy("genus", "site", "code").agg(F.count("*").alias("n"))
     t = c.groupBy("site", "code").agg(F.sum("n").alias("t"))
-    return c.join(F.broadcast(t), ["site", "code"]).select("genus", F.col("site").cast("bigint").alias("site"), F.col("code").cast("bigint").alias("code"), "n", "t", F.when(F.col("n") == F.col("t"), "distinct").otherwise("shared").alias("kind"))
+    return c.join(t, ["site", "code"]).select("genus", F.col("site").cast("bigint").alias("site"), F.col("code").cast("bigint").alias("code"), "n", "t", F.when(F.col("n") == F.col("t"), "distinct").otherwise("shared").alias("kind"))
 
 
 _ONE = "sv AS (SELECT genus, site, min(code) AS code FROM fine WHERE genus IS NOT NULL AND code > 0 GROUP BY genus, site HAVING min(code) = max(code) AND count(*) >= 3)"
@@ -195,7 +195,7 @@ def signal_scores(spark, d):
 @query(f"WITH {{cells}}, {_FINE}, {_ONE}, sg AS (SELECT fine.seq, sv.genus, count(*) FILTER (fine.code = sv.code) * 1.0 / count(*) AS signal FROM fine JOIN sv ON fine.site = sv.site GROUP BY ALL) SELECT seq, genus, signal FROM (SELECT seq, genus, round(signal, 6) AS signal, row_number() OVER (PARTITION BY seq ORDER BY round(signal, 6) DESC, genus) AS rn FROM sg) WHERE rn = 1")
 def signal_classify(spark, d):
     s = _single(spark, d).select("genus", "site", F.col("code").alias("want"))
-    c = _fine(spark, d).select("seq", "site", "code").join(F.broadcast(s), "site")
+    c = _fine(spark, d).select("seq", "site", "code").join(s, "site")
     g = c.groupBy("seq", "genus").agg(F.round(F.avg((F.col("code") == F.col("want")).cast("double")), 6).alias("signal"))
     return T.last_first(g, ["seq"], [F.desc("signal"), "genus"]).select("seq", "genus", "signal")
 
