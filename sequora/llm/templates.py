@@ -3,8 +3,10 @@
 Every line is parsed to a fixed depth: token count, then its first tokens, with variable
 fields (tokens with a digit) generalised. In a leaf, lines whose tokens agree in most places
 are one template, the other places becoming variable too. A template is dropped where it
-recurs in enough documents whose lines around it differ: copies of one document repeat their
-surroundings with their lines, so copies alone make no template recur.
+recurs in independent documents. Whole texts are judged for that: texts that hold a recurring
+line are cut into runs of words, ended by words of some hashes, and those whose sets of runs
+are alike are copies of one document (components of links, as in op8_jaccard), so copies alone
+make no template recur, and what stands beside a line makes no difference.
 
 Counting works on hashes of generalised lines. Tokens travel only for lines in leaves that
 recur (a fixed-size bitmap of leaves decides, its false positives only cost time).
@@ -20,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .jaccard import near_components
+from .words import Words, blocks, mix
 
 DIGIT = re.compile(rb"\d")
-LEADING, LEAST_TOKENS, BITS = 3, 3, 1 << 22
+LEADING, LEAST_TOKENS, BITS = 3, 3, 1 << 24
 
 
 def _hash(x: bytes) -> int:
@@ -44,37 +48,29 @@ def parse_line(line: bytes) -> tuple[int, bytes, list[bytes]] | None:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(k1, k2, leaf, template, around, lines): a row for each template of each text."""
+    """(k1, k2, leaf, template, lines): a row for each template of each text."""
 
     def run(batches):
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(5)]
             for k1, k2, text in zip(*(b.column(i) for i in range(3)), strict=True):
-                text, parsed = text.as_py(), []
-                for line in (text or "").encode().split(b"\n"):
-                    got = parse_line(line)
-                    parsed.append((got[0], _hash(got[1])) if got else None)
-                found: dict[int, list] = {}
-                for i, p in enumerate(parsed):
-                    if p:
-                        if p[1] in found:
-                            found[p[1]][2].append(i)
-                        else:
-                            near = [parsed[j] for j in (i - 1, i + 1) if 0 <= j < len(parsed) and parsed[j]]
-                            found[p[1]] = [p[0], _hash(repr([x[0] for x in near]).encode()), [i]]
-                for t, (leaf, around, at) in found.items():
-                    for col, x in zip(out, (k1.as_py(), k2.as_py(), leaf, t, around, at), strict=True):
+                found: dict[int, tuple] = {}
+                for i, line in enumerate((text.as_py() or "").encode().split(b"\n")):
+                    if got := parse_line(line):
+                        found.setdefault(_hash(got[1]), (got[0], []))[1].append(i)
+                for t, (leaf, at) in found.items():
+                    for col, x in zip(out, (k1.as_py(), k2.as_py(), leaf, t, at), strict=True):
                         col.append(x)
                 if len(out[0]) > 20_000:
                     yield _rows(out)
-                    out = [[] for _ in range(6)]
+                    out = [[] for _ in range(5)]
             if out[0]:
                 yield _rows(out)
 
     def _rows(out):
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.list_(pa.int32()))], ["k1", "k2", "leaf", "template", "around", "lines"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.list_(pa.int32()))], ["k1", "k2", "leaf", "template", "lines"])
 
-    return docs.mapInArrow(run, "k1 long, k2 long, leaf long, template long, around long, lines array<int>")
+    return docs.mapInArrow(run, "k1 long, k2 long, leaf long, template long, lines array<int>")
 
 
 def _tokens(docs: DataFrame, leaves: np.ndarray) -> DataFrame:
@@ -135,12 +131,32 @@ def _clusters(rows: DataFrame, similar: float) -> DataFrame:
     return rows.repartition("leaf").sortWithinPartitions("leaf", F.desc("texts"), "template").select("leaf", "template", "tokens").mapInArrow(run, "template long, cluster long")
 
 
-def drop_templates(docs: DataFrame, text_col: str = "text", least: int = 8, share: float = 0.3, similar: float = 0.8) -> DataFrame:
+def _runs(texts: DataFrame) -> DataFrame:
+    """(k1, runs): hashes of a text's runs of words, written as words; a word in four ends a run."""
+
+    def run(batches):
+        for b in batches:
+            for lo, hi in blocks(b.column(1)):
+                w = Words(b.column(1).slice(lo, hi - lo))
+                h, first = w.hashes(), np.zeros(len(w.starts), bool)
+                first[1:] = h[:-1] % np.uint64(4) == 0
+                first[w.first[:-1][w.first[:-1] < len(h)]] = True
+                at = np.flatnonzero(first)
+                place = np.arange(len(h)) - np.repeat(at, np.diff(np.r_[at, len(h)]))
+                runs = mix(np.add.reduceat(mix(h + mix(place.astype(np.uint64))), at)) if len(at) else h
+                bounds = np.searchsorted(at, w.first)
+                words = [f"{x:x}" for x in runs.tolist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([" ".join(words[i:j]) for i, j in zip(bounds, bounds[1:], strict=False)], pa.string())], ["k1", "runs"])
+
+    return texts.select("k1", "text").mapInArrow(run, "k1 long, runs string")
+
+
+def drop_templates(docs: DataFrame, text_col: str = "text", least: int = 2, similar: float = 0.8, alike: int = 75) -> DataFrame:
     """docs with recurring lines taken out of text_col, and dropped_lines (line numbers from 0) added.
 
-    A line of at least 3 tokens, half of them without a digit, goes, wherever it stands, if its template has at least `least`
-    different surroundings, and at least `share` of the number of different texts that hold it.
-    Null texts stay null; a text that loses every line is empty; equal texts lose equal lines,
+    A line of at least 3 tokens, half of them without a digit, goes, wherever it stands, if its template stands in at least
+    `least` independent documents. Texts that share `alike` per cent of their runs of words, and what such links join, are
+    one document. Null texts stay null; a text that loses every line is empty; equal texts lose equal lines,
     so repeated rows and null ids make no difference. All other columns stay as they are (one
     named dropped_lines is replaced). An empty table stays empty.
     """
@@ -148,16 +164,20 @@ def drop_templates(docs: DataFrame, text_col: str = "text", least: int = 8, shar
     # a null text has the keys of its seeds: no line, nothing to drop
     texts = docs.select(keys[0].alias("k1"), keys[1].alias("k2"), F.col(text_col).cast("string").alias("text"))
     lines = written(_lines(texts), "lines")
-    once = lines.select("leaf", "template", "around", "k1").distinct()
-    per = once.groupBy("leaf", "template", "around").agg(F.count("*").alias("n"))
-    leaves = per.groupBy("leaf").agg(F.count("*").alias("a")).where(F.col("a") >= least)
-    pairs = written(per.join(leaves.select("leaf"), "leaf"), "alive")
-    alive = pairs.groupBy("leaf", "template").agg(F.sum("n").alias("texts"))
-    bits = np.array([r[0] for r in pairs.select(F.pmod("leaf", F.lit(BITS)).alias("b")).distinct().toLocalIterator()], np.int64)
+    once = lines.select("leaf", "template", "k1").distinct()
+    leaves = once.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    pairs = written(once.join(leaves.select("leaf"), "leaf"), "alive")
+    alive = pairs.groupBy("leaf", "template").agg(F.count("*").alias("texts"))
+    bits = pairs.select(F.pmod("leaf", F.lit(BITS)).cast("int").alias("b")).distinct().toArrow()["b"].to_numpy()
     tokens = _tokens(texts, bits).join(alive.select("template", "texts"), "template")
     of = written(_clusters(tokens, similar), "clusters")
-    sums = of.join(pairs, "template").groupBy("cluster", "around").agg(F.sum("n").alias("n")).groupBy("cluster").agg(F.count("*").alias("arounds"), F.sum("n").alias("texts"))
-    gone = of.join(sums.where((F.col("arounds") >= least) & (F.col("arounds") >= share * F.col("texts"))), "cluster").select("template").distinct()
+    held = pairs.select("template", "k1").join(of, "template").select("cluster", "k1").distinct()
+    often = of.join(alive, "template").groupBy("cluster").agg(F.sum("texts").alias("n")).where(F.col("n") >= least)
+    held = written(held.join(often.select("cluster"), "cluster"), "held")
+    compared = texts.select("k1", "text").join(held.select("k1").distinct(), "k1", "left_semi")
+    copies = near_components(_runs(compared), "k1", "runs", 1, alike).select(F.col("id").alias("k1"), "component_id").distinct()
+    apart = held.join(copies, "k1").select("cluster", "component_id").distinct().groupBy("cluster").agg(F.count("*").alias("n"))
+    gone = of.join(apart.where(F.col("n") >= least), "cluster").select("template").distinct()
     cut = lines.select("k1", "k2", "template", "lines").distinct().join(gone, "template").groupBy("k1", "k2").agg(F.sort_array(F.flatten(F.collect_list("lines"))).alias("_cut"))
     rest = [c for c in docs.columns if c.lower() != "dropped_lines"]
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col(text_col).cast("string").alias("_text"), keys[0].alias("k1"), keys[1].alias("k2"))

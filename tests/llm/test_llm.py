@@ -351,3 +351,20 @@ def test_templates(spark, odd, none):
         assert got[i].text == "\n".join([lines[0], lines[2], lines[4]]) and got[i].dropped_lines == [1, 3]
     assert all(got[100 + i].text == copy for i in range(30)) and got[200].text is None and got[201].text == ""
     assert templates.drop_templates(odd).count() == len(odd_rows()) and templates.drop_templates(none).count() == 0
+
+
+def test_templates_independent_documents(spark):
+    """Blank lines, inner lines of a block and lines of few documents count; near copies are one document."""
+    rnd = random.Random(8)
+    own = lambda k: " ".join("".join(rnd.choices("abcdefghij", k=7)) for _ in range(k))
+    block = [own(5) for _ in range(4)]
+    docs = [(i, "\n\n".join([own(30), "read more about us here", own(25)])) for i in range(12)]
+    docs += [(20 + i, "\n".join([own(30), *block, own(25)])) for i in range(9)]
+    docs += [(40 + i, "\n".join([own(30), "seen in two documents only", own(25)])) for i in range(2)]
+    page = [own(40) for _ in range(5)]
+    docs += [(60 + i, "\n".join([*page[: i % 5], page[i % 5] + " " + own(1), *page[i % 5 + 1 :]])) for i in range(10)]
+    got = {r.doc_id: r.dropped_lines for r in templates.drop_templates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert all(got[i] == [2] for i in range(12))
+    assert all(got[20 + i] == [1, 2, 3, 4] for i in range(9))
+    assert got[40] == got[41] == [1]
+    assert all(got[60 + i] == [] for i in range(10))
