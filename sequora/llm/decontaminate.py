@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame functions only.
 
-Only a window that shares a word shingle with an item can be similar to it, so windows of an
-item's size are laid where a shingle of that item stands in a document. Windows and items get
+A window can only be similar to an item if enough of its places hold a word shingle of that
+item, so windows of an item's size are laid at all starts, in steps of one word, where the
+number of such places can reach the threshold, whatever their order. Windows and items get
 64-bit SimHash fingerprints of their words; fingerprints within the Hamming radius r agree in
 at least one of r + 1 blocks, by which they are joined. Pairs within the radius are verified
 by exact similarity of their shingles, weighted by how often each occurs.
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import GAP, written
 
-#: Hamming radius of 64 bits. Anchors (shingle, size, place) that are broadcast: 28 bytes each.
+#: Hamming radius of 64 bits. Anchors (item, size, shingle) that are broadcast: 28 bytes each.
 RADIUS, BROADCAST = 11, 200_000
 WHITE = " \t\n\x0b\f\r"
 
@@ -48,6 +49,21 @@ def numbered(shingles: str) -> Column:
     return F.transform(shingles, lambda x, i: F.xxhash64(x, i + 1 - F.array_position(shingles, x)))
 
 
+def starts_of(places: str, size: str, total: str, n: int, per_cent: int) -> Column:
+    """Starts of the windows that hold enough of the sorted places for per_cent; total: words of the text."""
+    own = F.least(F.col(size), F.col(total)) - (n - 1)
+    need = F.ceil(per_cent * (F.col(size) - (n - 1) + own) / (100 + per_cent)).cast("int")
+    last = F.greatest(F.lit(0), F.col(total) - F.col(size))
+
+    def run(x, j):
+        # x is the first place within: starts after the place before it, and late enough to hold the last one needed
+        lo = F.greatest(F.lit(0), F.coalesce(F.get(places, j - 1) + 1, F.lit(0)), F.get(places, j + need - 1) - own + 1)
+        hi = F.least(x, last)
+        return F.when(F.get(places, j + need - 1).isNotNull() & (lo <= hi), F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(places, run))
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", n: int = 5, per_cent: int = 75, radius: int = RADIUS) -> DataFrame:
     """(id, item, start, n_words, similarity): documents with a window like an item, its best window by first word.
 
@@ -58,8 +74,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     Either table empty: no rows.
     """
     it = items.select(F.col(item_col).alias("item"), words_of(F.col(item_text).cast("string")).alias("iw")).where(F.size("iw") >= n)
-    it = written(it.withColumn("size", F.size("iw")).withColumn("ish", F.sort_array(shingles_of("iw", n))).withColumn("ifinger", fingerprint("iw")).withColumn("iset", numbered("ish")), "items")
-    anchors = written(it.select("size", F.posexplode(shingles_of("iw", n)).alias("place", "shingle")).distinct(), "anchors")
+    it = written(it.withColumn("size", F.size("iw")).withColumn("ik", F.xxhash64("iw")).withColumn("ish", F.sort_array(shingles_of("iw", n))).withColumn("ifinger", fingerprint("iw")).withColumn("iset", numbered("ish")), "items")
+    anchors = written(it.select("ik", "size", F.explode("ish").alias("shingle")).distinct(), "anchors")
     if anchors.count() <= BROADCAST:
         anchors = F.broadcast(anchors)
 
@@ -67,8 +83,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     cut = rows.select(F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), F.col("text")).alias("k2"), words_of(F.col("text")).alias("w"))
     # the outer form: the inner one would have the optimiser repeat the split below it for each element
     places = cut.select("k1", "k2", F.size("w").alias("n"), shingles_of("w", n).alias("sh")).select("k1", "k2", "n", F.posexplode_outer("sh").alias("pos", "shingle"))
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("place"), F.col("n") - F.col("size")))
-    at = written(places.join(anchors, "shingle").select("k1", "k2", "size", start.alias("start")).distinct(), "windows")
+    hits = places.join(anchors, "shingle").groupBy("k1", "k2", "ik", "size", "n").agg(F.sort_array(F.collect_list("pos")).alias("hits"))
+    at = written(hits.select("k1", "k2", "size", F.explode(starts_of("hits", "size", "n", n, per_cent)).alias("start")).distinct(), "windows")
 
     by_text = at.groupBy("k1", "k2").agg(F.collect_list(F.struct("size", "start")).alias("windows"))
     texts = rows.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), F.col("text"))})

@@ -258,6 +258,16 @@ def test_leaks_table(spark):
     assert want and want <= {(r.doc_id, r.item_id) for r in decontaminate.op6_decontaminate(spark, D).collect()}
 
 
+def test_leaks_reordered(spark):
+    """Parts of an item in another order are found at starts that no shingle of the item is aligned with."""
+    rnd = random.Random(9)
+    own = lambda k: [f"u{rnd.randrange(10**6)}" for _ in range(k)]
+    items = [[f"v{i}_{k}" for k in range(n)] for i, n in enumerate((60, 75, 90))]
+    docs = [(100 * i + k, " ".join([*own(20), *w[k:], *w[:k], *own(20)])) for i, w in enumerate(items) for k in (9, len(w) // 2)]
+    got = {(r.id, r.item, r.start) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")).collect()}
+    assert got == {(d, d // 100, 20) for d, _ in docs}
+
+
 def check_places(rows, most=4096):
     by = {}
     for r in rows:
