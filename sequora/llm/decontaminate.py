@@ -4,8 +4,10 @@ A window can only be similar to an item if enough of its places hold a word shin
 item, so windows of an item's size are laid at all starts, in steps of one word, where the
 number of such places can reach the threshold, whatever their order. Windows and items get
 64-bit SimHash fingerprints of their words; fingerprints within the Hamming radius r agree in
-at least one of r + 1 blocks, by which they are joined. Pairs within the radius are verified
-by exact similarity of their shingles, weighted by how often each occurs.
+at least one of r + 1 blocks, by which they are joined. Fingerprints can lie farther apart
+than r for a window that is similar all the same, so a window is also paired with the items
+whose shingles it was laid for; these pairs miss nothing. All pairs are verified by exact
+similarity of their shingles, weighted by how often each occurs.
 """
 
 from __future__ import annotations
@@ -84,17 +86,20 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     # the outer form: the inner one would have the optimiser repeat the split below it for each element
     places = cut.select("k1", "k2", F.size("w").alias("n"), shingles_of("w", n).alias("sh")).select("k1", "k2", "n", F.posexplode_outer("sh").alias("pos", "shingle"))
     hits = places.join(anchors, "shingle").groupBy("k1", "k2", "ik", "size", "n").agg(F.sort_array(F.collect_list("pos")).alias("hits"))
-    at = written(hits.select("k1", "k2", "size", F.explode(starts_of("hits", "size", "n", n, per_cent)).alias("start")).distinct(), "windows")
+    laid = hits.select("k1", "k2", "ik", "size", F.explode(starts_of("hits", "size", "n", n, per_cent)).alias("start"))
+    at = written(laid.groupBy("k1", "k2", "size", "start").agg(F.collect_set("ik").alias("iks")), "windows")
 
-    by_text = at.groupBy("k1", "k2").agg(F.collect_list(F.struct("size", "start")).alias("windows"))
+    by_text = at.groupBy("k1", "k2").agg(F.collect_list(F.struct("size", "start", "iks")).alias("windows"))
     texts = rows.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), F.col("text"))})
     held = texts.join(by_text, ["k1", "k2"]).select("id", words_of(F.col("text")).alias("w"), "windows")
-    wins = held.select("id", F.explode_outer(F.transform("windows", lambda x: F.struct(x["size"].alias("size"), x["start"].alias("start"), F.slice("w", x["start"] + 1, x["size"]).alias("w")))).alias("x")).select("id", "x.*")
+    wins = held.select("id", F.explode_outer(F.transform("windows", lambda x: F.struct(x["size"].alias("size"), x["start"].alias("start"), x["iks"].alias("iks"), F.slice("w", x["start"] + 1, x["size"]).alias("w")))).alias("x")).select("id", "x.*")
     wins = wins.withColumn("finger", fingerprint("w")).withColumn("sh", F.sort_array(shingles_of("w", n)))
-    wins = written(wins.select("id", "size", "start", "finger", numbered("sh").alias("set")), "fingers")
+    wins = written(wins.select("id", "size", "start", "finger", "iks", numbered("sh").alias("set")), "fingers")
     w = wins.withColumn("b", F.explode(block_keys("finger", radius))).select("*", "b.block", "b.value").drop("b")
     i = it.select("item", "size", "ifinger", "iset").withColumn("b", F.explode(block_keys("ifinger", radius))).select("*", "b.block", "b.value").drop("b")
     near = w.join(i, ["size", "block", "value"]).where(F.bit_count(F.col("finger").bitwiseXOR(F.col("ifinger"))) <= radius)
+    laid_for = wins.withColumn("ik", F.explode("iks")).join(it.select("item", "ik", "iset"), "ik")
+    near = near.select("id", "item", "start", "size", "set", "iset").union(laid_for.select("id", "item", "start", "size", "set", "iset"))
     near = near.withColumn("both", F.size(F.array_intersect("set", "iset"))).withColumn("any", F.size("set") + F.size("iset") - F.col("both")).where(100 * F.col("both") >= per_cent * F.col("any"))
     best = near.groupBy("id", "item").agg(F.max(F.struct((F.col("both") / F.col("any")).alias("similarity"), (-F.col("start")).alias("s"), "size")).alias("m"))
     return best.select("id", "item", (-F.col("m.s")).alias("start"), F.col("m.size").alias("n_words"), F.col("m.similarity").alias("similarity"))

@@ -268,6 +268,28 @@ def test_leaks_reordered(spark):
     assert got == {(d, d // 100, 20) for d, _ in docs}
 
 
+def test_leaks_beyond_radius(spark):
+    """All documents and best windows of a brute-force search in steps of one word, near the threshold too."""
+    rnd = random.Random(10)
+    own = lambda k: [f"u{rnd.randrange(10**6)}" for _ in range(k)]
+    items = [(i, [f"v{i}_{k}" for k in range(n)] if i % 2 else [f"w{rnd.randrange(12)}" for _ in range(n)]) for i, n in enumerate((20, 31, 44, 60))]
+    docs = []
+    for i, w in items:
+        for cut in range(1, 6):
+            docs += [[*own(9), *w[: len(w) - cut], *own(9)], [*own(7), *w[cut:], *own(9)], w[cut:], [*own(5), *w[: len(w) // 2], *own(cut), *w[len(w) // 2 :], *own(3)]]
+    want = {}
+    for d, w in enumerate(docs):
+        for i, x in items:
+            for a in range(max(1, len(w) - len(x) + 1)):
+                p, q = (Counter(tuple(y[k : k + 5]) for k in range(len(y) - 4)) for y in (w[a : a + len(x)], x))
+                both, either = (p & q).total(), (p | q).total()
+                if 100 * both >= 75 * either:
+                    want[d, i] = max(want.get((d, i), (0, 0)), (both / either, -a))
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(docs)], "doc_id bigint, text string")
+    got = decontaminate.leaks(d, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")).collect()
+    assert {(r.id, r.item): (r.similarity, -r.start) for r in got} == want and len(want) > 40
+
+
 def check_places(rows, most=4096):
     by = {}
     for r in rows:
