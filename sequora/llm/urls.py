@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 #: Symbols of the models: letters, 0 for any digit, marks; ~ stands for all else.
 ALPHABET, BASE = "abcdefghijklmnopqrstuvwxyz0/.-_?=&%:#+~", 40
-#: Labelled URLs that the models are fitted on, on average.
-SAMPLE = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -81,7 +79,7 @@ def log_ratio(counts: dict[str, dict[int, int]]) -> list[float]:
     return [math.log(a) - math.log(b) for a, b in zip(*tables, strict=True)]
 
 
-def judged(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", sample: int = SAMPLE) -> DataFrame:
+def judged(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url") -> DataFrame:
     """pages with host, path, rule, score (log-likelihood difference per character) and verdict added (columns of these names are replaced).
 
     The rule's verdict holds where there is one; else `allow` if the score reaches the
@@ -96,11 +94,9 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url",
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "_ruled": verdict, "_codes": symbols(F.concat("host", "path"))}).withColumn("_numbers", _number("_codes"))
 
-    labelled = rows.where("_ruled is not null")
-    n = labelled.select("_ruled").count()
-    picked = labelled.where(F.pmod(F.xxhash64("host", "path"), F.lit(2**30)) <= int(2**30 * min(1.0, sample / max(n, 1)))).select("_ruled", "_numbers")
+    labelled = rows.where("_ruled is not null").select("_ruled", "_numbers")
     counts: dict[str, dict[int, int]] = {}
-    for r in picked.select("_ruled", F.explode_outer("_numbers").alias("k")).where("k is not null").groupBy("_ruled", "k").count().collect():
+    for r in labelled.select("_ruled", F.explode_outer("_numbers").alias("k")).where("k is not null").groupBy("_ruled", "k").count().collect():
         counts.setdefault(r[0], {})[r[1]] = r[2]
     table = F.split(F.lit(" ".join(f"{x:.6f}" for x in log_ratio(counts))), " ").cast("array<double>")
 
@@ -109,7 +105,7 @@ def judged(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url",
 
     limit = None
     if len(counts) == 2:
-        seen = {r[0]: (r[1], r[2] or 0.0) for r in picked.groupBy("_ruled").agg(F.avg(score("_numbers")), F.stddev_pop(score("_numbers"))).collect()}
+        seen = {r[0]: (r[1], r[2] or 0.0) for r in labelled.groupBy("_ruled").agg(F.avg(score("_numbers")), F.stddev_pop(score("_numbers"))).collect()}
         (a, sa), (b, sb) = seen["allow"], seen["block"]
         limit = (a * sb + b * sa) / (sa + sb) if sa + sb else (a + b) / 2
     own = F.lit("allow") if limit is None else F.when(F.col("score") >= limit, F.lit("allow")).otherwise(F.lit("block"))

@@ -207,6 +207,21 @@ def test_urls_learn(spark):
     assert sum(got[u] == ("block" if "casino" in u else "allow") for (u,) in new) >= 36
 
 
+def test_urls_learn_from_all(spark):
+    """Every labelled URL counts, those of a rare class too."""
+    good, bad = [f"news{i}.com/a/{i}" for i in range(60_000)], [f"casino{i}.net/es/b{i}" for i in range(5)]
+
+    def numbers(u):
+        c = [0, 0, *(urls.ALPHABET.index("0" if x.isdigit() else x) + 1 for x in u)]
+        return [(c[k - 2] * urls.BASE + c[k - 1]) * urls.BASE + c[k] for k in range(2, len(c))]
+
+    table = urls.log_ratio({k: Counter(n for u in v for n in numbers(u)) for k, v in (("allow", good), ("block", bad))})
+    new = [f"casino{i}.org/b{i}" for i in range(4)]
+    df = spark.createDataFrame([("http://" + u,) for u in [*good, *bad, *new]], "url string")
+    got = {r.url[7:]: r.score for r in urls.judged(df, urls.RULES).where("rule is null").collect()}
+    assert got == {u: pytest.approx(sum(table[n] for n in numbers(u)) / len(u), abs=1e-5) for u in new}
+
+
 def test_language_forward():
     """The forward sum equals the sum over all segmentations."""
     pieces = ["▁", "▁a", "a", "b", "ab", "ba"]
