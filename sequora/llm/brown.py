@@ -1,28 +1,36 @@
 """Scores of texts by a class-based bigram model (Brown et al., 1992).
 
-Exchange clustering on the driver assigns the most frequent words (a bounded number) to
-classes, from bigram counts over the whole training corpus; every other word belongs to a
-class of its last two bytes, and the end of a text is a class. A text's log probability is the
-sum of class-transition and word-emission log probabilities, both with added-one smoothing.
-
-Counts of all words stay in a table. Frequent words (again a bounded number) are looked up in
-a broadcast of that size; all others are joined by shuffle, which no frequent word can skew.
+Exchange clustering gives every word of the training corpus a class. An exact sequential exchange
+seeds the classes with the most frequent words; then frequent words (a bounded number, the broadcast)
+move in parallel rounds, half of them at a time, to the class that raises the likelihood most against
+the class counts of the round, their own counts left out; last, all other words choose in the same way,
+in a shuffle by word. The number of classes is the cube root of the vocabulary, so that it grows with
+the corpus. What conditions the next word is the class of a frequent word, and for other words their last
+two bytes (one of SHAPES), which needs no look-up. An unseen word belongs to the class in which most
+words of its shape are.
+
+A text's log probability is the sum of class-transition and word-emission log probabilities, both with
+added-one smoothing. Counts and classes of all words stay in a table; words that are not in the broadcast are
+looked up by a shuffle join, which no frequent word can skew.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from .common import written
 from .words import Words, blocks, mix
 
-#: Words that are clustered, their classes, classes of other words, words of the broadcast.
-CLUSTERED, CLASSES, SHAPES, HOT = 600, 40, 64, 200_000
+#: Words of the broadcast, words that the sequential exchange seeds, shapes, rounds of parallel exchange.
+HOT, SEEDS, SHAPES, ROUNDS = 60_000, 600, 64, 4
 END = 0  # the hash that stands for the end of a text
+ALPHA = 0.5  # added to class counts while words choose
 
 
 def tokens(texts: pa.Array):
@@ -40,6 +48,36 @@ def tokens(texts: pa.Array):
         yield lo, np.repeat(np.arange(hi - lo), np.diff(bounds)), h.view(np.int64), shape, bounds
 
 
+class Sums:
+    """Counts by 64-bit key, merged when many are held and given out when too many are different."""
+
+    def __init__(self, names: list[str], most: int = 3_000_000):
+        self.names, self.most, self.held, self.size = names, most, [], 0
+
+    def _merged(self):
+        keys = np.concatenate([x[0] for x in self.held])
+        u, inverse = np.unique(keys, return_inverse=True)
+        return u, np.bincount(inverse, np.concatenate([x[1] for x in self.held]), len(u)).astype(np.int64)
+
+    def add(self, keys: np.ndarray):
+        u, n = np.unique(keys, return_counts=True)
+        self.held.append((u, n.astype(np.int64)))
+        self.size += len(u)
+        if self.size > self.most:
+            one = self._merged()
+            self.held, self.size = ([], 0) if len(one[0]) > self.most // 3 else ([one], len(one[0]))
+            if not self.held:
+                yield from self._rows(*one)
+
+    def rest(self):
+        if self.held:
+            yield from self._rows(*self._merged())
+
+    def _rows(self, *columns):
+        for lo in range(0, len(columns[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in columns], self.names)
+
+
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(word, shape, n) of all tokens."""
 
@@ -72,35 +110,54 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "word long, shape long, n long").groupBy("word").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
 
 
-def class_counts(docs: DataFrame, text_col: str, words: np.ndarray) -> np.ndarray:
-    """Counts of symbol pairs: clustered words by index, then shapes, then the end."""
-    size = len(words) + SHAPES + 1
+def numbers_of(h: np.ndarray, shape: np.ndarray, words: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """A frequent word's number, len(words) + shape of another word, len(words) + SHAPES for the end."""
+    if not len(words):
+        return shape
+    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+    return np.where((words[at] == h) & (shape < SHAPES), order[at], len(words) + shape)
+
+
+def encoded(train: DataFrame, text_col: str, words: np.ndarray) -> DataFrame:
+    """(ids): numbers of the tokens of a block of texts, 16 bits each, so that no round hashes words again."""
     order = np.argsort(words)
-    known = docs.sparkSession.sparkContext.broadcast((words[order], order))
+    sent = train.sparkSession.sparkContext.broadcast((words[order], order))
+
+    def run(batches):
+        for b in batches:
+            for _, _, h, shape, _ in tokens(b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array([numbers_of(h, shape, *sent.value).astype("<u2").tobytes()], pa.binary())], ["ids"])
+
+    return train.select(F.col(text_col).cast("string")).mapInArrow(run, "ids binary")
+
+
+def _before(s: np.ndarray, start: int) -> np.ndarray:
+    out = np.empty_like(s)
+    out[1:], out[:1] = s[:-1], start
+    return out
+
+
+def pair_counts(ids: DataFrame, symbol: np.ndarray, size: int) -> np.ndarray:
+    """Counts [size, size] of neighbours, symbol giving each number's symbol, the last of which is the end (which starts every text too)."""
+    sent = ids.sparkSession.sparkContext.broadcast(symbol)
 
     def run(batches):
         total = np.zeros(size * size, np.int64)
         for b in batches:
-            for _, _, h, shape, bounds in tokens(b.column(0)):
-                s = symbols(h, shape, *known.value)
-                before = np.empty_like(s)
-                before[1:] = s[:-1]
-                before[bounds[:-1]] = size - 1
-                total += np.bincount(before * size + s, minlength=size * size)
+            for blob in b.column(0):
+                s = sent.value[np.frombuffer(blob.as_py(), "<u2")]
+                total += np.bincount(_before(s, size - 1) * size + s, minlength=size * size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
-    got = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size * size, np.int64)
-    out[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return out.reshape(size, size)
+    return _matrix(ids.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), size, size)
 
 
-def symbols(h: np.ndarray, shape: np.ndarray, words: np.ndarray, order: np.ndarray) -> np.ndarray:
-    if not len(words):
-        return shape
-    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-    return np.where(words[at] == h, order[at], len(words) + shape)
+def _matrix(rows: DataFrame, n: int, m: int) -> np.ndarray:
+    """rows (pair, n), at most n * m of them, as a matrix."""
+    got, out = rows.toPandas(), np.zeros(n * m)
+    out[got["pair"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return out.reshape(n, m)
 
 
 def _xlogx(x):
@@ -149,7 +206,183 @@ def exchange(pairs: np.ndarray, n_words: int, n_classes: int, rounds: int = 3) -
     return of
 
 
-def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def n_classes_of(vocabulary: int) -> int:
+    """The cube root of the number of words, 2 at least: transitions then number its power of two thirds."""
+    return max(2, int(np.ceil(vocabulary ** (1 / 3))))
+
+
+def best_class(left: np.ndarray, right: np.ndarray | None, own: np.ndarray, counts: np.ndarray, n_classes: int) -> np.ndarray:
+    """The class that gains most likelihood by each word, from counts of symbols before (left) and after (right) it.
+
+    counts: neighbours by symbol, its first n_classes rows and columns being classes. own: the word's class, whose counts
+    are taken without it, or -1. Ties go to the least class.
+    """
+    m = len(counts)
+    into, out = counts[:, :n_classes], counts[:n_classes]
+
+    def logs(x, total):
+        return np.log((np.maximum(x, 0) + ALPHA) / (np.maximum(total, 0) + ALPHA * m))
+
+    score = left @ logs(into, into.sum(0))
+    if right is not None:
+        score += right @ logs(out, out.sum(1, keepdims=True)).T
+    at = np.flatnonzero(own >= 0)
+    if len(at):
+        c = own[at]
+        x = left[at]
+        mine = (x * logs(into.T[c] - x, (into.sum(0)[c] - x.sum(1))[:, None])).sum(1)
+        if right is not None:
+            x = right[at]
+            mine += (x * logs(out[c] - x, (out.sum(1)[c] - x.sum(1))[:, None])).sum(1)
+        score[at, c] = mine
+    return score.argmax(1)
+
+
+def _round(ids: DataFrame, symbol: np.ndarray, of: np.ndarray, n_hot: int, n_classes: int) -> np.ndarray:
+    """Classes that the frequent words choose against the counts of one pass over the corpus."""
+    size, spark = n_classes + SHAPES + 1, ids.sparkSession
+    sent = spark.sparkContext.broadcast(symbol)
+
+    def count(batches):
+        sums, total = Sums(["key", "n"]), np.zeros(size * size, np.int64)
+        for b in batches:
+            for blob in b.column(0):
+                i = np.frombuffer(blob.as_py(), "<u2").astype(np.int64)
+                s = sent.value[i]
+                before = _before(s, size - 1)
+                total += np.bincount(before * size + s, minlength=size * size)
+                here = np.flatnonzero(i < n_hot)  # the last token is an end, so each has one after it
+                yield from sums.add(np.concatenate([i[here] * size + before[here], (n_hot + i[here]) * size + s[np.minimum(here + 1, len(s) - 1)]]))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at + 2 * n_hot * size), pa.array(total[at])], ["key", "n"])
+        yield from sums.rest()
+
+    found = written(ids.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "neighbours")
+    counts = _matrix(found.where(F.col("key") >= 2 * n_hot * size).select((F.col("key") - 2 * n_hot * size).alias("pair"), "n"), size, size)
+    frozen = spark.sparkContext.broadcast((counts, of))
+
+    def choose(batches):
+        counts, of = frozen.value
+        for w, s, n in grouped(batches):
+            word = (w[np.flatnonzero(np.r_[True, w[1:] != w[:-1]])] if len(w) else w).astype(np.int64)
+            place, both = np.searchsorted(word, w), np.zeros((len(word), 2 * size))
+            both[place, s] = n
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(best_class(both[:, :size], both[:, size:], of[word], counts, n_classes))], ["w", "c"])
+
+    rows = found.where(F.col("key") < 2 * n_hot * size).select((F.floor(F.col("key") / size) % n_hot).alias("w"), (F.col("key") % size + F.when(F.col("key") >= n_hot * size, size).otherwise(0)).alias("s"), "n")
+    got = rows.repartition("w").sortWithinPartitions("w").mapInArrow(choose, "w long, c long").toPandas()  # a row for each frequent word
+    new = of.copy()
+    new[got["w"].to_numpy(np.int64)] = got["c"].to_numpy(np.int64)
+    return new
+
+
+def grouped(batches, most: int = 1000):
+    """Columns of sorted rows as numpy arrays, some whole groups of the first column (at most so many) at a time."""
+    held = None
+    for b in batches:
+        now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
+        held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+        starts = np.flatnonzero(np.r_[True, held[0][1:] != held[0][:-1]]) if len(held[0]) else np.zeros(0, int)
+        if len(starts) > most:
+            for lo in range(0, len(starts) - 1, most):
+                hi = min(lo + most, len(starts) - 1)
+                yield [x[starts[lo] : starts[hi]] for x in held]
+            held = [x[starts[-1] :] for x in held]
+    if held is not None and len(held[0]):
+        starts = np.r_[np.flatnonzero(np.r_[True, held[0][1:] != held[0][:-1]]), len(held[0])]
+        for lo in range(0, len(starts) - 1, most):
+            yield [x[starts[lo] : starts[min(lo + most, len(starts) - 1)]] for x in held]
+
+
+@dataclass
+class Model:
+    """words: (word, n, cls) of all words but the broadcast ones; hot: hashes, counts and classes of those.
+
+    step [symbol, class]: log10 of a class (the last: the end) after a symbol (classes, shapes, start); under: log10 of each
+    class's denominator of emissions; by_shape: class of unseen words; n_tokens, n_kinds, n_ends: of the training corpus.
+    """
+
+    words: DataFrame
+    hot: tuple[np.ndarray, np.ndarray, np.ndarray]
+    step: np.ndarray
+    under: np.ndarray
+    by_shape: np.ndarray
+    n_classes: int
+    n_tokens: int
+    n_kinds: int
+    n_ends: int
+
+
+def learn(train: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model:
+    """The class model of a corpus. rounds=0 deals words to classes by hash instead, to compare with."""
+    spark = train.sparkSession
+    counts = written(word_counts(train, text_col), "counts")
+    n_all, kinds, n_ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == END, F.col("n"))), F.lit(0))).first()
+    c = n_classes_of(kinds)
+    top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(HOT).toPandas()
+    words, n_of, shapes = (top[x].to_numpy(np.int64) for x in ("word", "n", "shape"))
+    ids, h = written(encoded(train, text_col, words), "encoded"), len(words)
+    tail = np.arange(SHAPES + 1)
+    of = (mix(words.view(np.uint64)) % np.uint64(c)).astype(np.int64)
+    if rounds:
+        seeds = min(SEEDS, h)
+        first = np.r_[np.arange(seeds), seeds + shapes[seeds:], seeds + tail].astype(np.int64)
+        of = np.full(h, -1)
+        of[:seeds] = exchange(pair_counts(ids, first, seeds + SHAPES + 1), seeds, c)[:seeds]
+        for r in range(rounds):
+            symbol = np.r_[np.where(of >= 0, of, c + shapes), c + tail].astype(np.int64)
+            new = _round(ids, symbol, of, h, c) if h else of
+            turn = (of < 0) | ((np.arange(h) + r) % 2 == 0)
+            of = np.where(turn, new, of)
+    symbol, size = np.r_[of, c + tail].astype(np.int64), c + SHAPES + 1
+    pairs = pair_counts(ids, symbol, size)
+    sent = spark.sparkContext.broadcast((np.sort(words), np.argsort(words), symbol, pairs))
+
+    def cold(batches):
+        keys, order, symbol, _ = sent.value
+        for b in batches:
+            for _, _, hashes, shape, _ in tokens(b.column(0)):
+                i = numbers_of(hashes, shape, keys, order)
+                at = np.flatnonzero((i >= len(keys)) & (shape < SHAPES))
+                u = np.empty(len(at), [("w", "<i8"), ("s", "<i4")])
+                u["w"], u["s"] = hashes[at], _before(symbol[i], size - 1)[at] * SHAPES + shape[at]
+                u, n = np.unique(u, return_counts=True)
+                for lo in range(0, len(u), 100_000):
+                    part = u[lo : lo + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part["w"])), pa.array(np.ascontiguousarray(part["s"])), pa.array(n[lo : lo + 100_000])], ["word", "s", "n"])
+
+    def choose(batches):
+        pairs = sent.value[3]
+        into = np.zeros(size * c, np.int64)
+        for w, s, n in grouped(batches):
+            at = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+            word, place = w[at], np.cumsum(np.r_[False, w[1:] != w[:-1]])
+            left = np.zeros((len(word), size))
+            np.add.at(left, (place, s // SHAPES), n)
+            cls = best_class(left, None, np.full(len(word), -1), pairs, c) if rounds else (mix(word.view(np.uint64)) % np.uint64(c)).astype(np.int64)
+            into += np.bincount(s // SHAPES * c + cls[place], n, size * c).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(word), np.int32)), pa.array(word), pa.array(np.add.reduceat(n, at)), pa.array(cls.astype(np.int32)), pa.array(s[at] % SHAPES)], ["kind", "word", "n", "cls", "shape"])
+        at = np.flatnonzero(into)
+        zero = np.zeros(len(at), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(zero + 1), pa.array(at), pa.array(into[at]), pa.array(zero), pa.array(zero)], ["kind", "word", "n", "cls", "shape"])
+
+    neighbours = train.select(F.col(text_col).cast("string")).mapInArrow(cold, "word long, s int, n long").groupBy("word", "s").agg(F.sum("n").alias("n"))
+    chosen = written(neighbours.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "kind int, word long, n long, cls int, shape int"), "classes")
+    into = _matrix(chosen.where("kind = 1").groupBy(F.col("word").alias("pair")).agg(F.sum("n").alias("n")), size, c)
+    rest = chosen.where("kind = 0").select("word", "n", "cls")
+    of_shape = np.zeros((SHAPES, c))
+    np.add.at(of_shape, (shapes, of), 1)
+    for r in chosen.where("kind = 0").groupBy("shape", "cls").count().collect():  # at most shapes by classes
+        of_shape[r["shape"], r["cls"]] += r["count"]
+    n = np.c_[pairs[:, :c] + into, pairs[:, -1]]
+    step = np.log10((n + 1) / (n.sum(1, keepdims=True) + c + 1))
+    distinct = of_shape.sum(0)
+    under = np.log10(n[:, :c].sum(0) + distinct + 1)
+    by_shape = np.where(of_shape.sum(1) > 0, of_shape.argmax(1), distinct.argmax())
+    return Model(rest, (words, n_of, of), step, under, by_shape, c, int(n_all), int(kinds), int(n_ends))
+
+
+def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens: words (A-Z lower-cased) and one end; null and wordless texts have only the end.
@@ -157,66 +390,54 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     training table every count is 0: base_score is then 0 (log10 of 1/1 for each token).
     Ids may be null or repeated; other columns are ignored.
     """
-    spark = docs.sparkSession
-    counts = written(word_counts(train, text_col), "counts")
-    n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    hot = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(HOT).toPandas()
-    words = hot["word"].to_numpy(np.int64)[:CLUSTERED]
-    pairs = class_counts(train, text_col, words)
-    of = exchange(pairs, len(words), CLASSES)
-    m = int(of.max()) + 1
-    n = np.zeros((m, m))
-    np.add.at(n, (of[:, None], of[None, :]), pairs)
-    step = np.log10((n + 1) / (n.sum(1, keepdims=True) + m))
-    # emission totals: tokens of a class, and its distinct words
-    tokens_of = n.sum(0)
-    distinct = np.zeros(m)
-    by_shape = {r["shape"]: r["v"] for r in counts.groupBy("shape").agg(F.count("*").alias("v")).collect()}
-    for s, v in by_shape.items():
-        distinct[of[len(words) + s]] += v
-    np.add.at(distinct, of[: len(words)], 1)
-    np.subtract.at(distinct, of[len(words) + hot["shape"].to_numpy(np.int64)[: len(words)]], 1)
-    under = np.log10(tokens_of + distinct + 1)
-    end = of[len(words) + SHAPES]
-    under[end] = np.nan  # the end is emitted with probability 1
-    order = np.argsort(words)
-    hot_order = np.argsort(hot["word"].to_numpy(np.int64))
-    end_n = int(pairs[:, -1].sum())
-    model = spark.sparkContext.broadcast((words[order], order, of, step, under, hot["word"].to_numpy(np.int64)[hot_order], hot["n"].to_numpy(np.int64)[hot_order]))
-    base_under = float(np.log10(n_all + v_all + 1))
-    schema = StructType([StructField("id", docs.schema[id_col].dataType), StructField("uid", LongType()), StructField("n_tokens", LongType()), StructField("known", LongType()), StructField("base", DoubleType()), StructField("class", DoubleType()), StructField("rare", ArrayType(LongType()))])
+    return scored(docs, learn(train, text_col, rounds), id_col, text_col)
+
+
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """score() by a model that is learned already."""
+    spark, c = docs.sparkSession, model.n_classes
+    order = np.argsort(model.hot[0])
+    sent = spark.sparkContext.broadcast((model.hot[0][order], order, model.hot[1], model.hot[2], model.step, model.under))
+    base_under, end_log, n_ends = float(np.log10(model.n_tokens + model.n_kinds + 1)), float(np.log10(model.n_ends + 1)), model.n_ends
+    schema = StructType([StructField("id", docs.schema[id_col].dataType), StructField("uid", LongType()), StructField("n_tokens", LongType()), StructField("known", LongType()), StructField("base", DoubleType()), StructField("class", DoubleType()), StructField("rare", ArrayType(LongType())), StructField("after", ArrayType(IntegerType()))])
 
     def run(batches):
         from pyspark import TaskContext
 
         uid = TaskContext.get().partitionId() << 33
-        keys, order, of, step, under, hot_w, hot_n = model.value
+        keys, order, hot_n, of, step, under = sent.value
+        log_n = np.log10(hot_n + 1.0)
+        symbol = np.r_[of, c + np.arange(SHAPES + 1)].astype(np.int64)
         for b in batches:
             for lo, rows, h, shape, bounds in tokens(b.column(1)):
                 k = len(bounds) - 1
-                c = of[symbols(h, shape, keys, order)]
-                before = np.empty_like(c)
-                before[1:] = c[:-1]
-                before[bounds[:-1]] = of[-1]
-                is_end = shape == SHAPES
-                at = np.minimum(np.searchsorted(hot_w, h), max(len(hot_w) - 1, 0))
-                is_hot = (hot_w[at] == h) & ~is_end if len(hot_w) else np.zeros(len(h), bool)
-                seen = np.where(is_end, end_n, np.where(is_hot, hot_n[at] if len(hot_n) else 0, 0))
-                own = np.log10(seen + 1.0)
-                base = np.bincount(rows, own - base_under, k)
-                cls = np.bincount(rows, step[before, c] + np.where(is_end, 0.0, own - np.where(is_end, 0.0, under[c])), k)
-                known = np.bincount(rows, seen > 0, k).astype(np.int64)
-                rare = ~is_hot & ~is_end
-                rare_bounds = np.concatenate([[0], np.cumsum(np.bincount(rows[rare], minlength=k))]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(rare_bounds), pa.array(h[rare]))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, k), pa.array(uid + np.arange(k)), pa.array(np.diff(bounds)), pa.array(known), pa.array(base), pa.array(cls), lists], schema.names)
+                i = numbers_of(h, shape, keys, order)
+                before = _before(symbol[i], c + SHAPES)
+                hot, end = np.flatnonzero(i < len(keys)), shape == SHAPES
+                base, cls = np.full(len(h), -base_under), np.zeros(len(h))
+                base[hot] += log_n[i[hot]]
+                cls[hot] = step[before[hot], of[i[hot]]] + log_n[i[hot]] - under[of[i[hot]]]
+                base[end] += end_log
+                cls[end] = step[before[end], c]
+                seen = np.zeros(len(h), bool)
+                seen[hot], seen[end] = True, n_ends > 0
+                rare = (i >= len(keys)) & ~end
+                at = np.concatenate([[0], np.cumsum(np.bincount(rows[rare], minlength=k))]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in (h[rare], (before[rare] * SHAPES + shape[rare]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, k), pa.array(uid + np.arange(k)), pa.array(np.diff(bounds)), pa.array(np.bincount(rows, seen, k).astype(np.int64)), pa.array(np.bincount(rows, base, k)), pa.array(np.bincount(rows, cls, k)), *lists], schema.names)
                 uid += k
 
     first = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema), "scores")
-    rare = first.select("uid", F.explode("rare").alias("word")).join(counts.select("word", "n"), "word")
-    more = rare.groupBy("uid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("log"))
-    one = first.drop("rare").join(more, "uid", "left").na.fill({"more": 0, "log": 0.0})
-    return one.select("id", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(int(n_all)).alias("train_tokens"), (F.col("base") + F.col("log")).alias("base_score"), (F.col("class") + F.col("log")).alias("score"))
+    rare = first.select("uid", F.explode(F.arrays_zip("rare", "after")).alias("x")).select("uid", F.col("x.rare").alias("word"), F.col("x.after").alias("after"))
+    found = rare.join(model.words, "word", "left")
+    shape_class = F.array(*[F.lit(int(x)) for x in model.by_shape])
+    found = found.select("uid", "n", F.coalesce("cls", F.get(shape_class, F.col("after") % SHAPES)).alias("cls"), F.floor(F.col("after") / SHAPES).cast("int").alias("s"))
+    s, k = np.divmod(np.arange((c + SHAPES + 1) * c), c)
+    chances = spark.createDataFrame(pa.table({"s": pa.array(s, pa.int32()), "cls": pa.array(k, pa.int32()), "p": model.step[:, :c].ravel() - np.tile(model.under, c + SHAPES + 1)}))
+    log_n = F.log10(F.coalesce("n", F.lit(0)) + 1)  # as many chances as symbols by classes
+    more = found.join(F.broadcast(chances), ["s", "cls"]).groupBy("uid").agg(F.count("n").alias("more"), F.sum(log_n).alias("log"), F.sum(log_n + F.col("p")).alias("chance"))
+    one = first.drop("rare", "after").join(more, "uid", "left").na.fill({"more": 0, "log": 0.0, "chance": 0.0})
+    return one.select("id", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"), (F.col("base") + F.col("log")).alias("base_score"), (F.col("class") + F.col("chance")).alias("score"))
 
 
 def op9_lm(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -377,6 +378,76 @@ def test_brown(spark, odd, none):
     assert {r.base_score for r in brown.score(odd, none).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("hot", [60_000, 150])
+def test_brown_scores(spark, monkeypatch, hot):
+    """Scores equal those of a plain model with the learned classes, whatever number of words is broadcast; every word has a class."""
+    monkeypatch.setattr(brown, "HOT", hot)
+    monkeypatch.setattr(brown, "SEEDS", 80)
+    rows = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(120)
+    train, held = rows.where("doc_id % 3 <> 0"), rows.where("doc_id % 3 = 0")
+    model = brown.learn(train)
+
+    def encode(docs):
+        for r in docs.collect():
+            for _, _, h, shape, _ in brown.tokens(pa.array([r.text], pa.string())):
+                yield r.doc_id, list(zip(h.tolist(), shape.tolist(), strict=True))
+
+    cls = dict(zip(model.hot[0].tolist(), model.hot[2].tolist(), strict=True))
+    broadcast = set(cls)
+    cls |= {r.word: r.cls for r in model.words.collect()}
+    texts, c, m = list(encode(train)), model.n_classes, model.n_classes + brown.SHAPES + 1
+    counts = Counter(w for _, x in texts for w, _ in x)
+    assert set(cls) == set(counts) - {brown.END} and len(broadcast) == min(hot, len(cls)) and len(set(cls.values())) > c // 2
+    kinds = {w: s for _, x in texts for w, s in x if s < brown.SHAPES}
+    of_shape = np.zeros((brown.SHAPES, c))
+    for w, s in kinds.items():
+        of_shape[s, cls[w]] += 1
+
+    def steps(x):
+        at = m - 1
+        for w, s in x:
+            k = c if s == brown.SHAPES else cls.get(w, int(of_shape[s].argmax()) if of_shape[s].sum() else int(of_shape.sum(0).argmax()))
+            yield at, k, w
+            at = m - 1 if s == brown.SHAPES else cls[w] if w in broadcast else c + s
+
+    n = Counter((a, k) for _, x in texts for a, k, _ in steps(x))
+    from_, into, size = Counter(), Counter(), Counter(cls.values())
+    for (a, k), v in n.items():
+        from_[a] += v
+        into[k] += v
+    got = {r.id: r.score for r in brown.scored(rows, model).collect()}
+    for i, x in [*texts, *encode(held)]:
+        want = sum(math.log10((n[a, k] + 1) / (from_[a] + c + 1)) + (math.log10((counts[w] + 1) / (into[k] + size[k] + 1)) if k < c else 0) for a, k, w in steps(x))
+        assert got[i] == pytest.approx(want, rel=1e-9)
+
+
+def test_brown_classes_help(spark):
+    """Held-out texts are likelier by exchanged classes than by classes dealt by hash."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    train, held = docs.where("doc_id % 7 <> 2"), docs.where("doc_id % 7 = 2")
+    total = [brown.score(held, train, rounds=r).agg(F.sum("score"), F.sum("n_tokens")).first() for r in (brown.ROUNDS, 0)]
+    assert total[0][0] / total[0][1] > total[1][0] / total[1][1] + 0.1
+
+
+def test_best_class():
+    """Against the likelihood of every move, the word's own counts apart."""
+    rnd = np.random.default_rng(3)
+    counts = rnd.integers(100, 150, (7, 7)).astype(float)
+    left, right = rnd.integers(0, 4, (6, 7)).astype(float), rnd.integers(0, 4, (6, 7)).astype(float)
+    own = np.array([-1, 0, 1, 2, 3, 0])
+
+    def gain(w, c):
+        n = counts.copy()
+        if own[w] == c:
+            into, out = n[:, c] - left[w], n[c] - right[w]
+        else:
+            into, out = n[:, c], n[c]
+        p = lambda x: np.log((np.maximum(x, 0) + brown.ALPHA) / (max(x.sum(), 0) + brown.ALPHA * 7))
+        return left[w] @ p(into) + right[w] @ p(out)
+
+    assert brown.best_class(left, right, own, counts, 4).tolist() == [max(range(4), key=lambda c, w=w: gain(w, c)) for w in range(6)]
+
+
 def test_exchange_groups_alike_words():
     pairs = np.zeros((5, 5), np.int64)
     pairs[0, 2] = pairs[1, 2] = pairs[0, 3] = pairs[1, 3] = 50  # 0 and 1 come before 2 and 3
