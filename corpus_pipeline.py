@@ -22,35 +22,37 @@ def _whole(docs: DataFrame):
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter (and null ones) and those whose best language is unsure."""
+    """Rejects texts without a letter (and null ones) and those whose best language is unsure. Rows are judged one by one: repeated rows and equal texts fare alike, a tie of languages has the first name."""
     rows = docs.select("doc_id", "text", _whole(docs))
     found = identify(rows, docs, public_tokenizers.path("piece_bpe_32k.model"))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("_whole.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes recurring lines out of every text; no document goes."""
+    """Takes recurring lines out of every text; no document goes, null texts stay null, equal texts (repeated rows) lose equal lines."""
     out = drop_templates(docs.select("text", _whole(docs)))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("text")}
     return out.select(*[new[c].alias(c) if c in new else F.col(f"_whole.`{c}`").alias(c) for c in docs.columns])
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each near-duplicate group, and one of its repeated rows. Rows of a null id stay."""
-    keep = near_components(docs).where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    one = docs.withColumn("_k", F.xxhash64("text")).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "_k"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return one.unionByName(docs.where("doc_id is null"))
+    """Keeps the document of the least id of each near-duplicate group, and one of its repeated rows. Rows of a null id stay; of two texts of the least id both do."""
+    keep = near_components(docs).where("id = component_id").select(F.col("id").alias("kept")).distinct()
+    rows = docs.select(_whole(docs), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"))
+    one = rows.join(keep, F.col("_id") == F.col("kept"), "left_semi").dropDuplicates(["_id", "_key"])
+    return one.unionByName(rows.where("_id is null")).select("_whole.*")
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a benchmark item."""
-    rows = docs.withColumn("_k", F.concat(F.xxhash64("text").cast("string"), F.lit("/"), F.xxhash64(F.lit(1), F.col("text")).cast("string")))
-    hit = leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_k").select(F.col("id").alias("_k")).distinct()
-    return rows.join(hit, "_k", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Rejects documents that hold a benchmark item. Equal texts (repeated rows) fare alike; null and empty texts stay."""
+    key = F.concat(F.xxhash64("text").cast("string"), F.lit("/"), F.xxhash64(F.lit(1), F.col("text")).cast("string"))
+    hit = leaks(docs.select(key.alias("key"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="key").select(F.col("id").alias("hit")).distinct()
+    rows = docs.select(_whole(docs), key.alias("_key"))
+    return rows.join(hit, F.col("_key") == F.col("hit"), "left_anti").select("_whole.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in sequences of 4096 tokens."""
+    """Pieces of all documents and their places in sequences of 4096 tokens; null texts are empty ones, repeated rows are documents of their own. No document, no row."""
     return pack_documents(docs, keep=300_000)  # workers still hold memory of earlier stages
 
 
@@ -67,7 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result but the last is written and read again."""
+    """All stages over the documents; each result but the last is written and read again.
+
+    Columns of any further names stay until packing. An empty table runs through all stages and gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)

@@ -14,11 +14,23 @@ _own: dict[str, str] = {}
 GAP = r"[\x20\x09-\x0D]+"
 
 
+_cache: dict = {"owner": None, "kept": {}}
+
+
+def kept_by(owner: str) -> dict:
+    """What the operator keeps in this Python worker between tasks; another operator's is freed, so that memory is one operator's."""
+    if _cache["owner"] != owner:
+        _cache.update(owner=owner, kept={})
+    return _cache["kept"]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where none is set (tests)."""
+    """spark.checkpoint.dir of the session; a temporary folder only in local mode (tests). A cluster without the setting is an error."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="sequora-")

@@ -71,17 +71,6 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack_mixed(blob), dtype=np.uint64)
 
 
-def six(h: np.ndarray) -> bytes:
-    """48-bit numbers, 6 bytes each."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def from_six(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def classes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """One row per document: id, n_shingles, cls (equal for equal sets, null for empty ones)."""
     from pyspark.sql.types import LongType, StructField, StructType
@@ -104,9 +93,7 @@ def shared_shingles(docs: DataFrame, text_col: str, n: int, n_buckets: int) -> D
 
     kind 0: texts (x), shingles (y) and in how many texts each stands (z); kind 1: texts (x),
     their classes (y) and set sizes (z). A text is numbered where it is read; texts of one class
-    that are read by one task count once. Here a shingle is 48 bits of its hash: within the few
-    sets that are compared that tells shingles apart, and a chance meeting of two elsewhere
-    only makes one more shingle count as shared.
+    that are read by one task count once.
     """
 
     def part_of(uid):
@@ -130,7 +117,7 @@ def shared_shingles(docs: DataFrame, text_col: str, n: int, n_buckets: int) -> D
             h, i = np.concatenate(hs), np.concatenate(idx)
             order = np.argsort(h, kind="stable")
             h, i = h[order], i[order]
-            to = (h * np.uint64(n_buckets)) >> np.uint64(48)
+            to = ((h >> np.uint64(16)) * np.uint64(n_buckets)) >> np.uint64(48)
             cuts = np.searchsorted(to, np.arange(n_buckets + 1, dtype=np.uint64))
             for k in range(n_buckets):
                 x, y = cuts[k], cuts[k + 1]
@@ -148,7 +135,7 @@ def shared_shingles(docs: DataFrame, text_col: str, n: int, n_buckets: int) -> D
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(sig[r])
-                    hs.append(h[lo:hi] >> np.uint64(16))
+                    hs.append(h[lo:hi])
                     idx.append(np.full(hi - lo, len(cls), np.int32))
                     cls.append(sig[r])
                     size.append(hi - lo)
@@ -227,7 +214,7 @@ def ordered_sets(blobs: DataFrame, per_cent: int, n_buckets: int) -> DataFrame:
         for x, y, c, n in zip(cuts, cuts[1:], cls[of].view(np.int64).tolist(), size[of].tolist(), strict=False):
             own = prefix_length(n, per_cent) - (n - int(y - x))
             if own > 0:
-                out.append((c, n, int(y - x), six(h[x:y]), k[x:y].astype(np.int32).tobytes(), h[x : x + own].view(np.int64).tolist()))
+                out.append((c, n, int(y - x), h[x:y].astype("<u8").tobytes(), k[x:y].astype(np.int32).tobytes(), h[x : x + own].view(np.int64).tolist()))
             if len(out) >= 500:
                 yield batch(out)
                 out = []
@@ -337,14 +324,14 @@ class Trie:
 def trie_edges(rows: list[tuple[int, int, bytes, bytes]], per_cent: int) -> list[tuple[int, int]]:
     """Links (cls, cls) that join all sets of the rows (cls, n, hashes, counts) that any links join."""
     rows = sorted({r[0]: r for r in rows}.values(), key=lambda r: (r[1], r[0]))
-    h = np.concatenate([from_six(r[2]) for r in rows])
+    h = np.concatenate([np.frombuffer(r[2], "<u8") for r in rows])
     k = np.concatenate([np.frombuffer(r[3], np.int32) for r in rows])
     u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
     rank = np.empty(len(u), np.int64)
     rank[np.lexsort((u, k[first]))] = np.arange(len(u))
     ranks, at, mark, trie = rank[inverse], 0, np.zeros(len(u), np.uint8), Trie(per_cent)
     for r in rows:
-        m = len(r[2]) // 6
+        m = len(r[2]) // 8
         trie.add(np.sort(ranks[at : at + m]), r[1], mark)
         at += m
     return [(rows[a][0], rows[b][0]) for a, b in trie.edges]

@@ -18,19 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Longest piece in characters; probability of a letter that is no piece; words kept by a worker.
-LONGEST, FLOOR, KEPT = 9, 1e-7, 300_000
+from .common import kept_by
+
+#: Runs of letters: \\w less digits, the underscore and numbers that are no letters (such as superscripts and fractions).
+LETTERS = re.compile(rf"[^\W\d_{''.join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())}]+")
+#: Probability of a letter that is no piece; words kept by a worker; letters after which sums are scaled.
+FLOOR, KEPT, SCALED = 1e-7, 300_000, 16
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
 def vocabulary(path: str) -> list[str]:
-    """Lower-case letter pieces of a sentencepiece model; a leading mark stands for a word's start."""
+    """All pieces of a sentencepiece model that can stand in a lower-case word of letters, however long; a leading mark stands for a word's start."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return sorted({p for p in pieces if len(p) <= LONGEST and p == p.lower() and p.replace("▁", "", 1 if p[0] == "▁" else 0).isalpha() or p == "▁"})
+    return sorted({p for p in pieces if p == p.lower() and p.replace("▁", "", 1 if p[0] == "▁" else 0).isalpha() or p == "▁"})
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -52,7 +55,11 @@ class Pieces:
         self.order = np.argsort(h)
         self.hashes = h[self.order]
         self.none = len(pieces)
-        self.power = np.array([pow(int(_B), k, 2**64) for k in range(LONGEST + 1)], np.uint64)
+        self.longest = max(map(len, pieces), default=1)
+        self.sizes = sorted({len(p) for p in pieces} | {1})
+        self.power = np.array([pow(int(_B), k, 2**64) for k in range(self.longest + 1)], np.uint64)
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.hashes >> np.uint64(44)] = True
 
     def ids(self, codes: np.ndarray):
         """codes: [words, length]. Yields for each end j: [(start, piece ids)]; none: no piece."""
@@ -61,21 +68,26 @@ class Pieces:
         for j in range(length):
             prefix.append(prefix[-1] * _B + codes[:, j] + np.uint64(1))
             found = []
-            for size in range(1, min(LONGEST, j + 1) + 1):
+            for size in self.sizes:
+                if size > j + 1:
+                    break
                 h = _mix(prefix[j + 1] - prefix[j + 1 - size] * self.power[size])
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                got = np.where(self.hashes[at] == h, self.order[at], self.none)
-                if size == 1 or (got != self.none).any():
+                got = np.full(n, self.none)
+                some = np.flatnonzero(self.maybe[h >> np.uint64(44)])
+                if len(some):
+                    at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
+                    got[some] = np.where(self.hashes[at] == h[some], self.order[at], self.none)
+                if size == 1 or len(some) and (got != self.none).any():
                     found.append((j + 1 - size, got))
             yield j + 1, found
 
 
-def by_length(words: list[str]):
-    """(indexes, code matrix) of words of one length, with the mark in front, in parts."""
+def by_length(words: list[str], longest: int):
+    """(indexes, code matrix) of words of one length, with the mark in front, in parts. longest: letters of the longest piece."""
     size = np.array([len(w) for w in words])
     for length in np.unique(size):
         idx = np.flatnonzero(size == length)
-        step = max(1, 2_000_000 // ((length + 1) * (LONGEST + 8)))
+        step = max(1, 2_000_000 // ((length + 1) * (longest + 8)))
         for lo in range(0, len(idx), step):
             part = idx[lo : lo + step]
             codes = np.frombuffer("".join("▁" + words[i] for i in part).encode("utf-32-le"), "<u4").reshape(len(part), length + 1).astype(np.uint64)
@@ -85,7 +97,7 @@ def by_length(words: list[str]):
 def forward(pieces: Pieces, prob: np.ndarray, words: list[str]) -> np.ndarray:
     """log of the sum over segmentations: [words, languages]. prob: [pieces + 1, languages], its last row 0."""
     out = np.zeros((len(words), prob.shape[1]))
-    for part, codes in by_length(words):
+    for part, codes in by_length(words, pieces.longest):
         alpha, scale = {0: np.ones((len(part), prob.shape[1]))}, np.zeros((len(part), prob.shape[1]))
         for j, found in pieces.ids(codes):
             total = np.zeros_like(scale)
@@ -95,8 +107,8 @@ def forward(pieces: Pieces, prob: np.ndarray, words: list[str]) -> np.ndarray:
                     p = np.maximum(p, FLOOR)
                 total += alpha[i] * p
             alpha[j] = total
-            alpha.pop(j - LONGEST, None)
-            if j % 16 == 0:
+            alpha.pop(j - pieces.longest, None)
+            if j % SCALED == 0:
                 scale += np.log(total)
                 alpha = {k: a / total for k, a in alpha.items()}
         out[part] = np.log(alpha[codes.shape[1]]) + scale
@@ -112,22 +124,36 @@ def fit(pieces: Pieces, counts: dict[str, dict[str, int]], rounds: int = 3) -> n
     prob[-1] = 0
     for _ in range(rounds):
         expected = np.full(prob.shape, 0.1)
-        for part, codes in by_length(words):
-            steps = list(pieces.ids(codes))
-            length = codes.shape[1]
-            if length > 40:
-                continue
-            alpha, beta = [np.ones((len(part), len(langs)))], [None] * length + [np.ones((len(part), len(langs)))]
+        for part, codes in by_length(words, pieces.longest):
+            steps, length = list(pieces.ids(codes)), codes.shape[1]
+            ones, zero = np.ones((len(part), len(langs))), np.zeros((len(part), len(langs)))
+            # sums from the start and from the end, each with the log of what it was scaled by
+            alpha, log_a, live, scale = [ones], [zero], {0: ones}, zero
             for j, found in steps:
-                alpha.append(sum(alpha[i] * (np.maximum(prob[ids], FLOOR) if i == j - 1 else prob[ids]) for i, ids in found))
+                total = sum(live[i] * (np.maximum(prob[ids], FLOOR) if i == j - 1 else prob[ids]) for i, ids in found)
+                live[j] = total
+                live.pop(j - pieces.longest, None)
+                if j % SCALED == 0:
+                    scale = scale + np.log(total)
+                    live = {k: x / total for k, x in live.items()}
+                alpha.append(live[j])
+                log_a.append(scale)
+            beta, log_b, live, scale = [zero] * length + [ones], [zero] * (length + 1), {length: ones}, zero
             for j, found in reversed(steps):
+                if j < length and (length - j) % SCALED == 0:
+                    by = live[j]
+                    scale = scale + np.log(by)
+                    live = {k: x / by for k, x in live.items()}
+                beta[j], log_b[j] = live[j], scale
                 for i, ids in found:
-                    more = beta[j] * (np.maximum(prob[ids], FLOOR) if i == j - 1 else prob[ids])
-                    beta[i] = more if beta[i] is None else beta[i] + more
-            share = weight[part] / alpha[length]
+                    more = live[j] * (np.maximum(prob[ids], FLOOR) if i == j - 1 else prob[ids])
+                    live[i] = live[i] + more if i in live else more
+                del live[j]
+            all_of = np.log(alpha[length]) + log_a[length]
+            share = weight[part] * np.exp(-all_of) if length <= SCALED else None
             for j, found in steps:
                 for i, ids in found:
-                    post = alpha[i] * prob[ids] * beta[j] * share
+                    post = alpha[i] * prob[ids] * beta[j] * (weight[part] * np.exp(log_a[i] + log_b[j] - all_of) if share is None else share)
                     for k in range(len(langs)):
                         expected[:, k] += np.bincount(ids, post[:, k], len(expected))
         expected[-1] = 0
@@ -136,13 +162,13 @@ def fit(pieces: Pieces, counts: dict[str, dict[str, int]], rounds: int = 3) -> n
 
 
 def training_words(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_language: int, longest: int) -> dict[str, dict[str, int]]:
-    """Word counts by language of a bounded sample: about per_language rows of each, of at most longest characters."""
-    rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.col(id_col).alias("i")).where("t is not null and l is not null and length(t) <= %d" % longest)
+    """Word counts by language of a bounded sample: about per_language rows of each, at most longest characters in a row of a longer text."""
+    rows = docs.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.col(id_col).alias("i")).where("t is not null and l is not null")
     sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {}
     limit = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, max(1, int(2**30 * min(1, per_language / n))))])
-    picked = rows.where(F.pmod(F.xxhash64("i"), F.lit(2**30)) <= limit[F.col("l")]).select("l", "t")
+    picked = rows.where(F.pmod(F.xxhash64("i"), F.lit(2**30)) <= limit[F.col("l")]).select("l", F.substr("t", F.pmod(F.xxhash64(F.lit(1), "i"), F.greatest(F.length("t") - longest, F.lit(0)) + 1).cast("int") + 1, F.lit(longest)).alias("t"))
     counts: dict[str, Counter] = {}
     for r in picked.toLocalIterator():
         counts.setdefault(r["l"], Counter()).update(LETTERS.findall(r["t"].lower()))
@@ -169,17 +195,15 @@ class _Worker:
             self.scores = np.concatenate([self.scores, forward(self.pieces, self.prob, new)])
 
 
-_workers: dict[str, _Worker] = {}
-
-
 def identify(docs: DataFrame, train: DataFrame, vocabulary_path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 300, longest: int = 20_000) -> DataFrame:
     """docs with lang_pred and score added (columns of these names are replaced).
 
-    train: labelled rows; about per_language of each language, of at most longest characters
+    train: labelled rows; about per_language of each language, and at most longest characters in a row of
     each, are learned from. lang_pred is the language of the greatest probability and score
     its share after the log probabilities are divided by the number of words (0 to 1). Null
     texts and texts without a letter are `und` with score 0, as is everything if nothing is
     labelled. Other languages than the learned ones can't come out. Ties go to the first name.
+    Repeated rows and null ids are rows like others; an empty table gives an empty table.
     """
     import uuid
 
@@ -194,13 +218,9 @@ def identify(docs: DataFrame, train: DataFrame, vocabulary_path: str, text_col:
     schema = StructType([whole.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches):
-        from sequora.llm import packing
-
-        packing.forget()
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = _Worker(*model.value)
-        own = _workers[key]
+        kept = kept_by(f"language {key}")
+        own = kept.setdefault("worker", None) or _Worker(*model.value)
+        kept["worker"] = own
         for b in batches:
             sums, sizes = np.zeros((b.num_rows, len(langs))), np.zeros(b.num_rows, int)
             held, rows = [], []
@@ -215,16 +235,16 @@ def identify(docs: DataFrame, train: DataFrame, vocabulary_path: str, text_col:
                 held.clear()
                 rows.clear()
 
-            kept = 0
+            size = 0
             for r, text in enumerate(b.column(1)):
                 words = LETTERS.findall((text.as_py() or "").lower())
                 for lo in range(0, len(words), 200_000):
                     held.append(words[lo : lo + 200_000])
                     rows.append(r)
-                    kept += len(held[-1])
-                    if kept >= 200_000:
+                    size += len(held[-1])
+                    if size >= 200_000:
                         settle()
-                        kept = 0
+                        size = 0
             settle()
             mean = sums / np.maximum(sizes, 1)[:, None]
             share = np.exp(mean - mean.max(1, keepdims=True))

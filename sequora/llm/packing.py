@@ -2,8 +2,9 @@
 
 Texts become pieces of token ids. Pieces of one length are alike to the packer, so it works
 on the histogram of lengths: best fit decreasing, where every group of bins of one residual
-(tokens, documents, attention cost) is a run of sequence ids, filled by as many equal pieces
-at once as fit. The plan is bounded by the capacity, not by the corpus. A piece finds its
+vector (tokens, documents, attention cost) is a run of sequence ids, filled by as many equal pieces
+at once as fit; the group is chosen by the weighted norm of the residual vector, or its dot product with
+the piece. The plan is bounded by the number of lengths, not by the corpus. A piece finds its
 place from its rank among the pieces of its length: its rank in its partition plus an offset
 that a small table of partition histograms gives.
 """
@@ -21,21 +22,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import written
+from .common import kept_by, written
 
 #: Words whose ids a Python worker keeps (some 150 bytes each); a mark that ends a word and is a token of its own (İ in lower case ends in a mark).
 KEPT = 1_200_000
 MARK = re.compile(r"[.,;:!?](?<=[^\W_İ].)(?=[ \t-\r]|\Z)")
-_known: dict[str, tuple] = {}
 
 
 def _encoder(path: str):
-    if path not in _known:
+    known = kept_by("packing")
+    if path not in known:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _known[path] = (Tokenizer.from_file(path), {})
-    return _known[path]
+        known[path] = (Tokenizer.from_file(path), {})
+    return known[path]
 
 
 def words_of(text: str) -> list[bytes]:
@@ -46,12 +47,6 @@ def words_of(text: str) -> list[bytes]:
     return words.split()
 
 
-def forget() -> None:
-    """Frees what this worker keeps, for an operator that follows in it."""
-    for _, known in _known.values():
-        known.clear()
-
-
 def encode_words(path: str, words: list[bytes], keep: int = KEPT) -> dict[bytes, bytes]:
     """Ids (little-endian, 32 bits) of words; the tokenizer drops white space, so words don't touch."""
     tokenizer, known = _encoder(path)
@@ -110,51 +105,87 @@ def _batch(rows: list, kind) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["id", "piece", "start", "length", "ids", "part", "rank"])
 
 
+class Groups:
+    """Groups of equal bins as arrays: residuals in every dimension, first sequence id and how many."""
+
+    def __init__(self, caps: tuple[int, ...]):
+        self.caps = np.array(caps, float)
+        self.room = np.zeros((16, len(caps)), np.int64)
+        self.ids, self.n = np.zeros((16, 2), np.int64), 0
+
+    def add(self, room, first: int, many: int) -> int:
+        if self.n == len(self.room):
+            self.room, self.ids = (np.concatenate([x, np.zeros_like(x)]) for x in (self.room, self.ids))
+        self.room[self.n], self.ids[self.n] = room, (first, many)
+        self.n += 1
+        return self.n - 1
+
+    def drop(self, at: int) -> None:
+        self.n -= 1
+        self.room[at], self.ids[at] = self.room[self.n], self.ids[self.n]
+
+    def prune(self, least: np.ndarray) -> None:
+        """Forgets bins with no room for the least piece."""
+        keep = np.flatnonzero((self.room[: self.n] >= least).all(1))
+        self.room[: len(keep)], self.ids[: len(keep)] = self.room[keep], self.ids[keep]
+        self.n = len(keep)
+
+    def best(self, item: np.ndarray, weights: np.ndarray, by: str) -> int:
+        """The group with room in every dimension that fits best, or -1; ties go to the least sequence id."""
+        room = self.room[: self.n]
+        at = np.flatnonzero((room >= item).all(1))
+        if not len(at):
+            return -1
+        if by == "dot":
+            cost = -((room[at] / self.caps) @ (weights * item / self.caps))
+        else:
+            cost = (((room[at] - item) / self.caps) ** 2) @ weights
+        return int(at[np.lexsort((self.ids[at, 0], cost))[0]])
+
+
 def plan(sizes: dict[int, int], tokens: int, documents: int | None = None, cost: int | None = None, weights: tuple = (1.0, 0.01, 0.01), by: str = "norm") -> tuple[dict[int, np.ndarray], int]:
     """Runs by length, as rows (first rank, first sequence id, pieces in each, first offset), and the number of sequences.
 
     Of the bins with room in every dimension (tokens, documents, attention cost as length
-    squared), a piece takes the one of the least weighted residual norm, or of the greatest
-    weighted dot product of residual and piece (by="dot"). A capacity that can't bind is left out.
+    squared), a piece takes the one of the least weighted norm of what it leaves over, or of the greatest
+    weighted dot product of residual and piece (by="dot"). Every dimension has a part in the choice, whether or not
+    its capacity binds; the default of documents is a document for each token, that of cost one piece of all tokens.
+
+    Longer pieces go first. A length leaves at most three groups of equal bins more than it found, and it
+    fills a group at most once, so steps are bounded by the square of the number of lengths, whatever the number of pieces.
     """
-    documents = None if documents is not None and documents >= tokens else documents
-    cost = None if cost is not None and cost >= tokens * tokens else cost
-    caps = (tokens, documents or 0, cost or 0)
-    bins: dict[tuple, list] = {}  # residual -> [[first id, how many], ...]
+    caps = (tokens, documents or tokens, cost or tokens * tokens)
+    groups, weight = Groups(caps), np.array(weights, float)
     runs: dict[int, list] = {}
     n_bins = 0
+    if sizes and (max(sizes) > tokens or max(sizes) ** 2 > caps[2]):
+        raise ValueError(f"a piece of {max(sizes)} tokens fits in no sequence")
+    smallest = min(sizes, default=0)
     for size in sorted(sizes, reverse=True):
-        if size > tokens or cost is not None and size * size > cost:
-            raise ValueError(f"a piece of {size} tokens fits in no sequence")
-        item = (size, 1 if documents else 0, size * size if cost else 0)
+        item = np.array((size, 1, size * size))
         left, rank, own = sizes[size], 0, runs.setdefault(size, [])
+        groups.prune(np.array((smallest, 1, smallest * smallest)))
         while left:
-            fits = [r for r in bins if all(a >= x for a, x in zip(r, item, strict=True))]
-            if fits:
-                if by == "dot":
-                    room = max(fits, key=lambda r: (sum(w * a * x / (c * c) for w, a, x, c in zip(weights, r, item, caps, strict=True) if c), r))
-                else:
-                    room = min(fits, key=lambda r: (sum(w * ((a - x) / c) ** 2 for w, a, x, c in zip(weights, r, item, caps, strict=True) if c), r))
-            else:
-                room = caps
-                each = min([a // x for a, x in zip(room, item, strict=True) if x])
-                bins.setdefault(room, []).append([n_bins, -(-left // each)])
+            at = groups.best(item, weight, by)
+            if at < 0:
+                each = int((np.array(caps) // item).min())
+                at = groups.add(caps, n_bins, -(-left // each))
                 n_bins += -(-left // each)
-            each = min([a // x for a, x in zip(room, item, strict=True) if x])
-            group = bins[room][-1]
-            full, rest = min(group[1], left // each), left % each
-            for many, in_each in ((full, each), (1 if full < group[1] and full * each < left and rest else 0, rest)):
-                if many:
-                    own.append((rank, group[0], in_each, tokens - room[0]))
-                    bins.setdefault(tuple(a - in_each * x for a, x in zip(room, item, strict=True)), []).append([group[0], many])
-                    group[0] += many
-                    group[1] -= many
-                    rank += many * in_each
-                    left -= many * in_each
-            if not group[1]:
-                bins[room].remove(group)
-            if not bins[room]:
-                del bins[room]
+            room, (first, many) = groups.room[at].copy(), groups.ids[at].tolist()
+            each = int((room // item).min())
+            full = min(many, left // each)
+            rest = left - full * each if full < many else 0
+            for bins, in_each in ((full, each), (1 if rest else 0, rest)):
+                if bins:
+                    own.append((rank, first, in_each, tokens - int(room[0])))
+                    groups.add(room - in_each * item, first, bins)
+                    first, many = first + bins, many - bins
+                    rank += bins * in_each
+                    left -= bins * in_each
+            if many:
+                groups.ids[at] = first, many
+            else:
+                groups.drop(at)
     return {size: np.array(own, np.int64) for size, own in runs.items()}, n_bins
 
 

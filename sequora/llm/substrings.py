@@ -30,14 +30,14 @@ def units(text: str):
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 25) -> DataFrame:
-    """Spans to remove: id, start, end (characters, end exclusive), n_words, kept_id.
+    """Spans to remove: id, text_key (hash of the whole text), start, end (characters, end exclusive), n_words, kept_id.
 
     A unit is repeated if it stands earlier in its text or in a document of a lesser id; a run
     of adjoining repeated units of at least least_words words is a span; kept_id is the least
     document that keeps the run's first unit (the same document for repetitions inside it).
     Null and empty texts have no spans. Rows of one id are alike in rank, so repeated rows
-    don't remove each other; rows of a null id rank last. Other columns are ignored. An empty
-    table has no spans.
+    don't remove each other; rows of a null id rank last and don't remove each other. Texts of one id that
+    differ are told apart by text_key. Other columns are ignored. An empty table has no spans.
     """
     kind = docs.schema[id_col].dataType
     schema = StructType([StructField("id", kind), StructField("k", LongType()), *(StructField(n, IntegerType()) for n in ("unit", "start", "end", "words")), StructField("digest", LongType()), StructField("again", BooleanType())])
@@ -60,8 +60,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     from pyspark.sql.pandas.types import to_arrow_type
 
     types = [to_arrow_type(f.dataType) for f in schema.fields]
-    all_units = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
-    first = all_units.where("id is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    all_units = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("k"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    first = all_units.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     first = written(first, "digests")  # so that both sides of the join are dealt anew and hot digests can be split
     found = all_units.join(first.select("digest", "first"), "digest", "left").where("again or (first is not null and (id is null or id > first))")
     doc = found.groupBy("id", "k").agg(F.collect_list(F.struct("unit", "start", "end", "words", "first")).alias("u"))
@@ -69,29 +69,39 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def runs(batches):
         for b in batches:
             out = []
-            for key, us in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for key, k, us in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 us = sorted({u["unit"]: u for u in us}.values(), key=lambda u: u["unit"])
                 at = 0
                 for i in range(1, len(us) + 1):
                     if i == len(us) or us[i]["unit"] != us[i - 1]["unit"] + 1:
                         words = sum(u["words"] for u in us[at:i])
                         if words >= least_words:
-                            out.append((key, us[at]["start"], us[i - 1]["end"], words, us[at]["first"]))
+                            out.append((key, k, us[at]["start"], us[i - 1]["end"], words, us[at]["first"]))
                         at = i
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((types[0], pa.int32(), pa.int32(), pa.int32(), types[0]))], ["id", "start", "end", "n_words", "kept_id"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((types[0], pa.int64(), pa.int32(), pa.int32(), pa.int32(), types[0]))], span.names)
 
-    span = StructType([StructField("id", kind), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("n_words", IntegerType()), StructField("kept_id", kind)])
-    return doc.select("id", "u").mapInArrow(runs, span)
+    span = StructType([StructField("id", kind), StructField("text_key", LongType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("n_words", IntegerType()), StructField("kept_id", kind)])
+    return doc.select("id", "k", "u").mapInArrow(runs, span)
 
 
 def without(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the spans cut out of text_col; rows without spans (and null ids) stay as they are."""
-    cut = spans.where("id is not null").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    joined = docs.join(cut, docs[id_col] == cut["id"], "left").drop("id") if id_col != "id" else docs.join(cut, "id", "left")
+    """docs with the spans of repeated_spans() cut out of text_col; rows without spans stay as they are.
+
+    Spans belong to a row's id and text, so other texts of the same id stay whole; null ids are an id like others.
+    Repeated rows lose the same spans; overlapping spans are cut once. Columns of any names stay. Either table may be empty.
+    """
+    cut = spans.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_own"), F.col(text_col).cast("string").alias("_text"))
+    joined = rows.join(cut, F.col("_own").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_key")), "left")
     begin = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
-    kept = F.aggregate("_spans", begin, lambda a, s: F.struct(F.concat(a["text"], F.substring(F.col(text_col), a["at"] + 1, s["start"] - a["at"])).alias("text"), s["end"].alias("at")), lambda a: F.concat(a["text"], F.substr(F.col(text_col), a["at"] + 1)))
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull() | F.col(text_col).isNull(), F.col(text_col)).otherwise(kept)).drop("_spans")
+
+    def step(a, s):
+        return F.struct(F.concat(a["text"], F.substring("_text", a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))).alias("text"), F.greatest(a["at"], s["end"]).alias("at"))
+
+    kept = F.aggregate("_spans", begin, step, lambda a: F.concat(a["text"], F.substr("_text", a["at"] + 1)))
+    text = F.when(F.col("_spans").isNull(), F.col("_text")).otherwise(kept)
+    return joined.select(*[text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op2_lines(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Line deduplication by a log-template tree.
 
 Every line is parsed to a fixed depth: token count, then its first tokens, with variable
-fields (tokens with a digit) generalised. In a leaf, lines whose tokens agree in most places
-are one template, the other places becoming variable too. A template is dropped where it
+fields (tokens with a digit) generalised; a line of mostly variable fields keeps them, so that only equal
+ones are one. In a leaf, lines whose tokens agree in most places are one template, the other places becoming
+variable too; a leaf of many lines is split by its next token, and the templates of its parts meet once more. A template is dropped where it
 recurs in independent documents. Whole texts are judged for that: texts that hold a recurring
 line are cut into runs of words, ended by words of some hashes, and those whose sets of runs
 are alike are copies of one document (components of links, as in op8_jaccard), so copies alone
@@ -26,7 +27,8 @@ from .jaccard import near_components
 from .words import Words, blocks, mix
 
 DIGIT = re.compile(rb"\d")
-LEADING, LEAST_TOKENS, BITS = 3, 3, 1 << 24
+#: Tokens of the tree, least tokens of a line that is judged, leaves of the bitmap, lines of a leaf that one task takes as they are.
+LEADING, LEAST_TOKENS, BITS, SPLIT = 3, 3, 1 << 24, 20_000
 
 
 def _hash(x: bytes) -> int:
@@ -36,14 +38,14 @@ def _hash(x: bytes) -> int:
 
 
 def parse_line(line: bytes) -> tuple[int, bytes, list[bytes]] | None:
-    """(leaf, template, tokens) of a line of enough tokens, at least half of them fixed, else None; a variable token is b'*'."""
+    """(leaf, template, tokens) of a line of enough tokens, else None; a variable token is b'*' where at least half are fixed."""
     toks = line.split()
     if len(toks) < LEAST_TOKENS:
         return None
     if DIGIT.search(line):
-        toks = [b"*" if DIGIT.search(t) else t for t in toks]
-        if 2 * toks.count(b"*") > len(toks):
-            return None
+        some = [b"*" if DIGIT.search(t) else t for t in toks]
+        if 2 * some.count(b"*") <= len(toks):
+            toks = some
     return _hash(b"%d " % len(toks) + b" ".join(toks[:LEADING])), b" ".join(toks), toks
 
 
@@ -73,6 +75,20 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "k1 long, k2 long, leaf long, template long, lines array<int>")
 
 
+def _in_leaves(rows: DataFrame, leaves: np.ndarray) -> DataFrame:
+    """Rows (leaf, ...) of the bitmap's leaves. No join, which a leaf of many lines would skew."""
+    bitmap = np.zeros(BITS, bool)
+    bitmap[leaves] = True
+    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+
+    def run(batches):
+        bits = np.unpackbits(sent.value).astype(bool)
+        for b in batches:
+            yield b.filter(pa.array(bits[b.column(0).to_numpy() % BITS]))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _tokens(docs: DataFrame, leaves: np.ndarray) -> DataFrame:
     """(leaf, template, tokens as binary 64-bit hashes, 0: variable) of lines in the bitmap's leaves."""
     bitmap = np.zeros(BITS, bool)
@@ -100,35 +116,84 @@ def _tokens(docs: DataFrame, leaves: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "leaf long, template long, tokens binary").dropDuplicates(["template"])
 
 
-def _clusters(rows: DataFrame, similar: float) -> DataFrame:
-    """(template, cluster): lines of a leaf, most frequent first, join the most similar cluster or start one."""
+class Leaf:
+    """Templates of one leaf. A line that agrees in enough places agrees in all of some segment, so only templates that share one are compared."""
+
+    def __init__(self, length: int, similar: float):
+        spare = int(length * (1 - similar) + 1e-9)  # places that may differ, all of them beyond the leading ones
+        rest = np.arange(min(LEADING, length), length)
+        self.segments = [x for x in np.array_split(rest, spare + 1) if len(x)] if len(rest) > spare else []
+        self.similar, self.length = similar, length
+        self.kept: list[np.ndarray] = []
+        self.ids: list[int] = []
+        self.by: dict[tuple, list[int]] = {}
+
+    def _keys(self, x):
+        return [(k, x[s].tobytes()) for k, s in enumerate(self.segments)]
+
+    def place(self, x: np.ndarray, t: int) -> int:
+        """Number of the most similar template, or of a new one; of equal ones the first."""
+        keys = self._keys(x)
+        at = sorted({c for k in keys for c in self.by.get(k, ())}) if self.segments else list(range(len(self.ids)))
+        best, most = -1, 0.0
+        for lo in range(0, len(at), 4096):
+            same = np.stack([self.kept[c] for c in at[lo : lo + 4096]]) == x
+            share = same.mean(1)
+            k = int(share.argmax())
+            if share[k] >= self.similar and share[k] > most:
+                best, most = at[lo + k], float(share[k])
+        if best < 0:
+            best = len(self.ids)
+            self.kept.append(x)
+            self.ids.append(t)
+        else:
+            before = self.kept[best]
+            now = np.where(before == x, before, 0)
+            if (now == before).all():
+                return best
+            self.kept[best] = now
+            keys = self._keys(now)
+        for k in keys:
+            own = self.by.setdefault(k, [])
+            if best not in own:
+                own.append(best)
+        return best
+
+
+def _grouped(rows: DataFrame, key: str, similar: float) -> DataFrame:
+    """(leaf, template, cluster, kept): rows of one key, most frequent first, join the most similar template or start one; kept: its tokens then."""
 
     def run(batches):
-        leaf, kept, ids, n = None, np.zeros((0, 0), np.int64), [], 0
+        at, tree, held = None, None, []
+
+        def out():
+            for lo in range(0, len(held), 10_000):
+                part = held[lo : lo + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2].ids[r[3]] for r in part], pa.int64()), pa.array([r[2].kept[r[3]].tobytes() for r in part], pa.binary())], ["leaf", "template", "cluster", "kept"])
+
         for b in batches:
-            out = ([], [])
-            for at, t, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for k, leaf, t, tokens in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 x = np.frombuffer(tokens, "<i8")
-                if at != leaf:
-                    leaf, kept, ids, n = at, np.zeros((16, len(x)), np.int64), [], 0
-                same = kept[:n] == x if n and kept.shape[1] == len(x) else np.zeros((0, len(x)), bool)
-                share = same.mean(1) if len(same) else np.zeros(0)
-                best = int(share.argmax()) if len(share) else -1
-                if best >= 0 and share[best] >= similar:
-                    kept[best, ~same[best]] = 0
-                else:
-                    if kept.shape[1] != len(x):  # another leaf of the same hash
-                        kept, ids, n = np.zeros((16, len(x)), np.int64), [], 0
-                    if n == len(kept):
-                        kept = np.concatenate([kept, np.zeros_like(kept)])
-                    kept[n], best = x, n
-                    ids.append(t)
-                    n += 1
-                out[0].append(t)
-                out[1].append(ids[best])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["template", "cluster"])
-
-    return rows.repartition("leaf").sortWithinPartitions("leaf", F.desc("texts"), "template").select("leaf", "template", "tokens").mapInArrow(run, "template long, cluster long")
+                if (k, len(x)) != at:
+                    yield from out()
+                    at, tree, held = (k, len(x)), Leaf(len(x), similar), []
+                held.append((leaf, t, tree, tree.place(x, t)))
+        yield from out()
+
+    return rows.repartition(key).sortWithinPartitions(key, F.length("tokens"), F.desc("texts"), "template").select(F.col(key).alias("key"), "leaf", "template", "tokens").mapInArrow(run, "leaf long, template long, cluster long, kept binary")
+
+
+def _clusters(rows: DataFrame, similar: float) -> DataFrame:
+    """(template, cluster) of rows (leaf, template, tokens, texts). Leaves of more than SPLIT lines are dealt by their next token first."""
+    rows = written(rows, "tokens")
+    crowded = rows.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select("leaf", F.lit(True).alias("crowded"))
+    dealt = rows.join(crowded, "leaf", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    part = F.when(F.col("crowded"), F.xxhash64("leaf", F.substring("tokens", 8 * LEADING + 1, 8))).otherwise(F.col("leaf"))
+    first = written(_grouped(dealt.withColumn("part", part), "part", similar), "parts")
+    split = first.join(crowded, "leaf", "left_semi")
+    heads = split.join(rows.select("template", "texts"), "template").groupBy("leaf", F.col("cluster").alias("template"), F.col("kept").alias("tokens")).agg(F.sum("texts").alias("texts"))
+    second = _grouped(heads, "leaf", similar).select(F.col("template").alias("cluster"), F.col("cluster").alias("whole"))
+    return first.select("template", "cluster").join(second, "cluster", "left").select("template", F.coalesce("whole", "cluster").alias("cluster"))
 
 
 def _runs(texts: DataFrame) -> DataFrame:
@@ -154,7 +219,7 @@ def _runs(texts: DataFrame) -> DataFrame:
 def drop_templates(docs: DataFrame, text_col: str = "text", least: int = 2, similar: float = 0.8, alike: int = 75) -> DataFrame:
     """docs with recurring lines taken out of text_col, and dropped_lines (line numbers from 0) added.
 
-    A line of at least 3 tokens, half of them without a digit, goes, wherever it stands, if its template stands in at least
+    A line of at least 3 tokens goes, wherever it stands, if its template stands in at least
     `least` independent documents. Texts that share `alike` per cent of their runs of words, and what such links join, are
     one document. Null texts stay null; a text that loses every line is empty; equal texts lose equal lines,
     so repeated rows and null ids make no difference. All other columns stay as they are (one
@@ -165,10 +230,10 @@ def drop_templates(docs: DataFrame, text_col: str = "text", least: int = 2, simi
     texts = docs.select(keys[0].alias("k1"), keys[1].alias("k2"), F.col(text_col).cast("string").alias("text"))
     lines = written(_lines(texts), "lines")
     once = lines.select("leaf", "template", "k1").distinct()
-    leaves = once.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    pairs = written(once.join(leaves.select("leaf"), "leaf"), "alive")
+    bit = F.pmod("leaf", F.lit(BITS)).cast("int")
+    bits = once.groupBy(bit.alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= least).toArrow()["b"].to_numpy()  # at most BITS
+    pairs = written(_in_leaves(once, bits), "alive")
     alive = pairs.groupBy("leaf", "template").agg(F.count("*").alias("texts"))
-    bits = pairs.select(F.pmod("leaf", F.lit(BITS)).cast("int").alias("b")).distinct().toArrow()["b"].to_numpy()
     tokens = _tokens(texts, bits).join(alive.select("template", "texts"), "template")
     of = written(_clusters(tokens, similar), "clusters")
     held = pairs.select("template", "k1").join(of, "template").select("cluster", "k1").distinct()

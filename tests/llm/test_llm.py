@@ -142,6 +142,46 @@ def test_substrings(spark, odd, none):
     assert left[1] == docs[0][1] and left[2] == "Quite different start. And end." and text[4]
 
 
+def brute_spans(rows, least):
+    """Spans by the definition: units in order of document, the first one kept."""
+    found = {i: list(substrings.units(t or "")) for i, t in rows}
+    owners = {}
+    for i, us in found.items():
+        for u in us:
+            owners.setdefault(u[3], []).append(i)
+    out = set()
+    for i, us in found.items():
+        seen, run = set(), []
+        for u in [*us, None]:
+            if u and (u[3] in seen or min(owners[u[3]]) < i):
+                run.append(u)
+            else:
+                if sum(x[2] for x in run) >= least:
+                    first = owners[run[0][3]]
+                    out.add((i, run[0][0], run[-1][1], sum(x[2] for x in run), min(first) if len(first) > 1 else None))
+                run = []
+            seen |= {u[3]} if u else set()
+    return out
+
+
+def test_substrings_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text").collect()]
+    got = [tuple(r) for r in substrings.op2_lines(spark, D).select("doc_id", "start", "end", "n_words", "kept_doc_id").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_spans(rows, 25) and got
+
+
+def test_substrings_ids(spark):
+    """Rows of a null id are last and don't remove each other; texts of one id are cut each by its own spans."""
+    a, b = (". ".join(" ".join(f"{x}{i}{j}" for j in range(9)) for i in range(5)) + ". " for x in "ab")
+    df = spark.createDataFrame([(1, a), (None, a + "Tail one."), (None, b), (None, b), (2, "Head here. " + a), (2, "x " * 60), (3, None), (3, "")], "id bigint, text string").withColumns({"_id": F.lit(1), "_spans": F.lit(2), "text_key": F.lit(3)})
+    spans = substrings.repeated_spans(df, "id")
+    assert {(r.id, r.start, r.kept_id) for r in spans.collect()} == {(None, 0, 1), (2, 11, 1)}
+    left = substrings.without(df, spans, "id")
+    assert left.columns == df.columns
+    assert Counter((r.id, r.text) for r in left.collect()) == Counter([(1, a), (None, "Tail one."), (None, b), (None, b), (2, "Head here. "), (2, "x " * 60), (3, None), (3, "")])
+    assert substrings.without(df.where("false"), spans, "id").count() == 0 and substrings.without(df, spans.where("false"), "id").count() == df.count()
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "".join(random.Random(1).choices("abcdef<>&é", k=700_000))
     rows = [(1, "http://a/", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (5, "u\r\nv", big), (6, "w", big), (6, "w", big), (None, "n", "x"), (None, None, "only")]
@@ -238,6 +278,43 @@ def test_language_forward():
     assert np.isfinite(language.forward(p, prob, ["ab" * 3000])).all()
 
 
+def test_language_fit():
+    """One round of expectation maximisation against expectations over all segmentations, for long words too."""
+    pieces, counts = ["▁", "▁a", "a", "b", "ab", "ba", "▁ab", "bab"], {"x": {"ab": 3, "abba": 2, "b": 1, "ab" * 9: 2}, "y": {"a": 1, "bab": 4, "ab" * 9 + "b": 1}}
+    p = language.Pieces(pieces)
+    got = language.fit(p, counts, rounds=2)
+
+    def cuts(s):
+        if not s:
+            yield ()
+        for n in range(1, len(s) + 1):
+            if s[:n] in pieces:
+                yield from ((s[:n], *x) for x in cuts(s[n:]))
+
+    prob = {k: dict.fromkeys(pieces, 1 / 9) for k in counts}
+    for _ in range(2):
+        for k, words in counts.items():
+            expected = dict.fromkeys(pieces, 0.1)
+            for w, n in words.items():
+                ways = [(math.prod(prob[k][x] for x in c), c) for c in cuts("▁" + w)]
+                total = sum(x for x, _ in ways)
+                for x, c in ways:
+                    for piece in c:
+                        expected[piece] += n * x / total
+            prob[k] = {x: v / sum(expected.values()) for x, v in expected.items()}
+    assert np.allclose(got[:-1], [[prob[k][x] for k in ("x", "y")] for x in pieces]) and not got[-1].any()
+
+
+def test_language_letters(spark):
+    """Numbers that are no letters make no word; a language of long texts only is learned too."""
+    assert not language.LETTERS.search("² ½ 12 Ⅷ _ ٣") and language.LETTERS.findall("a²é3ß") == ["a", "é", "ß"]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    df = spark.createDataFrame([(1, "½ ²", "en"), (2, "the house " * 3000, "en"), (3, "das haus " * 3000, "de"), (4, "x" * 5000, None), (5, "the " + "a" * 300, None)], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(df, df, path).collect()}
+    assert got[1] == ("und", 0.0) and got[2][0] == "en" and got[3][0] == "de" and got[4][0] in ("en", "de") and math.isfinite(got[5][1])
+    assert max(map(len, language.vocabulary(path))) > 9
+
+
 def test_language(spark, odd, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     r = language.op5_language(spark, "/root/testdata/sf0.01")
@@ -359,6 +436,27 @@ def test_plan_keeps_every_capacity(by):
             at += s
 
 
+def test_plan_weighs_every_dimension():
+    """Of bins with the same room of tokens that with less room of the others is taken; with heavier weights another bin of more tokens."""
+    groups = packing.Groups((100, 100, 10_000))
+    for first, room in enumerate([(30, 99, 9_000), (30, 97, 9_000), (30, 97, 8_000), (31, 50, 100)]):
+        groups.add(room, first, 1)
+    item = np.array((20, 1, 400))
+    assert groups.best(item, np.array((1.0, 0.01, 0.01)), "norm") == 2 and groups.best(np.array((10, 1, 100)), np.array((1.0, 1.0, 1.0)), "norm") == 3
+    assert groups.best(item, np.array((1.0, 0.0, 0.0)), "norm") == 0 and groups.best(item, np.array((1.0, 1.0, 1.0)), "dot") == 0
+    assert groups.best(np.array((40, 1, 1600)), np.ones(3), "dot") == -1
+    assert packing.plan({}, 100) == ({}, 0)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_plan_reaches_the_bound(seed):
+    rnd = random.Random(seed)
+    sizes = Counter(min(4096, int(rnd.lognormvariate(5.5, 1.2)) + 1) for _ in range(20_000))
+    runs, n = packing.plan(sizes, 4096)
+    bound = -(-sum(k * v for k, v in sizes.items()) // 4096)
+    assert bound <= n <= bound + 1 and sum(map(len, runs.values())) < 4 * len(sizes) + 100
+
+
 def test_brown(spark, odd, none):
     rows = spark.read.parquet(f"{D}/documents.parquet").collect()
     got = {r.doc_id: r for r in brown.op9_lm(spark, D).collect()}
@@ -471,6 +569,35 @@ def test_templates(spark, odd, none):
     assert templates.drop_templates(odd).count() == len(odd_rows()) and templates.drop_templates(none).count() == 0
 
 
+def test_templates_crowded_leaf(spark, monkeypatch):
+    """A leaf that is split by its next token gives the same lines; lines of numbers go where they are equal."""
+    rnd = random.Random(9)
+    own = lambda k: " ".join("".join(rnd.choices("abcdefghij", k=7)) for _ in range(k))
+    docs = [(i, "\n".join([own(9), f"posted on the board by {own(1)} this very day", f"first of all {own(6)}", "10 20 30 40 50 60", f"{i} 7{i} 8{i} 9{i} {i}1 {i}2", own(9)])) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for limit in (20_000, 3):
+        monkeypatch.setattr(templates, "SPLIT", limit)
+        assert {tuple(r.dropped_lines) for r in templates.drop_templates(df).collect()} == {(1, 3)}
+
+
+def test_leaf_compares_what_can_be_similar():
+    """The most similar template of all, as without an index."""
+    rnd = random.Random(4)
+    for length in (3, 4, 5, 8, 15):
+        tree, kept = templates.Leaf(length, 0.8), []
+        for i in range(300):
+            x = np.array([7] * min(3, length) + [rnd.randrange(1, 4) for _ in range(length - 3)], "<i8")
+            share = [(k == x).mean() for k in kept]
+            got = tree.place(x, i)
+            if share and max(share) >= 0.8:
+                want = int(np.argmax(share))
+                kept[want] = np.where(kept[want] == x, x, 0)
+            else:
+                want = len(kept)
+                kept.append(x)
+            assert got == want
+
+
 def test_templates_independent_documents(spark):
     """Blank lines, inner lines of a block and lines of few documents count; near copies are one document."""
     rnd = random.Random(8)
