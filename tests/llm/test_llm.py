@@ -339,7 +339,7 @@ def test_leaks(spark, none):
     d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumns({"id": F.lit(1), "size": F.lit(2), "w": F.lit(3)})
     b = spark.createDataFrame(items, "item_id bigint, text string")
     got = {(r.id, r.item): r for r in decontaminate.leaks(d, b).collect()}
-    assert set(got) == {(1, 0), (2, 2), (3, 4), (8, 0), (8, 1)}
+    assert set(got) == {(1, 0), (2, 2), (3, 4), (5, 3), (8, 0), (8, 1)}
     assert got[1, 0].start == 2 and got[1, 0].similarity == 1 and got[3, 4].start == 50
     assert decontaminate.leaks(none, b).count() == 0 and decontaminate.leaks(d, b.where("false")).count() == 0
 
@@ -383,6 +383,69 @@ def test_leaks_beyond_radius(spark):
     assert {(r.id, r.item): (r.similarity, -r.start) for r in got} == want and len(want) > 40
 
 
+def brute_leaks(docs, items):
+    """(document, item) with a window of the item's words at 75 per cent, of all starts."""
+    out = set()
+    for d, w in docs.items():
+        for i, x in items.items():
+            if not set(x) & set(w):
+                continue
+            g = min(5, len(x))
+            q = Counter(tuple(x[k : k + g]) for k in range(len(x) - g + 1))
+            for a in range(max(1, len(w) - len(x) + 1)):
+                y = w[a : a + len(x)]
+                p = Counter(tuple(y[k : k + g]) for k in range(len(y) - g + 1))
+                if p and 100 * (p & q).total() >= 75 * (p | q).total():
+                    out.add((d, i))
+                    break
+    return out
+
+
+def test_leaks_recall(spark, monkeypatch):
+    """Items of 1 to 100 words with as many changes as the threshold lets pass, and one more: at least 0.99 are found, and nothing else."""
+    rnd = random.Random(12)
+    items, docs = {}, {}
+    for size in [1, 2, 3, 4, *range(5, 101, 5)]:
+        for v in range(12):
+            x = items[len(items)] = [f"i{len(items)}_{k}" for k in range(size)]
+            m = max(1, size - 4)
+            spare = m - -(-6 * m // 7) if size >= 5 else 0  # shingles that may differ
+            for more in (0, 1):
+                y = list(x)
+                if v % 3 == 0:  # words at the end
+                    y = y[: len(y) - spare - more] + [f"z{rnd.randrange(10**9)}" for _ in range(spare + more)]
+                elif v % 3 == 1:  # words at the start
+                    y = [f"z{rnd.randrange(10**9)}" for _ in range(spare + more)] + y[spare + more :]
+                elif spare + more >= 5:  # a word within, and the rest at the end
+                    y[len(y) // 2] = "other"
+                    y = y[: len(y) - (spare + more - 5)] + [f"z{rnd.randrange(10**9)}" for _ in range(spare + more - 5)]
+                else:
+                    y += ["end"] * more
+                docs[len(docs)] = [*(f"u{rnd.randrange(10**9)}" for _ in range(7)), *y, *(f"u{rnd.randrange(10**9)}" for _ in range(9))]
+    want = brute_leaks(docs, items)
+    d = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id bigint, text string")
+    b = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id bigint, text string")
+    for limit in (decontaminate.BROADCAST, 0):  # the join's other plan too
+        monkeypatch.setattr(decontaminate, "BROADCAST", limit)
+        got = {(r.id, r.item) for r in decontaminate.leaks(d, b).collect()}
+        assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 300
+
+
+def test_leaks_blocks(spark):
+    """Fingerprints within the radius share a key whatever bits differ; the radius is the greatest with that promise."""
+    rnd = random.Random(6)
+    rows = []
+    for k in range(400):
+        a = [rnd.getrandbits(64) for _ in range(2)]
+        bits = rnd.sample(range(128), rnd.randrange(decontaminate.RADIUS + 1))
+        b = [a[0] ^ sum(1 << x for x in bits if x < 64), a[1] ^ sum(1 << (x - 64) for x in bits if x >= 64)]
+        rows.append((k, len(bits), [x - 2**64 if x >= 2**63 else x for x in a], [x - 2**64 if x >= 2**63 else x for x in b]))
+    df = spark.createDataFrame(rows, "k bigint, n int, a array<bigint>, b array<bigint>")
+    got = df.select("n", decontaminate.apart("a", "b").alias("d"), F.arrays_overlap(decontaminate.block_keys("a", near=True), decontaminate.block_keys("b")).alias("met")).collect()
+    assert all(r.n == r.d and r.met for r in got)
+    assert sum(bits for _, bits in decontaminate.block_values("a")) == 128 and decontaminate.RADIUS == 2 * decontaminate.BLOCKS - 1
+
+
 def check_places(rows, most=4096):
     by = {}
     for r in rows:
