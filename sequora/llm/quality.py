@@ -1,7 +1,8 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Every rule's cost and rejection rate are measured on a sample; rules are tried in the order
-of rejections per second, and a document leaves at the first rule that rejects it.
+Every rule's cost and rejections are measured on a sample of what reaches the cascade. The rule of most rejections per
+second comes first, then the one of most rejections per second among the documents left, and so on; a
+document leaves at the first rule that rejects it.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, written
+from .common import GAP, lower_ascii, written
 
-#: Rows of the sample on which costs and rejection rates are measured, on average.
-SAMPLE = 1000
+#: Rows of the sample on which costs and rejections are measured, on average, and timed runs of each rule (after one that is not).
+SAMPLE, RUNS = 1000, 1
 WHITE = " \t\n\x0b\f\r"
+#: Frequent function words of English, German, French and Spanish.
+STOP_WORDS = "the of and to in that is it for was on with as are der die und das den ist zu nicht ein mit von le la les de des et que un une pour dans est el los las y en por con una su se del".split()
 
 
 @dataclass(frozen=True)
@@ -32,42 +35,80 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, f"[^{pattern}]+", ""))
 
 
+def words_in(text: Column) -> Column:
+    trimmed = F.btrim(text, F.lit(WHITE))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, GAP, -1))
+
+
 def default_rules(text_col: str = "text") -> list[Rule]:
-    """Symbols to words over 0.1, mean word length outside 2.5 to 10, over 30 % repeated lines, over half the letters upper case."""
+    """Reject texts by symbols, word length, lines, letters, function words and variety of words.
+
+    symbols: over 0.1 of `#*$%&|<>` a word; word_length: mean outside 2.5 to 10; repeated_lines: over 30 % equal to an
+    earlier line; open_lines: under 10 % end in a mark; upper_case: over half the letters; stop_words: under 2 % of
+    the words (of four languages); few_words: under one different word in 20. A text without words is rejected by
+    none of them.
+    """
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     n = F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+"))
     chars = F.length(F.regexp_replace(t, GAP, ""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    ended = F.filter(lines, lambda x: x.rlike(r"[.!?:;,)\"'\u201d\u2026][\x20\x09-\x0D]*$"))
     upper, letters = F.length(F.regexp_replace(t, r"\P{Lu}+", "")), F.length(F.regexp_replace(t, r"\P{L}+", ""))
+    words = words_in(t)
+    stop = F.filter(words, lambda x: lower_ascii(x).isin(STOP_WORDS))
     return [
         Rule("symbols", 10 * count_of(t, r"#*$%&|<>") > n),
         Rule("word_length", (2 * chars < 5 * n) | (chars > 10 * n)),
         Rule("repeated_lines", 10 * (F.size(lines) - F.size(F.array_distinct(lines))) > 3 * F.size(lines)),
+        Rule("open_lines", 10 * F.size(ended) < F.size(lines)),
         Rule("upper_case", 2 * upper > letters),
+        Rule("stop_words", 50 * F.size(stop) < n),
+        Rule("few_words", 20 * F.size(F.array_distinct(words)) < n),
     ]
 
 
-def ordered(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample: int = SAMPLE) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected) on about `sample` random rows, best rejection per second first."""
-    n = docs.count()
-    rows = written(docs.select(text_col).sample(min(1.0, sample / max(n, 1)), seed=1), "sample")
-
-    def timed(col):
-        began = time.perf_counter()
-        share = rows.agg(F.avg(F.coalesce(col, F.lit(False)).cast("int"))).first()[0]
-        return time.perf_counter() - began, share or 0.0
-
-    timed(F.length(text_col) > 0)
-    scan = timed(F.length(text_col) > 0)[0]
-    seen = [(r, *timed(r.fails)) for r in rules]
-    seen = [(r, max(s - scan, 1e-4), share) for r, s, share in seen]
-    return sorted(seen, key=lambda x: (-x[2] / x[1], x[0].name))
-
+def ordered(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample: int = SAMPLE, reaches=None) -> list[tuple[Rule, float, float]]:
+    """(rule, seconds, share rejected of what is left) on about `sample` random rows, in the order of rejections per second of what is left.
 
-def cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample: int = SAMPLE) -> Column:
-    """True for documents that no rule rejects; a rule that gives null doesn't reject."""
+    reaches: from the sampled rows, those that come to the cascade (by default all).
+    """
+    n = docs.count()
+    rows = docs.select(text_col).sample(min(1.0, sample / max(n, 1)), seed=1)
+    rows = written(reaches(rows).select(text_col) if reaches else rows, "sample")
+    names = [f"r{k}" for k in range(len(rules))]
+    fails = [F.coalesce(r.fails, F.lit(False)) for r in rules]
+    # which rules reject together: at most two to the number of rules
+    seen = [([r[x] for x in names], r["count"]) for r in rows.select(*[f.alias(x) for f, x in zip(fails, names, strict=True)]).groupBy(*names).count().collect()] if rules else []
+
+    def seconds(col):
+        took = []
+        for _ in range(RUNS + 1):
+            began = time.perf_counter()
+            rows.agg(F.count_if(col)).first()
+            took.append(time.perf_counter() - began)
+        return min(took[1:])  # the first run compiles
+
+    scan = seconds(F.length(text_col) >= 0)
+    cost = [max(seconds(f) - scan, 1e-3) for f in fails]
+    out, left = [], set(range(len(rules)))
+    while left:
+        total = sum(c for _, c in seen)
+        share = {k: sum(c for x, c in seen if x[k]) / total if total else 0.0 for k in left}
+        best = min(left, key=lambda k: (-share[k] / cost[k], rules[k].name))
+        out.append((rules[best], cost[best], share[best]))
+        seen = [(x, c) for x, c in seen if not x[best]]
+        left.remove(best)
+    return out
+
+
+def cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample: int = SAMPLE, reaches=None) -> Column:
+    """True for documents that no rule rejects, rules being tried in the order of ordered(); a rule that gives null doesn't reject.
+
+    The order changes the work, not the verdict. Rows are judged one by one: null and empty texts, repeated rows and
+    ties need nothing special, and an empty table (or no rule) gives True for any row.
+    """
     verdict = None
-    for rule, _, _ in ordered(docs, rules, text_col, sample):
+    for rule, _, _ in ordered(docs, rules, text_col, sample, reaches):
         verdict = (F if verdict is None else verdict).when(rule.fails, F.lit(False))
     return F.lit(True) if verdict is None else verdict.otherwise(F.lit(True))
 
@@ -97,14 +138,16 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     four = three.withColumn("_at", F.sort_array(F.transform(F.filter("_at", lambda x, k: (x["h"] == F.get("_at", k - 1)["h"]) | (x["h"] == F.get("_at", k + 1)["h"])), lambda x: x["i"])))
     # windows of 3 words at sorted places cover, each, up to the next window's start
     five = F.aggregate(F.transform("_at", lambda x, k: F.coalesce(F.least(F.lit(3), F.get("_at", k + 1) - x), F.lit(3))), F.lit(0), lambda a, x: a + x)
-    return four.select("_row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(five, F.lit(0)).cast("long").alias("n_repeat_words"))
+    # the row number, never negative, keeps filters above the measures: pushed below, they would be worked out again for each window
+    repeated = F.when(F.monotonically_increasing_id() >= 0, F.coalesce(five, F.lit(0)).cast("long"))
+    return four.select("_row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"))
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
-    """Measures of every document, whether it fails the base rules, and whether the cascade keeps it."""
+    """Measures of every document, whether it fails the base rules, and whether the cascade keeps it; documents that fail the base don't reach it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rest = cascade(docs, default_rules())
+    rest = cascade(docs, default_rules(), reaches=lambda rows: measured(rows).where(~base))
     out = measured(docs).withColumn("base_failed", base)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(F.col("base_failed"), F.lit(False)).otherwise(rest).alias("kept"))
 
@@ -116,9 +159,12 @@ tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM tri, (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY doc_id),
 m AS (SELECT w.doc_id, t, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
  CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines,
- CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id),
+ len(list_filter(lines, lambda x: regexp_matches(x, '[.!?:;,)"''\x{201d}\x{2026}][\x20\x09-\x0D]*$'))) AS n_ended,
+ len(list_filter(words, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IN (@STOP@))) AS n_stop,
+ CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, len(list_distinct(words)) AS n_kinds FROM w LEFT JOIN cov ON w.doc_id = cov.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
  NOT (base_failed OR 10 * n_symbols > n_words OR 2 * word_chars < 5 * n_words OR word_chars > 10 * n_words OR 10 * n_dup_lines > 3 * n_lines
+  OR 10 * n_ended < n_lines OR 50 * n_stop < n_words OR 20 * n_kinds < n_words
   OR 2 * length(regexp_replace(t, '\P{Lu}+', '', 'g')) > length(regexp_replace(t, '\P{L}+', '', 'g'))) AS kept FROM b
-"""
+""".replace("@STOP@", ", ".join(f"'{w}'" for w in STOP_WORDS))

@@ -127,6 +127,36 @@ def test_quality_order(spark):
     assert [r[0].name for r in rules] == ["always", "never"]
 
 
+def test_quality_order_of_what_is_left(spark):
+    """A rule that rejects nothing beyond an earlier one comes last, however much it rejects alone."""
+    docs = spark.createDataFrame([("***",)] * 40 + [("###",)] * 10 + [("fine",)] * 50, "text string")
+    stars, marks = F.col("text").startswith("*"), F.col("text").rlike("[*]")
+    rules = quality.ordered(docs, [quality.Rule("b_same", marks), quality.Rule("a_stars", stars), quality.Rule("hash", F.col("text").startswith("#"))])
+    assert rules[-1][0].name in ("a_stars", "b_same") and rules[-1][2] == 0 and {r[0].name: r[2] for r in rules}["hash"] in (0.1, 1 / 6)
+    assert quality.ordered(docs, [], reaches=lambda rows: rows.where("false")) == []
+
+
+def test_quality_table(spark):
+    """The registered query against its SQL."""
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{D}/documents.parquet'")
+    got = quality.op1_quality(spark, D)
+    assert sorted(map(tuple, got.collect())) == sorted(c.execute(quality.OP1_SQL).fetchall())
+    assert got.where("kept").count() > 100
+
+
+def test_quality_rules(spark):
+    """Each rule rejects what it is for; a plain text passes all."""
+    plain = "\n".join(f"The house number {i} of the old street is there and it has a garden." for i in range(6))
+    bad = {"symbols": "&& " * 60, "word_length": "a " * 60, "repeated_lines": "one of the lines.\n" * 9, "open_lines": "a line of the text\nand the next", "upper_case": plain.upper(), "stop_words": " ".join(f"w{i}" for i in range(99)), "few_words": "spam ham " * 50}
+    df = spark.createDataFrame([("plain", plain), ("null", None), ("empty", " \n"), *bad.items()], "name string, text string")
+    rules = quality.default_rules()
+    got = {r["name"]: {x for x in bad if r[x]} for r in df.select("name", *[x.fails.alias(x.name) for x in rules]).collect()}
+    assert set(bad) == {r.name for r in rules} and all(x in got[x] for x in bad) and not got["plain"] and not got["null"] and not got["empty"]
+
+
 def test_substrings(spark, odd, none):
     assert substrings.repeated_spans(none).count() == 0
     spans = substrings.repeated_spans(odd, least_words=20).collect()
