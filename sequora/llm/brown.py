@@ -48,34 +48,44 @@ def tokens(texts: pa.Array):
         yield lo, np.repeat(np.arange(hi - lo), np.diff(bounds)), h.view(np.int64), shape, bounds
 
 
+def dealt(bucket: np.ndarray, *columns: np.ndarray):
+    """Rows (bucket, one binary of each column): what is bound for one task is one row, so that the shuffle moves few rows."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[order], [c[order] for c in columns]
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
+    ends = np.r_[cuts[1:], len(bucket)]
+    names = ["bucket", *"abc"[: len(columns)]]
+    for lo in range(0, len(cuts), 64):
+        part = list(zip(cuts[lo : lo + 64], ends[lo : lo + 64], strict=False))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[lo : lo + 64]].astype(np.int32)), *(pa.array([c[x:y].tobytes() for x, y in part], pa.binary()) for c in columns)], names)
+
+
 class Sums:
-    """Counts by 64-bit key, merged when many are held and given out when too many are different."""
+    """Counts by 64-bit key, merged when many are held, and given out, dealt by bucket_of(keys), when too many are different."""
 
-    def __init__(self, names: list[str], most: int = 3_000_000):
-        self.names, self.most, self.held, self.size = names, most, [], 0
+    def __init__(self, bucket_of, most: int = 3_000_000):
+        self.bucket_of, self.most, self.held, self.size = bucket_of, most, [], 0
 
     def _merged(self):
         keys = np.concatenate([x[0] for x in self.held])
         u, inverse = np.unique(keys, return_inverse=True)
         return u, np.bincount(inverse, np.concatenate([x[1] for x in self.held]), len(u)).astype(np.int64)
 
-    def add(self, keys: np.ndarray):
-        u, n = np.unique(keys, return_counts=True)
-        self.held.append((u, n.astype(np.int64)))
-        self.size += len(u)
+    def add(self, keys: np.ndarray, n: np.ndarray | None = None):
+        if n is None:
+            keys, n = np.unique(keys, return_counts=True)
+        self.held.append((keys, n.astype(np.int64)))
+        self.size += len(keys)
         if self.size > self.most:
             one = self._merged()
             self.held, self.size = ([], 0) if len(one[0]) > self.most // 3 else ([one], len(one[0]))
             if not self.held:
-                yield from self._rows(*one)
+                yield from dealt(self.bucket_of(one[0]), *one)
 
     def rest(self):
         if self.held:
-            yield from self._rows(*self._merged())
-
-    def _rows(self, *columns):
-        for lo in range(0, len(columns[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 100_000]) for c in columns], self.names)
+            one = self._merged()
+            yield from dealt(self.bucket_of(one[0]), *one)
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -238,62 +248,71 @@ def best_class(left: np.ndarray, right: np.ndarray | None, own: np.ndarray, coun
     return score.argmax(1)
 
 
+def summed(w: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts by word and symbol, in this order."""
+    order = np.lexsort((s, w))
+    w, s, n = w[order], s[order], n[order]
+    at = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (s[1:] != s[:-1])]) if len(w) else np.zeros(0, int)
+    return w[at], s[at], np.add.reduceat(n, at) if len(w) else n
+
+
+def best_left(place: np.ndarray, s: np.ndarray, n: np.ndarray, n_words: int, counts: np.ndarray, n_classes: int) -> np.ndarray:
+    """best_class of words that have no class yet by the symbols s before them, n times; place: the word's number, in order."""
+    into = counts[:, :n_classes]
+    gain = np.log((into + ALPHA) / (into.sum(0) + ALPHA * len(counts)))
+    score = np.add.reduceat(gain[s] * n[:, None], np.flatnonzero(np.r_[True, place[1:] != place[:-1]]), axis=0) if len(s) else np.zeros((0, n_classes))
+    return score.argmax(1)
+
+
 def _round(ids: DataFrame, symbol: np.ndarray, of: np.ndarray, n_hot: int, n_classes: int) -> np.ndarray:
     """Classes that the frequent words choose against the counts of one pass over the corpus."""
-    size, spark = n_classes + SHAPES + 1, ids.sparkSession
-    sent = spark.sparkContext.broadcast(symbol)
+    size, spark, buckets = n_classes + SHAPES + 1, ids.sparkSession, -(-n_hot // 1000)
+    sent = spark.sparkContext.broadcast((symbol, pair_counts(ids, symbol, size), of))
+
+    def bucket_of(keys):
+        return keys // size % n_hot % buckets
 
     def count(batches):
-        sums, total = Sums(["key", "n"]), np.zeros(size * size, np.int64)
+        sums, symbol = Sums(bucket_of), sent.value[0]
         for b in batches:
             for blob in b.column(0):
                 i = np.frombuffer(blob.as_py(), "<u2").astype(np.int64)
-                s = sent.value[i]
-                before = _before(s, size - 1)
-                total += np.bincount(before * size + s, minlength=size * size)
+                s = symbol[i]
                 here = np.flatnonzero(i < n_hot)  # the last token is an end, so each has one after it
-                yield from sums.add(np.concatenate([i[here] * size + before[here], (n_hot + i[here]) * size + s[np.minimum(here + 1, len(s) - 1)]]))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at + 2 * n_hot * size), pa.array(total[at])], ["key", "n"])
+                yield from sums.add(np.concatenate([i[here] * size + _before(s, size - 1)[here], (n_hot + i[here]) * size + s[np.minimum(here + 1, len(s) - 1)]]))
         yield from sums.rest()
 
-    found = written(ids.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "neighbours")
-    counts = _matrix(found.where(F.col("key") >= 2 * n_hot * size).select((F.col("key") - 2 * n_hot * size).alias("pair"), "n"), size, size)
-    frozen = spark.sparkContext.broadcast((counts, of))
+    def merge(batches):
+        sums = Sums(bucket_of)
+        for b in batches:
+            for keys, n in zip(b.column(1), b.column(2), strict=True):
+                yield from sums.add(np.frombuffer(keys.as_py(), np.int64), np.frombuffer(n.as_py(), np.int64))
+        yield from sums.rest()
 
     def choose(batches):
-        counts, of = frozen.value
-        for w, s, n in grouped(batches):
-            word = (w[np.flatnonzero(np.r_[True, w[1:] != w[:-1]])] if len(w) else w).astype(np.int64)
-            place, both = np.searchsorted(word, w), np.zeros((len(word), 2 * size))
-            both[place, s] = n
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(best_class(both[:, :size], both[:, size:], of[word], counts, n_classes))], ["w", "c"])
-
-    rows = found.where(F.col("key") < 2 * n_hot * size).select((F.floor(F.col("key") / size) % n_hot).alias("w"), (F.col("key") % size + F.when(F.col("key") >= n_hot * size, size).otherwise(0)).alias("s"), "n")
-    got = rows.repartition("w").sortWithinPartitions("w").mapInArrow(choose, "w long, c long").toPandas()  # a row for each frequent word
+        _, counts, of = sent.value
+        rows: dict[int, np.ndarray] = {}  # counts of each word of the bucket, before and after it
+        for b in batches:
+            for bucket, keys, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                word = np.arange(bucket, n_hot, buckets)
+                held = rows.setdefault(bucket, np.zeros((len(word), 2 * size)))
+                key = np.frombuffer(keys.as_py(), np.int64)
+                at = (key // size % n_hot) // buckets * 2 * size + key % size + np.where(key >= n_hot * size, size, 0)
+                held += np.bincount(at, np.frombuffer(n.as_py(), np.int64), held.size).reshape(held.shape)
+        for bucket, held in rows.items():
+            word = np.arange(bucket, n_hot, buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(best_class(held[:, :size], held[:, size:], of[word], counts, n_classes))], ["w", "c"])
+
+    found = ids.mapInArrow(count, "bucket int, a binary, b binary")
+    parts = ids.rdd.getNumPartitions()
+    if parts > 256:  # some tasks' counts of a bucket are added up first, so that no task reads those of all
+        found = found.withColumn("salt", F.spark_partition_id() % (parts // 64)).repartition("bucket", "salt").drop("salt").mapInArrow(merge, "bucket int, a binary, b binary")
+    got = found.repartition(buckets, "bucket").mapInArrow(choose, "w long, c long").toPandas()  # a row for each frequent word
     new = of.copy()
     new[got["w"].to_numpy(np.int64)] = got["c"].to_numpy(np.int64)
     return new
 
 
-def grouped(batches, most: int = 1000):
-    """Columns of sorted rows as numpy arrays, some whole groups of the first column (at most so many) at a time."""
-    held = None
-    for b in batches:
-        now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns)]
-        held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-        starts = np.flatnonzero(np.r_[True, held[0][1:] != held[0][:-1]]) if len(held[0]) else np.zeros(0, int)
-        if len(starts) > most:
-            for lo in range(0, len(starts) - 1, most):
-                hi = min(lo + most, len(starts) - 1)
-                yield [x[starts[lo] : starts[hi]] for x in held]
-            held = [x[starts[-1] :] for x in held]
-    if held is not None and len(held[0]):
-        starts = np.r_[np.flatnonzero(np.r_[True, held[0][1:] != held[0][:-1]]), len(held[0])]
-        for lo in range(0, len(starts) - 1, most):
-            yield [x[starts[lo] : starts[min(lo + most, len(starts) - 1)]] for x in held]
-
-
 @dataclass
 class Model:
     """words: (word, n, cls) of all words but the broadcast ones; hot: hashes, counts and classes of those.
@@ -338,36 +357,51 @@ def learn(train: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Mod
     pairs = pair_counts(ids, symbol, size)
     sent = spark.sparkContext.broadcast((np.sort(words), np.argsort(words), symbol, pairs))
 
+    # all other words: (word, symbol before and shape) pairs, dealt by word to tasks of some million
+    n_words = counts.where(F.col("word") != END).agg(F.sum("n")).first()[0] or 0
+    n_buckets = max(1, -(-(n_words - int(n_of.sum())) // 3_000_000))
+
     def cold(batches):
         keys, order, symbol, _ = sent.value
+        held, total = [], 0
+
+        def out():
+            w, s, n = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return dealt((mix(w.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64), w, s, n)
+
         for b in batches:
             for _, _, hashes, shape, _ in tokens(b.column(0)):
                 i = numbers_of(hashes, shape, keys, order)
                 at = np.flatnonzero((i >= len(keys)) & (shape < SHAPES))
-                u = np.empty(len(at), [("w", "<i8"), ("s", "<i4")])
-                u["w"], u["s"] = hashes[at], _before(symbol[i], size - 1)[at] * SHAPES + shape[at]
-                u, n = np.unique(u, return_counts=True)
-                for lo in range(0, len(u), 100_000):
-                    part = u[lo : lo + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part["w"])), pa.array(np.ascontiguousarray(part["s"])), pa.array(n[lo : lo + 100_000])], ["word", "s", "n"])
+                held.append(summed(hashes[at], (_before(symbol[i], size - 1)[at] * SHAPES + shape[at]).astype(np.int32), np.ones(len(at), np.int64)))
+                total += len(at)
+                if total > 1_000_000:
+                    yield from out()
+                    held, total = [], 0
+        if held:
+            yield from out()
 
     def choose(batches):
-        pairs = sent.value[3]
-        into = np.zeros(size * c, np.int64)
-        for w, s, n in grouped(batches):
-            at = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-            word, place = w[at], np.cumsum(np.r_[False, w[1:] != w[:-1]])
-            left = np.zeros((len(word), size))
-            np.add.at(left, (place, s // SHAPES), n)
-            cls = best_class(left, None, np.full(len(word), -1), pairs, c) if rounds else (mix(word.view(np.uint64)) % np.uint64(c)).astype(np.int64)
-            into += np.bincount(s // SHAPES * c + cls[place], n, size * c).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(word), np.int32)), pa.array(word), pa.array(np.add.reduceat(n, at)), pa.array(cls.astype(np.int32)), pa.array(s[at] % SHAPES)], ["kind", "word", "n", "cls", "shape"])
+        pairs, into, got = sent.value[3], np.zeros(size * c, np.int64), {}
+        for b in batches:
+            for bucket, *x in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                got.setdefault(bucket, []).append([np.frombuffer(y, t) for y, t in zip(x, (np.int64, np.int32, np.int64), strict=True)])
+        for parts in got.values():
+            w, s, n = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            starts = np.r_[np.flatnonzero(np.r_[True, w[1:] != w[:-1]]), len(w)] if len(w) else np.zeros(1, int)
+            for lo in range(0, len(starts) - 1, 20_000):
+                some = starts[lo : lo + 20_001]
+                x = slice(some[0], some[-1])
+                word, place = w[some[:-1]], np.repeat(np.arange(len(some) - 1), np.diff(some))
+                cls = best_left(place, s[x] // SHAPES, n[x], len(word), pairs, c) if rounds else (mix(word.view(np.uint64)) % np.uint64(c)).astype(np.int64)
+                into += np.bincount(s[x] // SHAPES * c + cls[place], n[x], size * c).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(word), np.int32)), pa.array(word), pa.array(np.add.reduceat(n[x], some[:-1] - some[0])), pa.array(cls.astype(np.int32)), pa.array(s[some[:-1]] % SHAPES)], ["kind", "word", "n", "cls", "shape"])
         at = np.flatnonzero(into)
         zero = np.zeros(len(at), np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(zero + 1), pa.array(at), pa.array(into[at]), pa.array(zero), pa.array(zero)], ["kind", "word", "n", "cls", "shape"])
 
-    neighbours = train.select(F.col(text_col).cast("string")).mapInArrow(cold, "word long, s int, n long").groupBy("word", "s").agg(F.sum("n").alias("n"))
-    chosen = written(neighbours.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "kind int, word long, n long, cls int, shape int"), "classes")
+    neighbours = train.select(F.col(text_col).cast("string")).mapInArrow(cold, "bucket int, a binary, b binary, c binary")
+    chosen = written(neighbours.repartition(n_buckets, "bucket").mapInArrow(choose, "kind int, word long, n long, cls int, shape int"), "classes")
     into = _matrix(chosen.where("kind = 1").groupBy(F.col("word").alias("pair")).agg(F.sum("n").alias("n")), size, c)
     rest = chosen.where("kind = 0").select("word", "n", "cls")
     of_shape = np.zeros((SHAPES, c))

@@ -697,6 +697,8 @@ def test_best_class():
         p = lambda x: np.log((np.maximum(x, 0) + brown.ALPHA) / (max(x.sum(), 0) + brown.ALPHA * 7))
         return left[w] @ p(into) + right[w] @ p(out)
 
+    word, s = np.nonzero(left)
+    assert brown.best_left(word, s, left[word, s], 6, counts, 4).tolist() == brown.best_class(left, None, np.full(6, -1), counts, 4).tolist()
     assert brown.best_class(left, right, own, counts, 4).tolist() == [max(range(4), key=lambda c, w=w: gain(w, c)) for w in range(6)]
 
 
