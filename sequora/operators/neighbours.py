@@ -8,21 +8,33 @@ from pyspark.sql import functions as F
 from sequora.functions.codes import packed_distance, planes, weights
 
 
-def packed(aln: DataFrame, prefix: str, codes: str = "codes") -> DataFrame:
+def packed(aln: DataFrame, prefix: str, n_sites: int, codes: str = "codes") -> DataFrame:
     """Adds the three bit planes of the codes as columns with a prefix."""
-    k, c, b = planes(F.col(codes))
+    k, c, b = planes(F.col(codes), n_sites)
     return aln.withColumns({f"{prefix}_k": k, f"{prefix}_c": c, f"{prefix}_b": b})
 
 
-def distances(queries: DataFrame, references: DataFrame, n_sites: int, loo: bool = True) -> DataFrame:
-    """(q, r, d4): four times the distance of every query to every other reference, of all pairs in blocks.
+def in_blocks(left: DataFrame, right: DataFrame, blocks: int, on: list[str] | None = None) -> DataFrame:
+    """All pairs of two tables (of equal values of `on`), met by equality on a grid of blocks, so that the work is dealt evenly.
 
-    Equal rows are packed into bit planes first, so a pair costs a few machine words.
+    Each row goes to one block and is sent to every block of the other side: blocks * (rows of both) rows are shuffled.
     """
-    q = packed(queries, "q").select(F.col("seq").alias("q"), "q_k", "q_c", "q_b")
-    r = packed(references, "r").select(F.col("seq").alias("r"), "r_k", "r_c", "r_b")
-    pairs = q.join(r, F.col("q") != F.col("r")) if loo else q.crossJoin(r)
-    return pairs.select("q", "r", packed_distance("q", "r", n_sites).alias("d4"))
+    on, n = on or [], F.lit(blocks)
+    spread = F.explode(F.sequence(F.lit(0), n - 1))
+    a = left.withColumn("_x", F.pmod(F.xxhash64(*left.columns), n).cast("int")).withColumn("_y", spread)
+    b = right.withColumn("_y", F.pmod(F.xxhash64(*right.columns), n).cast("int")).withColumn("_x", spread)
+    return a.join(b, [*on, "_x", "_y"]).drop("_x", "_y")
+
+
+def distances(queries: DataFrame, references: DataFrame, n_sites: int, loo: bool = True, cost: dict[tuple[int, int], float] | None = None, blocks: int = 8) -> DataFrame:
+    """(q, r, d4): four times the distance of every query to every other reference, of all pairs in a grid of blocks.
+
+    Rows are packed into bit planes first, so a pair costs a few machine words per 64 sites. cost: see packed_distance.
+    """
+    q = packed(queries, "q", n_sites).select(F.col("seq").alias("q"), "q_k", "q_c", "q_b")
+    r = packed(references, "r", n_sites).select(F.col("seq").alias("r"), "r_k", "r_c", "r_b")
+    pairs = in_blocks(q, r, blocks)
+    return (pairs.where("q <> r") if loo else pairs).select("q", "r", packed_distance("q", "r", n_sites, cost).alias("d4"))
 
 
 def ranked(dist: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -53,10 +53,11 @@ def interval_coverage(intervals: DataFrame) -> DataFrame:
 
 
 def entropy(counts: DataFrame, by: list[str], missing: bool = False) -> DataFrame:
-    """(by, h, known): entropy in bits of the codes; null where all are missing. counts: (by, code, n)."""
-    c = counts if missing else counts.where("code > 0")
-    total = c.groupBy(*by).agg(F.sum("n").alias("known"), F.sum(F.col("n") * F.log2(F.col("n"))).alias("s"))
-    return total.select(*by, (F.log2("known") - F.col("s") / F.col("known")).alias("h"), "known")
+    """(by, h, known): entropy in bits of the codes; infinite where all are missing. counts: (by, code, n)."""
+    n = F.when(F.lit(missing) | (F.col("code") > 0), F.col("n")).otherwise(0)
+    total = counts.groupBy(*by).agg(F.sum(n).alias("known"), F.sum(F.when(n > 0, n * F.log2(n)).otherwise(0.0)).alias("s"))
+    h = F.when(F.col("known") > 0, F.log2("known") - F.col("s") / F.col("known")).otherwise(F.lit(float("inf")))
+    return total.select(*by, h.alias("h"), "known")
 
 
 def code_counts(cells: DataFrame, by: list[str]) -> DataFrame:
@@ -85,43 +86,47 @@ def conditional_entropy(cells: DataFrame, taxon: str) -> DataFrame:
     return per.groupBy("site").agg((F.sum(F.col("t") * (F.log2("t") - F.col("s") / F.col("t"))) / F.sum("t")).alias("gain"))
 
 
-def collapse(aln: DataFrame) -> DataFrame:
-    """(codes, rep, n, missing): equal rows as one, represented by the least."""
-    return aln.groupBy("codes").agg(F.min("seq").alias("rep"), F.count("*").alias("n")).withColumn("missing", F.size(F.filter("codes", lambda c: c == 0)).cast("bigint"))
+def collapse(aln: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, codes, rep, n, missing): equal rows (of a window or other key) as one, represented by the least."""
+    return aln.groupBy(*(by or []), "codes").agg(F.min("seq").alias("rep"), F.count("*").alias("n")).withColumn("missing", F.size(F.filter("codes", lambda c: c == 0)).cast("bigint"))
 
 
-def contained(branches: DataFrame) -> DataFrame:
-    """(rep) of branches whose known sites all equal those of a more complete one.
+def contained(branches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, rep) of branches whose known sites all equal those of a more complete one.
 
     Rows meet on the positions they know: every missing pattern of a branch (few distinct
     ones) is laid over the more complete branches, so the join is by equality, not by pairs.
     """
-    mask = F.transform("codes", lambda c: c > 0)
+    by, mask = by or [], F.transform("codes", lambda c: c > 0)
     gaps = branches.where("missing > 0").withColumn("mask", mask)
-    patterns = gaps.select("mask", "missing").distinct()
-    over = branches.select("codes", F.col("missing").alias("m")).join(patterns, F.col("m") < F.col("missing"))
-    over = over.select("mask", F.zip_with("codes", "mask", lambda c, k: F.when(k, c).otherwise(F.lit(0))).alias("codes")).distinct()
-    return gaps.join(over, ["mask", "codes"], "left_semi").select("rep")
+    patterns = gaps.select(*by, "mask", "missing").distinct()
+    more = branches.select(*by, "codes", F.col("missing").alias("m"))
+    over = (more.join(patterns, by) if by else more.crossJoin(patterns)).where("m < missing")
+    over = over.select(*by, "mask", F.zip_with("codes", "mask", lambda c, k: F.when(k, c).otherwise(F.lit(0))).alias("codes")).distinct()
+    return gaps.join(over, [*by, "mask", "codes"], "left_semi").select(*by, "rep")
 
 
-def full_collapse(aln: DataFrame, most_missing: float) -> DataFrame:
-    """Branches that are kept: few enough missing sites, and contained in no other."""
-    b = collapse(aln).where(F.col("missing") <= F.lit(most_missing) * F.size("codes"))
-    return b.join(contained(b), "rep", "left_anti")
+def full_collapse(aln: DataFrame, most_missing: float, by: list[str] | None = None) -> DataFrame:
+    """Branches that are kept: few enough missing sites, and contained in no other (of their key)."""
+    b = collapse(aln, by).where(F.col("missing") <= F.lit(most_missing) * F.size("codes"))
+    return b.join(contained(b, by), [*(by or []), "rep"], "left_anti")
 
 
-def members(aln: DataFrame, branches: DataFrame) -> DataFrame:
-    """(seq, branch): the kept branch of each row, -1 for rows that were absorbed or left out."""
-    return aln.select("seq", "codes").join(branches.select("codes", F.col("rep").alias("branch")), "codes", "left").select("seq", F.coalesce("branch", F.lit(-1)).alias("branch"))
+def members(aln: DataFrame, branches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, seq, branch): the kept branch of each row, -1 for rows that were absorbed or left out."""
+    by = by or []
+    own = branches.select(*by, "codes", F.col("rep").alias("branch"))
+    return aln.select(*by, "seq", "codes").join(own, [*by, "codes"], "left").select(*by, "seq", F.coalesce("branch", F.lit(-1)).alias("branch"))
 
 
-def consensus(members: DataFrame, ranks: list[str], skip_unknown: bool = False) -> DataFrame:
-    """(branch, one column per rank, lowest): ids that all members share, down to the first rank where they don't."""
-    g = members.groupBy("branch").agg(*[F.when((F.min(r) == F.max(r)) & (F.lit(skip_unknown) | (F.count(r) == F.count("*"))), F.min(r)).alias(r) for r in ranks])
+def consensus(members: DataFrame, ranks: list[str], skip_unknown: bool = False, by: list[str] | None = None) -> DataFrame:
+    """(by, branch, one column per rank, lowest): ids that all members share, down to the first rank where they don't."""
+    by = by or []
+    g = members.groupBy(*by, "branch").agg(*[F.when((F.min(r) == F.max(r)) & (F.lit(skip_unknown) | (F.count(r) == F.count("*"))), F.min(r)).alias(r) for r in ranks])
     kept, out = F.lit(True), []
     for r in ranks:
         ok = F.col(r).isNotNull() if not skip_unknown else F.col(r).isNotNull() | F.lit(True)
         kept = kept & ok
         out.append(F.when(kept, F.col(r)).alias(r))
-    g = g.select("branch", *out)
+    g = g.select(*by, "branch", *out)
     return g.withColumn("lowest", F.coalesce(*[F.col(r) for r in reversed(ranks)]))

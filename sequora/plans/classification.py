@@ -16,8 +16,8 @@ DIST, SUP = "cells dist", "cells lin dist rk near sup"
 
 
 def _dist(spark, d):
-    a = T.alignment(spark, d, 16)
-    return N.distances(a, a, 16)
+    a = T.alignment(spark, d)
+    return N.distances(a, a, 64)
 
 
 def _lin(spark, d):
@@ -43,11 +43,10 @@ def pair_distance(spark, d):
     return _dist(spark, d)
 
 
-@query("SELECT a.seq AS a, b.seq AS b, count(*) FILTER (a.code <> b.code) AS differ FROM cells a JOIN cells b ON a.site = b.site AND a.seq < b.seq WHERE a.site < 16 AND a.label = b.label GROUP BY a.seq, b.seq", "cells")
+@query("SELECT a.seq AS a, b.seq AS b, count(*) FILTER (a.code <> b.code) AS differ FROM cells a JOIN cells b ON a.site = b.site AND a.seq < b.seq WHERE a.label = b.label GROUP BY a.seq, b.seq", "cells")
 def upper_pairs(spark, d):
-    a = T.alignment(spark, d, 16)
-    b = a.select(F.col("seq").alias("b"), F.col("codes").alias("cb"), "label")
-    pairs = a.join(b, "label").where("seq < b")
+    a = T.alignment(spark, d)
+    pairs = N.in_blocks(a, a.select(F.col("seq").alias("b"), F.col("codes").alias("cb"), "label"), 8, ["label"]).where("seq < b")
     return pairs.select(F.col("seq").alias("a"), "b", F.size(F.filter(F.zip_with("codes", "cb", lambda x, y: x != y), lambda x: x)).cast("bigint").alias("differ"))
 
 
@@ -190,12 +189,12 @@ def grid_supports(spark, d):
     """(w_idx, k, mth, q, genus, s): one ranking serves every k, one pass every weighting."""
     w = F.broadcast(spark.createDataFrame(WINDOWS, "w_idx bigint, start int"))
     a = T.alignment(spark, d)
-    p = N.packed(a.crossJoin(w).select("w_idx", "seq", F.slice("codes", F.col("start") + 1, F.lit(16)).alias("codes")), "q")
+    p = N.packed(a.crossJoin(w).select("w_idx", "seq", F.slice("codes", F.col("start") + 1, F.lit(16)).alias("codes")), "q", 16)
     q = p.select("w_idx", F.col("seq").alias("q"), "q_k", "q_c", "q_b")
     r = p.select("w_idx", F.col("seq").alias("r"), F.col("q_k").alias("r_k"), F.col("q_c").alias("r_c"), F.col("q_b").alias("r_b"))
     from sequora.functions.codes import packed_distance, weights
 
-    dist = q.join(r, "w_idx").where("q <> r").select("w_idx", "q", "r", packed_distance("q", "r", 16).alias("d4"))
+    dist = N.in_blocks(q, r, 4, ["w_idx"]).where("q <> r").select("w_idx", "q", "r", packed_distance("q", "r", 16).alias("d4"))
     near = N.ranked(dist, ["w_idx", "q"]).where(F.col("orbit") <= max(KS)).withColumn("k", F.explode(F.array(*[F.lit(k).cast("bigint") for k in KS]))).where("orbit <= k")
     g = Window.partitionBy("w_idx", "q", "k")
     x = weights(F.col("d4"), F.col("lo"), F.col("hi"))
@@ -220,10 +219,12 @@ def grid_search_f1(spark, d):
     return grid_scores(spark, d).select(*_BY, "taxon", R6("f1"))
 
 
-@query("SELECT w_idx, k, mth, round(avg(-ln(least(greatest(coalesce(sm, 0), exp(-10)), 1))), 6) AS ce FROM lin CROSS JOIN (SELECT DISTINCT w_idx, k, mth FROM gs) p LEFT JOIN (SELECT *, exp(s) / sum(exp(s)) OVER (PARTITION BY w_idx, k, mth, q) AS sm FROM gs) x USING (w_idx, k, mth, genus) WHERE lin.genus IS NOT NULL AND (x.q = lin.seq) GROUP BY ALL", "cells lin")
+@query("SELECT w_idx, k, mth, round(avg(-ln(least(greatest(coalesce(sm, 0), exp(-10)), 1))), 6) AS ce FROM lin CROSS JOIN (SELECT DISTINCT w_idx, k, mth FROM gs) p LEFT JOIN (SELECT w_idx, k, mth, q AS seq, genus, exp(s) / sum(exp(s)) OVER (PARTITION BY w_idx, k, mth, q) AS sm FROM gs) x USING (w_idx, k, mth, seq, genus) WHERE lin.genus IS NOT NULL GROUP BY ALL", "cells lin")
 def grid_search_ce(spark, d):
+    """Mean loss of each setting over all sequences of a known genus; one without support for its own genus costs 10."""
     real = _lin(spark, d).where("genus is not null").select(F.col("seq").alias("q"), "genus")
-    s = N.softmax(grid_supports(spark, d), [*_BY, "q"], ("s",)).join(real, ["q", "genus"])
+    settings = spark.createDataFrame([(w, k, m) for w, _ in WINDOWS for k in KS for m in "uwd"], "w_idx bigint, k bigint, mth string")
+    s = real.crossJoin(F.broadcast(settings)).join(N.softmax(grid_supports(spark, d), [*_BY, "q"], ("s",)), [*_BY, "q", "genus"], "left")
     return s.groupBy(*_BY).agg(F.round(F.avg(M.cross_entropy(F.col("softmax_s"))), 6).alias("ce"))
 
 

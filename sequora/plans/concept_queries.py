@@ -13,7 +13,7 @@ MASK, TYP = "cells lin mask", "cells lin mask typ"
 
 
 def _cells(spark, d):
-    c = T.cells(spark, d, 24)
+    c = T.cells(spark, d)
     return c.join(T.lineage(T.alignment(spark, d, 1)), "seq")
 
 
@@ -38,7 +38,7 @@ def type_counts(spark, d):
 
 # small taxa have telling sites: sequences of one label that agree with few others
 
-_FINE = "fine AS (SELECT seq, site, code, CASE WHEN seq % 17 <> 0 THEN seq // 5 END AS genus FROM cells WHERE site < 24)"
+_FINE = "fine AS (SELECT seq, site, code, CASE WHEN seq % 17 <> 0 THEN seq // 5 END AS genus FROM cells)"
 _FTYP = """fo AS (SELECT genus, site, code, count(*) AS n FROM fine WHERE genus IS NOT NULL GROUP BY ALL), ft AS (SELECT site, code, sum(n) AS t FROM fo GROUP BY ALL),
 fm AS (SELECT genus, site, bit_or(CASE WHEN n > 0 THEN 1 << code ELSE 0 END)::BIGINT AS inside, bit_or(CASE WHEN t > n THEN 1 << code ELSE 0 END)::BIGINT AS outside FROM (SELECT g.genus, ft.site, ft.code, t, coalesce(n, 0) AS n FROM ft CROSS JOIN (SELECT DISTINCT genus FROM fo) g LEFT JOIN fo ON fo.genus = g.genus AND fo.site = ft.site AND fo.code = ft.code) GROUP BY genus, site),
 fk AS (SELECT *, inside & ~outside AS own, inside & outside AS shared FROM fm),
@@ -47,7 +47,7 @@ _SHARED3 = "SELECT genus, site, inside AS allowed FROM fy WHERE type = 3 OR bit_
 
 
 def _fine(spark, d):
-    c = T.cells(spark, d, 24)
+    c = T.cells(spark, d)
     return c.select("seq", "site", "code", F.when(F.col("seq") % 17 != 0, F.floor(F.col("seq") / 5)).alias("genus"))
 
 

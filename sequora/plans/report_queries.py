@@ -44,7 +44,7 @@ def winner_report(spark, d):
 def cumulative_distance(spark, d):
     """Differing sites of pairs of one label, added up over windows of 16 sites."""
     a = T.alignment(spark, d)
-    pairs = a.join(a.select(F.col("seq").alias("b"), F.col("codes").alias("cb"), "label"), "label").where("seq < b")
+    pairs = N.in_blocks(a, a.select(F.col("seq").alias("b"), F.col("codes").alias("cb"), "label"), 8, ["label"]).where("seq < b")
     differ = F.zip_with("codes", "cb", lambda x, y: (x != y).cast("bigint"))
     upto = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda w: F.aggregate(F.slice("differ", 1, 16 * (w + 1)), F.lit(0).cast("bigint"), lambda s, x: s + x))
     return pairs.select(F.col("seq").alias("a"), "b", differ.alias("differ")).select("a", "b", F.posexplode(upto).alias("w", "upto")).withColumn("w", F.col("w").cast("bigint"))

@@ -169,35 +169,41 @@ def conditional_entropy(spark, d):
     return S.conditional_entropy(_labelled(spark, d), "genus").select(*_long("site"), F.round("gain", 6).alias("gain"))
 
 
-@query("SELECT codes, rep, n FROM br", "cells aln4 br")
+def _by_window(spark, d):
+    """Every sequence once for each of 16 windows of 4 sites."""
+    a, w = T.alignment(spark, d), F.explode(F.sequence(L(0).cast("bigint"), L(15).cast("bigint")))
+    return a.select("seq", "label", "codes", w.alias("w")).withColumn("codes", F.slice("codes", (4 * F.col("w") + 1).cast("int"), L(4)))
+
+
+@query("SELECT w, codes, rep, n FROM br", "cells aln4 br")
 def exact_collapse(spark, d):
-    return S.collapse(T.alignment(spark, d, 4)).select(F.array_join("codes", "").alias("codes"), *_long("rep", "n"))
+    return S.collapse(_by_window(spark, d), ["w"]).select("w", F.array_join("codes", "").alias("codes"), *_long("rep", "n"))
 
 
-@query("SELECT codes, rep, n, missing FROM kept", "cells aln4 br kept")
+@query("SELECT w, codes, rep, n, missing FROM kept", "cells aln4 br kept")
 def containment_collapse(spark, d):
-    return S.full_collapse(T.alignment(spark, d, 4), 0.5).select(F.array_join("codes", "").alias("codes"), *_long("rep", "n", "missing"))
+    return S.full_collapse(_by_window(spark, d), 0.5, ["w"]).select("w", F.array_join("codes", "").alias("codes"), *_long("rep", "n", "missing"))
 
 
-@query("SELECT seq, coalesce(rep, -1) AS branch FROM aln4 LEFT JOIN kept USING (codes)", "cells aln4 br kept")
+@query("SELECT aln4.w, seq, coalesce(rep, -1) AS branch FROM aln4 LEFT JOIN kept ON aln4.w = kept.w AND aln4.codes = kept.codes", "cells aln4 br kept")
 def branch_map(spark, d):
-    aln = T.alignment(spark, d, 4)
-    return S.members(aln, S.full_collapse(aln, 0.5)).select(*_long("seq", "branch"))
+    aln = _by_window(spark, d)
+    return S.members(aln, S.full_collapse(aln, 0.5, ["w"]), ["w"]).select(*_long("w", "seq", "branch"))
 
 
-@query("SELECT branch, ord AS \"order\", CASE WHEN ord IS NOT NULL THEN family END AS family, CASE WHEN ord IS NOT NULL AND family IS NOT NULL THEN genus END AS genus, coalesce(CASE WHEN ord IS NOT NULL AND family IS NOT NULL THEN genus END, CASE WHEN ord IS NOT NULL THEN family END, ord) AS lowest FROM (SELECT kept.rep AS branch, CASE WHEN min(ord) = max(ord) THEN min(ord) END AS ord, CASE WHEN min(family) = max(family) THEN min(family) END AS family, CASE WHEN min(genus) = max(genus) AND count(genus) = count(*) THEN min(genus) END AS genus FROM aln4 JOIN kept USING (codes) JOIN lin USING (seq) GROUP BY kept.rep)", "cells lin aln4 br kept")
+@query("SELECT w, branch, ord AS \"order\", CASE WHEN ord IS NOT NULL THEN family END AS family, CASE WHEN ord IS NOT NULL AND family IS NOT NULL THEN genus END AS genus, coalesce(CASE WHEN ord IS NOT NULL AND family IS NOT NULL THEN genus END, CASE WHEN ord IS NOT NULL THEN family END, ord) AS lowest FROM (SELECT kept.w, kept.rep AS branch, CASE WHEN min(ord) = max(ord) THEN min(ord) END AS ord, CASE WHEN min(family) = max(family) THEN min(family) END AS family, CASE WHEN min(genus) = max(genus) AND count(genus) = count(*) THEN min(genus) END AS genus FROM aln4 JOIN kept USING (w, codes) JOIN lin USING (seq) GROUP BY kept.w, kept.rep)", "cells lin aln4 br kept")
 def collapsed_consensus(spark, d):
-    aln = T.alignment(spark, d, 4)
-    m = S.members(aln, S.full_collapse(aln, 0.5)).where("branch <> -1").join(T.lineage(aln), "seq")
-    return S.consensus(m, ["order", "family", "genus"]).select(*_long("branch", "order", "family", "genus", "lowest"))
+    aln = _by_window(spark, d)
+    m = S.members(aln, S.full_collapse(aln, 0.5, ["w"]), ["w"]).where("branch <> -1").join(T.lineage(T.alignment(spark, d, 1)), "seq")
+    return S.consensus(m, ["order", "family", "genus"], by=["w"]).select(*_long("w", "branch", "order", "family", "genus", "lowest"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS w, coalesce(n, 0) AS branches, CASE WHEN coalesce(n, 0) < 130 THEN 'too few branches' END AS reason FROM range(4) t(i) LEFT JOIN (SELECT w, count(DISTINCT codes) AS n FROM (SELECT seq, site // 4 AS w, string_agg(CAST(code AS VARCHAR), '' ORDER BY site) AS codes FROM cells WHERE site < 16 GROUP BY ALL) GROUP BY w) ON i = w", "cells")
+@query("SELECT CAST(i AS BIGINT) AS w, coalesce(n, 0) AS branches, CASE WHEN coalesce(n, 0) < 130 THEN 'too few branches' END AS reason FROM range(16) t(i) LEFT JOIN (SELECT w, count(*) AS n FROM kept GROUP BY w) ON i = w", "cells aln4 br kept")
 def rejected_windows(spark, d):
-    w = F.broadcast(spark.createDataFrame([(i, 4 * i) for i in range(4)], "w bigint, s int"))
-    parts = T.alignment(spark, d, 16).join(w).select("w", F.slice("codes", F.col("s") + 1, L(4)).alias("codes")).distinct()
-    n = w.join(parts.groupBy("w").agg(F.count("*").alias("branches")), "w", "left").select("w", F.coalesce("branches", L(0)).alias("branches"))
-    return n.withColumn("reason", F.when(F.col("branches") < 130, "too few branches"))
+    """Windows whose sequences collapse to too few branches."""
+    w = spark.range(16).withColumnRenamed("id", "w")
+    n = S.full_collapse(_by_window(spark, d), 0.5, ["w"]).groupBy("w").agg(F.count("*").alias("branches"))
+    return w.join(n, "w", "left").select("w", F.coalesce("branches", L(0)).alias("branches")).withColumn("reason", F.when(F.col("branches") < 130, "too few branches"))
 
 
 @query()

@@ -69,7 +69,7 @@ def test_consensus(spark):
 
 def test_entropy(spark):
     df = spark.createDataFrame([(0, c) for c in (1, 1, 2, 2, 0)] + [(1, c) for c in (1, 1, 0)] + [(2, 0)], "site int, code int")
-    assert {r.site: r.h for r in sites.entropy(sites.code_counts(df, ["site"]), ["site"]).collect()} == {0: 1.0, 1: 0.0}
+    assert {r.site: r.h for r in sites.entropy(sites.code_counts(df, ["site"]), ["site"]).collect()} == {0: 1.0, 1: 0.0, 2: float("inf")}
 
 
 def test_metrics(spark):
@@ -130,3 +130,38 @@ def test_entry_and_oracle_names(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_distance_any_sites(spark):
+    """Against a sum over sites, with as many sites as fit a word, one more, and a default window; costs of any kind."""
+    import random
+
+    rnd = random.Random(1)
+    odd = C.parse_cost("s1v2") | {(1, 3): 0.75, (4, 0): 3.0}
+    for n in (1, 64, 65, 200):
+        rows = [(i, [rnd.randrange(5) for _ in range(n)]) for i in range(9)]
+        df = spark.createDataFrame(rows, "seq bigint, codes array<int>")
+        for cost in (None, C.parse_cost("id"), C.parse_cost("s1v2"), C.parse_cost("s2v5"), odd):
+            table = cost or C.parse_cost("s1v2")
+            want = {(a, b): 4 * sum(table[x, y] for x, y in zip(p, q, strict=True)) for a, p in rows for b, q in rows if a != b}
+            got = {(r.q, r.r): r.d4 for r in neighbours.distances(df, df, n, cost=cost, blocks=3).collect()}
+            assert got == want
+
+
+def test_mesas_slope(spark):
+    """A slow slope is one plateau however far it falls; a step of a twentieth of the peak ends it."""
+    def found(c):
+        df = spark.createDataFrame(list(enumerate(c)), "site bigint, coverage bigint")
+        return [tuple(r) for r in intervals.mesas(df).collect()]
+
+    slope = list(range(100, 78, -2))
+    assert found(slope) == [(0, 11, 11, 90.0)]
+    assert found([*slope, 40, 40, 40, 40]) == [(0, 11, 11, 90.0), (11, 15, 4, 40.0)]
+    assert found([5, 5, 5, 50, 50, 50, 5, 5, 5, 100, 100, 100]) == [(3, 6, 3, 50.0), (9, 12, 3, 100.0)]
+
+
+def test_encode_refuses_other_letters(spark):
+    df = spark.createDataFrame([("ACGTUN-R",)], "s string")
+    assert df.select(C.encode(F.col("s"))).first()[0] == "12344000"
+    with pytest.raises(Exception, match="no base letters"):
+        spark.createDataFrame([("ACGJ",)], "s string").select(C.encode(F.col("s"))).collect()
