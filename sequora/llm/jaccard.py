@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, kept_by, written
 from .words import Words, blocks, mix, shingles
 
 #: Entries that a task sorts at once, and shingles that one trie holds.
@@ -79,6 +79,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     schema = StructType([StructField("id", kind), StructField("n_shingles", LongType()), StructField("cls", LongType())])
 
     def run(batches):
+        kept_by("jaccard")  # frees what an operator before kept in this worker
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             for lo, h, bounds in set_rows(texts, n):

@@ -22,11 +22,18 @@ from .common import kept_by
 
 #: Runs of letters: \\w less digits, the underscore and numbers that are no letters (such as superscripts and fractions).
 LETTERS = re.compile(rf"[^\W\d_{''.join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())}]+")
+WORDS = re.compile(r"[^\W\d_]+")  # ten times as fast, and right for words of letters only
 #: Probability of a letter that is no piece; words kept by a worker; letters after which sums are scaled.
 FLOOR, KEPT, SCALED = 1e-7, 300_000, 16
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
+def letter_words(text: str) -> list[str]:
+    """The text's runs of letters, in lower case."""
+    words = WORDS.findall(text.lower())
+    return words if all(map(str.isalpha, words)) else [x for w in words for x in LETTERS.findall(w)]
+
+
 def vocabulary(path: str) -> list[str]:
     """All pieces of a sentencepiece model that can stand in a lower-case word of letters, however long; a leading mark stands for a word's start."""
     import sentencepiece
@@ -62,9 +69,9 @@ class Pieces:
         self.maybe[self.hashes >> np.uint64(44)] = True
 
     def ids(self, codes: np.ndarray):
-        """codes: [words, length]. Yields for each end j: [(start, piece ids)]; none: no piece."""
+        """codes: [words, length]. Yields for each end j: [(start, words that have a piece there, its ids)]; pieces of one letter for all words, none: no piece."""
         n, length = codes.shape
-        prefix = [np.zeros(n, np.uint64)]
+        prefix, all_rows = [np.zeros(n, np.uint64)], np.arange(n)
         for j in range(length):
             prefix.append(prefix[-1] * _B + codes[:, j] + np.uint64(1))
             found = []
@@ -72,13 +79,16 @@ class Pieces:
                 if size > j + 1:
                     break
                 h = _mix(prefix[j + 1] - prefix[j + 1 - size] * self.power[size])
-                got = np.full(n, self.none)
-                some = np.flatnonzero(self.maybe[h >> np.uint64(44)])
-                if len(some):
-                    at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
-                    got[some] = np.where(self.hashes[at] == h[some], self.order[at], self.none)
-                if size == 1 or len(some) and (got != self.none).any():
-                    found.append((j + 1 - size, got))
+                some = np.flatnonzero(self.maybe[h >> np.uint64(44)]) if size > 1 else all_rows
+                if not len(some):
+                    continue
+                x = h[some]
+                at = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
+                there = self.hashes[at] == x
+                if size == 1:
+                    found.append((j, slice(None), np.where(there, self.order[at], self.none)))
+                elif there.any():
+                    found.append((j + 1 - size, some[there], self.order[at[there]]))
             yield j + 1, found
 
 
@@ -101,11 +111,11 @@ def forward(pieces: Pieces, prob: np.ndarray, words: list[str]) -> np.ndarray:
         alpha, scale = {0: np.ones((len(part), prob.shape[1]))}, np.zeros((len(part), prob.shape[1]))
         for j, found in pieces.ids(codes):
             total = np.zeros_like(scale)
-            for i, ids in found:
+            for i, rows, ids in found:
                 p = prob[ids]
                 if i == j - 1:
                     p = np.maximum(p, FLOOR)
-                total += alpha[i] * p
+                total[rows] += alpha[i][rows] * p
             alpha[j] = total
             alpha.pop(j - pieces.longest, None)
             if j % SCALED == 0:
@@ -130,7 +140,9 @@ def fit(pieces: Pieces, counts: dict[str, dict[str, int]], rounds: int = 3) -> n
             # sums from the start and from the end, each with the log of what it was scaled by
             alpha, log_a, live, scale = [ones], [zero], {0: ones}, zero
             for j, found in steps:
-                total = sum(live[i] * (np.maximum(prob[ids], FLOOR) if i == j - 1 else prob[ids]) for i, ids in found)
+                total = np.zeros_like(zero)
+                for i, rows, ids in found:
+                    total[rows] += live[i][rows] * (np.maximum(prob[ids], FLOOR) if i == j - 1 else prob[ids])
                 live[j] = total
                 live.pop(j - pieces.longest, None)
                 if j % SCALED == 0:
@@ -145,15 +157,14 @@ def fit(pieces: Pieces, counts: dict[str, dict[str, int]], rounds: int = 3) -> n
                     scale = scale + np.log(by)
                     live = {k: x / by for k, x in live.items()}
                 beta[j], log_b[j] = live[j], scale
-                for i, ids in found:
-                    more = live[j] * (np.maximum(prob[ids], FLOOR) if i == j - 1 else prob[ids])
-                    live[i] = live[i] + more if i in live else more
+                for i, rows, ids in found:
+                    live.setdefault(i, np.zeros_like(zero))[rows] += live[j][rows] * (np.maximum(prob[ids], FLOOR) if i == j - 1 else prob[ids])
                 del live[j]
             all_of = np.log(alpha[length]) + log_a[length]
             share = weight[part] * np.exp(-all_of) if length <= SCALED else None
             for j, found in steps:
-                for i, ids in found:
-                    post = alpha[i] * prob[ids] * beta[j] * (weight[part] * np.exp(log_a[i] + log_b[j] - all_of) if share is None else share)
+                for i, rows, ids in found:
+                    post = alpha[i][rows] * prob[ids] * beta[j][rows] * (weight[part][rows] * np.exp(log_a[i] + log_b[j] - all_of)[rows] if share is None else share[rows])
                     for k in range(len(langs)):
                         expected[:, k] += np.bincount(ids, post[:, k], len(expected))
         expected[-1] = 0
@@ -171,7 +182,7 @@ def training_words(docs: DataFrame, text_col: str, lang_col: str, id_col: str, p
     picked = rows.where(F.pmod(F.xxhash64("i"), F.lit(2**30)) <= limit[F.col("l")]).select("l", F.substr("t", F.pmod(F.xxhash64(F.lit(1), "i"), F.greatest(F.length("t") - longest, F.lit(0)) + 1).cast("int") + 1, F.lit(longest)).alias("t"))
     counts: dict[str, Counter] = {}
     for r in picked.toLocalIterator():
-        counts.setdefault(r["l"], Counter()).update(LETTERS.findall(r["t"].lower()))
+        counts.setdefault(r["l"], Counter()).update(letter_words(r["t"]))
     return {k: dict(c) for k, c in counts.items() if c}
 
 
@@ -237,7 +248,7 @@ def identify(docs: DataFrame, train: DataFrame, vocabulary_path: str, text_col:
 
             size = 0
             for r, text in enumerate(b.column(1)):
-                words = LETTERS.findall((text.as_py() or "").lower())
+                words = letter_words(text.as_py() or "")
                 for lo in range(0, len(words), 200_000):
                     held.append(words[lo : lo + 200_000])
                     rows.append(r)

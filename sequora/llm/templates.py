@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import kept_by, written
 from .jaccard import near_components
 from .words import Words, blocks, mix
 
@@ -53,6 +53,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     """(k1, k2, leaf, template, lines): a row for each template of each text."""
 
     def run(batches):
+        kept_by("templates")  # frees what an operator before kept in this worker
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
             for k1, k2, text in zip(*(b.column(i) for i in range(3)), strict=True):
@@ -82,7 +83,8 @@ def _in_leaves(rows: DataFrame, leaves: np.ndarray) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 
     def run(batches):
-        bits = np.unpackbits(sent.value).astype(bool)
+        kept_by("templates")
+        bits = np.unpackbits(sent.value).view(bool)
         for b in batches:
             yield b.filter(pa.array(bits[b.column(0).to_numpy() % BITS]))
 
@@ -96,7 +98,8 @@ def _tokens(docs: DataFrame, leaves: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
 
     def run(batches):
-        bits, seen = np.unpackbits(sent.value).astype(bool), set()
+        kept_by("templates")
+        bits, seen = np.unpackbits(sent.value).view(bool), set()
         for b in batches:
             out = []
             for text in b.column(0):

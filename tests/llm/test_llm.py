@@ -399,6 +399,7 @@ def test_language_fit():
 def test_language_letters(spark):
     """Numbers that are no letters make no word; a language of long texts only is learned too."""
     assert not language.LETTERS.search("² ½ 12 Ⅷ _ ٣") and language.LETTERS.findall("a²é3ß") == ["a", "é", "ß"]
+    assert language.letter_words("Ab² ½ c½d E_f 一二 Ⅷ") == ["ab", "c", "d", "e", "f", "一二"] and language.letter_words("² ½") == []
     path = public_tokenizers.path("piece_bpe_32k.model")
     df = spark.createDataFrame([(1, "½ ²", "en"), (2, "the house " * 3000, "en"), (3, "das haus " * 3000, "de"), (4, "x" * 5000, None), (5, "the " + "a" * 300, None)], "doc_id bigint, text string, lang string")
     got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(df, df, path).collect()}
