@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +20,20 @@ GAP = r"[\x20\x09-\x0D]+"
 _cache: dict = {"owner": None, "kept": {}}
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, where the C library can; allocators keep it otherwise, beside the next operator's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def kept_by(owner: str) -> dict:
     """What the operator keeps in this Python worker between tasks; another operator's is freed, so that memory is one operator's."""
     if _cache["owner"] != owner:
         _cache.update(owner=owner, kept={})
+        _give_back()
     return _cache["kept"]
 
 
