@@ -23,9 +23,10 @@ def _whole(docs: DataFrame):
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter (and null ones) and those whose best language is unsure. Rows are judged one by one: repeated rows and equal texts fare alike, a tie of languages has the first name."""
-    rows = docs.select("doc_id", "text", _whole(docs))
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select("text", _whole(docs.select(*[F.col(f"`{c}`") for c in rest])))
     found = identify(rows, docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("_whole.*")
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*["text" if c == "text" else F.col(f"_whole.`{c}`").alias(c) for c in docs.columns])
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -225,7 +226,8 @@ def identify(docs: DataFrame, train: DataFrame, vocabulary_path: str, text_col:
     if not langs:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     model = docs.sparkSession.sparkContext.broadcast((pieces, fit(Pieces(pieces), counts)))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # a text travels once, in its row
+    at = docs.columns.index(text_col)
     schema = StructType([whole.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches):
@@ -247,7 +249,7 @@ def identify(docs: DataFrame, train: DataFrame, vocabulary_path: str, text_col:
                 rows.clear()
 
             size = 0
-            for r, text in enumerate(b.column(1)):
+            for r, text in enumerate(pc.struct_field(b.column(0), at).cast(pa.string())):
                 words = letter_words(text.as_py() or "")
                 for lo in range(0, len(words), 200_000):
                     held.append(words[lo : lo + 200_000])
