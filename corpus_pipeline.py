@@ -16,6 +16,15 @@ from sequora.llm.templates import drop_templates
 #: Least share of the best language; below it a text is in no known language or in several alike.
 LEAST_SCORE = 0.4
 
+#: Arrow batches of the stages: at most so many rows and bytes, so that what a task holds beside the heap doesn't grow with the length of texts.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Sets BATCH in the session, which the plans of the stages read when they run."""
+    for name, value in BATCH.items():
+        spark.conf.set(name, value)
+
 
 def _whole(docs: DataFrame):
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole")
@@ -23,6 +32,7 @@ def _whole(docs: DataFrame):
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter (and null ones) and those whose best language is unsure. Rows are judged one by one: repeated rows and equal texts fare alike, a tie of languages has the first name."""
+    _small_batches(spark)
     rest = [c for c in docs.columns if c != "text"]
     rows = docs.select("text", _whole(docs.select(*[F.col(f"`{c}`") for c in rest])))
     found = identify(rows, docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -31,6 +41,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes recurring lines out of every text; no document goes, null texts stay null, equal texts (repeated rows) lose equal lines."""
+    _small_batches(spark)
     out = drop_templates(docs.select("text", _whole(docs)))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("text")}
     return out.select(*[new[c].alias(c) if c in new else F.col(f"_whole.`{c}`").alias(c) for c in docs.columns])
@@ -38,6 +49,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the least id of each near-duplicate group, and one of its repeated rows. Rows of a null id stay; of two texts of the least id both do."""
+    _small_batches(spark)
     keep = near_components(docs).where("id = component_id").select(F.col("id").alias("kept")).distinct()
     rows = docs.select(_whole(docs), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"))
     one = rows.join(keep, F.col("_id") == F.col("kept"), "left_semi").dropDuplicates(["_id", "_key"])
@@ -54,7 +66,8 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences of 4096 tokens; null texts are empty ones, repeated rows are documents of their own. No document, no row."""
-    return pack_documents(docs, keep=300_000)  # workers still hold memory of earlier stages
+    _small_batches(spark)
+    return pack_documents(docs, keep=200_000)  # workers still hold memory of earlier stages
 
 
 STAGES = [

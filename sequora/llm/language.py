@@ -24,8 +24,8 @@ from .common import kept_by
 #: Runs of letters: \\w less digits, the underscore and numbers that are no letters (such as superscripts and fractions).
 LETTERS = re.compile(rf"[^\W\d_{''.join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())}]+")
 WORDS = re.compile(r"[^\W\d_]+")  # ten times as fast, and right for words of letters only
-#: Probability of a letter that is no piece; words kept by a worker; letters after which sums are scaled.
-FLOOR, KEPT, SCALED = 1e-7, 300_000, 16
+#: Probability of a letter that is no piece; words kept by a worker; letters after which sums are scaled; rows given out at once.
+FLOOR, KEPT, SCALED, ROWS = 1e-7, 150_000, 16, 1000
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -265,7 +265,9 @@ def identify(docs: DataFrame, train: DataFrame, vocabulary_path: str, text_col:
             best = share.argmax(1)
             score = np.where(sizes > 0, share[np.arange(len(best)), best], 0.0)
             pred = pa.array([langs[k] if n else "und" for k, n in zip(best, sizes, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), pred, pa.array(score)], ["row", "lang_pred", "score"])
+            out = pa.RecordBatch.from_arrays([b.column(0), pred, pa.array(score)], ["row", "lang_pred", "score"])
+            for lo in range(0, len(out), ROWS):
+                yield out.slice(lo, ROWS)
 
     return whole.mapInArrow(run, schema).select("row.*", "lang_pred", "score")
 
