@@ -24,17 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, kept_by, written
-from .words import Words, blocks, mix, shingles
+from .words import Words, blocks, mix, shingles, text_buffers
 
 #: Entries that a task sorts at once, and shingles that one trie holds.
 CHUNK, BUCKET, TRIE = 2_000_000, 1_500_000, 3_000_000
 
 
 def set_rows(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, sorted distinct hashes of all rows of a block, bounds by row)."""
+    """(first row, sorted distinct hashes of all rows of a block, bounds by row). Binary rows are sets already: 64-bit hashes in any order."""
     for lo, hi in blocks(texts):
-        w = Words(texts.slice(lo, hi - lo))
-        h, rows = shingles(w.hashes(), w.first, n)
+        if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type):
+            data, offsets = text_buffers(texts.slice(lo, hi - lo))
+            h, rows = np.frombuffer(data.tobytes(), "<u8"), np.repeat(np.arange(hi - lo), np.diff(offsets) // 8)
+        else:
+            w = Words(texts.slice(lo, hi - lo))
+            h, rows = shingles(w.hashes(), w.first, n)
         order = np.lexsort((h, rows))
         h, rows = h[order], rows[order]
         keep = np.ones(len(h), bool)
@@ -71,6 +75,11 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack_mixed(blob), dtype=np.uint64)
 
 
+def _sets_or_text(docs: DataFrame, col: str):
+    """The column as it is if it is binary (sets of hashes), else as text."""
+    return F.col(col) if docs.schema[col].dataType.typeName() == "binary" else F.col(col).cast("string")
+
+
 def classes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """One row per document: id, n_shingles, cls (equal for equal sets, null for empty ones)."""
     from pyspark.sql.types import LongType, StructField, StructType
@@ -86,7 +95,7 @@ def classes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                 size = np.diff(bounds)
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, len(size)), pa.array(size.astype(np.int64)), pa.array(signatures(h, bounds), mask=size == 0)], ["id", "n_shingles", "cls"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), _sets_or_text(docs, text_col).alias("text")).mapInArrow(run, schema)
 
 
 def shared_shingles(docs: DataFrame, text_col: str, n: int, n_buckets: int) -> DataFrame:
@@ -183,7 +192,7 @@ def shared_shingles(docs: DataFrame, text_col: str, n: int, n_buckets: int) -> D
             if some.any():
                 yield from rows(spread(0, uid[some], h[some], count[some].astype(np.uint64)), names, types)
 
-    dealt = docs.select(F.col(text_col).cast("string")).mapInArrow(deal, "bucket int, base long, h binary, i binary, s binary")
+    dealt = docs.select(_sets_or_text(docs, text_col)).mapInArrow(deal, "bucket int, base long, h binary, i binary, s binary")
     return dealt.repartition(n_buckets, "bucket").mapInArrow(meet, "part int, kind int, x binary, y binary, z binary")
 
 
@@ -365,7 +374,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the least id reachable by links (itself if none); two documents link when
     100 * |A and B| >= per_cent * |A or B| over their sets of n-word shingles (A-Z lower-cased,
     words without ASCII white space, fewer words than n: all of them as one). Null and wordless
-    texts have empty sets, no links and their own id. Rows of a null id take part and get the
+    texts have empty sets, no links and their own id. A binary text_col holds sets already, as 64-bit hashes (n has no meaning then). Rows of a null id take part and get the
     least id of their component, or null. Repeated rows and ties share a component. Other
     columns are ignored, whatever their names. An empty table gives an empty table.
     """

@@ -15,65 +15,98 @@ recur (a fixed-size bitmap of leaves decides, its false positives only cost time
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from .common import kept_by, written
 from .jaccard import near_components
 from .words import Words, blocks, mix
 
-DIGIT = re.compile(rb"\d")
+#: Makes every digit a 0, so that a token with a digit is one with a 0.
+_ZERO = bytes(48 if 48 <= x <= 57 else x for x in range(256))
 #: Tokens of the tree, least tokens of a line that is judged, leaves of the bitmap, lines of a leaf that one task takes as they are.
 LEADING, LEAST_TOKENS, BITS, SPLIT = 3, 3, 1 << 24, 20_000
+#: Texts and templates that a task remembers to pass over repeated ones; beyond, it forgets, which only costs time.
+SEEN = 500_000
 
 
 def _hash(x: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(x) - 2**63
+    return xxh3_64_intdigest(x) - 2**63
 
 
-def parse_line(line: bytes) -> tuple[int, bytes, list[bytes]] | None:
-    """(leaf, template, tokens) of a line of enough tokens, else None; a variable token is b'*' where at least half are fixed."""
+def generalise(line: bytes) -> tuple[int, list[bytes]] | None:
+    """(leaf, tokens) of a line of enough tokens, else None; a variable token is b'*' where at least half are fixed."""
     toks = line.split()
     if len(toks) < LEAST_TOKENS:
         return None
-    if DIGIT.search(line):
-        some = [b"*" if DIGIT.search(t) else t for t in toks]
+    zeros = line.translate(_ZERO)
+    if b"0" in zeros:
+        some = [b"*" if b"0" in z else t for z, t in zip(zeros.split(), toks, strict=True)]
         if 2 * some.count(b"*") <= len(toks):
             toks = some
-    return _hash(b"%d " % len(toks) + b" ".join(toks[:LEADING])), b" ".join(toks), toks
+    return _hash(b"%d " % len(toks) + b" ".join(toks[:LEADING])), toks
+
+
+def _runs(column: pa.Array) -> list[bytes]:
+    """The hashes of each text's runs of words, 8 bytes each; a word in four ends a run."""
+    out = []
+    for lo, hi in blocks(column):
+        w = Words(column.slice(lo, hi - lo))
+        h, first = w.hashes(), np.zeros(len(w.starts), bool)
+        first[1:] = h[:-1] % np.uint64(4) == 0
+        first[w.first[:-1][w.first[:-1] < len(h)]] = True
+        at = np.flatnonzero(first)
+        place = np.arange(len(h)) - np.repeat(at, np.diff(np.r_[at, len(h)]))
+        runs = mix(np.add.reduceat(mix(h + mix(place.astype(np.uint64))), at)) if len(at) else h
+        bounds = np.searchsorted(at, w.first)
+        out += [runs[i:j].astype("<u8").tobytes() for i, j in zip(bounds, bounds[1:], strict=False)]
+    return out
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(k1, k2, leaf, template, lines): a row for each template of each text."""
+    """(k1, k2, leaf, template, lines, runs): a row for each template of each text, and one with its runs of words alone. Repeated texts of a task are passed over."""
+    names = ["k1", "k2", "leaf", "template", "lines", "runs"]
+    types = [pa.int64()] * 4 + [pa.list_(pa.int32()), pa.binary()]
 
     def run(batches):
         kept_by("templates")  # frees what an operator before kept in this worker
+        seen = set()
         for b in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for k1, k2, text in zip(*(b.column(i) for i in range(3)), strict=True):
-                found: dict[int, tuple] = {}
-                for i, line in enumerate((text.as_py() or "").encode().split(b"\n")):
-                    if got := parse_line(line):
-                        found.setdefault(_hash(got[1]), (got[0], []))[1].append(i)
-                for t, (leaf, at) in found.items():
-                    for col, x in zip(out, (k1.as_py(), k2.as_py(), leaf, t, at), strict=True):
-                        col.append(x)
-                if len(out[0]) > 20_000:
-                    yield _rows(out)
-                    out = [[] for _ in range(5)]
-            if out[0]:
-                yield _rows(out)
+            new = []
+            for i, key in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if key not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(key)
+                    new.append((i, *key))
+            texts = b.column(2).take(pa.array([i for i, _, _ in new], pa.int64()))
+            for lo in range(0, len(new), 500):  # bounded rows at once
+                part = texts.slice(lo, 500)
+                some = new[lo : lo + 500]
+                none = [None] * len(some)
+                yield _rows([[k1 for _, k1, _ in some], [k2 for _, _, k2 in some], none, none, none, _runs(part)])
+                out: list[list] = [[] for _ in range(5)]
+                for (_, k1, k2), text in zip(some, part, strict=True):
+                    found: dict[int, tuple] = {}
+                    for i, line in enumerate((text.as_py() or "").encode().split(b"\n")):
+                        if got := generalise(line):
+                            found.setdefault(_hash(b" ".join(got[1])), (got[0], []))[1].append(i)
+                    for t, (leaf, at) in found.items():
+                        for col, x in zip(out, (k1, k2, leaf, t, at), strict=True):
+                            col.append(x)
+                    if len(out[0]) > 20_000:
+                        yield _rows([*out, [None] * len(out[0])])
+                        out = [[] for _ in range(5)]
+                if out[0]:
+                    yield _rows([*out, [None] * len(out[0])])
 
     def _rows(out):
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.list_(pa.int32()))], ["k1", "k2", "leaf", "template", "lines"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
 
-    return docs.mapInArrow(run, "k1 long, k2 long, leaf long, template long, lines array<int>")
+    return docs.mapInArrow(run, "k1 long, k2 long, leaf long, template long, lines array<int>, runs binary")
 
 
 def _in_leaves(rows: DataFrame, leaves: np.ndarray) -> DataFrame:
@@ -104,15 +137,15 @@ def _tokens(docs: DataFrame, leaves: np.ndarray) -> DataFrame:
             out = []
             for text in b.column(0):
                 for line in (text.as_py() or "").encode().split(b"\n"):
-                    got = parse_line(line)
+                    got = generalise(line)
                     if got and bits[got[0] % BITS]:
-                        t = _hash(got[1])
+                        t = _hash(b" ".join(got[1]))
                         if t in seen:
                             continue
-                        if len(seen) > 500_000:
+                        if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(t)
-                        out.append((got[0], t, np.array([0 if x == b"*" else _hash(x) for x in got[2]], "<i8").tobytes()))
+                        out.append((got[0], t, np.array([0 if x == b"*" else _hash(x) for x in got[1]], "<i8").tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["leaf", "template", "tokens"])
 
@@ -199,26 +232,6 @@ def _clusters(rows: DataFrame, similar: float) -> DataFrame:
     return first.select("template", "cluster").join(second, "cluster", "left").select("template", F.coalesce("whole", "cluster").alias("cluster"))
 
 
-def _runs(texts: DataFrame) -> DataFrame:
-    """(k1, runs): hashes of a text's runs of words, written as words; a word in four ends a run."""
-
-    def run(batches):
-        for b in batches:
-            for lo, hi in blocks(b.column(1)):
-                w = Words(b.column(1).slice(lo, hi - lo))
-                h, first = w.hashes(), np.zeros(len(w.starts), bool)
-                first[1:] = h[:-1] % np.uint64(4) == 0
-                first[w.first[:-1][w.first[:-1] < len(h)]] = True
-                at = np.flatnonzero(first)
-                place = np.arange(len(h)) - np.repeat(at, np.diff(np.r_[at, len(h)]))
-                runs = mix(np.add.reduceat(mix(h + mix(place.astype(np.uint64))), at)) if len(at) else h
-                bounds = np.searchsorted(at, w.first)
-                words = [f"{x:x}" for x in runs.tolist()]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([" ".join(words[i:j]) for i, j in zip(bounds, bounds[1:], strict=False)], pa.string())], ["k1", "runs"])
-
-    return texts.select("k1", "text").mapInArrow(run, "k1 long, runs string")
-
-
 def drop_templates(docs: DataFrame, text_col: str = "text", least: int = 2, similar: float = 0.8, alike: int = 75) -> DataFrame:
     """docs with recurring lines taken out of text_col, and dropped_lines (line numbers from 0) added.
 
@@ -231,19 +244,20 @@ def drop_templates(docs: DataFrame, text_col: str = "text", least: int = 2, simi
     keys = (F.xxhash64(F.col(text_col)), F.xxhash64(F.lit(1), F.col(text_col)))
     # a null text has the keys of its seeds: no line, nothing to drop
     texts = docs.select(keys[0].alias("k1"), keys[1].alias("k2"), F.col(text_col).cast("string").alias("text"))
-    lines = written(_lines(texts), "lines")
+    found = written(_lines(texts), "lines")
+    lines = found.where("template is not null")
     once = lines.select("leaf", "template", "k1").distinct()
     bit = F.pmod("leaf", F.lit(BITS)).cast("int")
     bits = once.groupBy(bit.alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= least).toArrow()["b"].to_numpy()  # at most BITS
-    pairs = written(_in_leaves(once, bits), "alive")
+    pairs = written(_in_leaves(lines.select("leaf", "template", "k1"), bits).distinct(), "alive")
     alive = pairs.groupBy("leaf", "template").agg(F.count("*").alias("texts"))
     tokens = _tokens(texts, bits).join(alive.select("template", "texts"), "template")
     of = written(_clusters(tokens, similar), "clusters")
     held = pairs.select("template", "k1").join(of, "template").select("cluster", "k1").distinct()
     often = of.join(alive, "template").groupBy("cluster").agg(F.sum("texts").alias("n")).where(F.col("n") >= least)
     held = written(held.join(often.select("cluster"), "cluster"), "held")
-    compared = texts.select("k1", "text").join(held.select("k1").distinct(), "k1", "left_semi")
-    copies = near_components(_runs(compared), "k1", "runs", 1, alike).select(F.col("id").alias("k1"), "component_id").distinct()
+    compared = written(found.where("runs is not null").select("k1", "runs").join(held.select("k1").distinct(), "k1", "left_semi"), "runs")
+    copies = near_components(compared, "k1", "runs", 1, alike).select(F.col("id").alias("k1"), "component_id").distinct()
     apart = held.join(copies, "k1").select("cluster", "component_id").distinct().groupBy("cluster").agg(F.count("*").alias("n"))
     gone = of.join(apart.where(F.col("n") >= least), "cluster").select("template").distinct()
     cut = lines.select("k1", "k2", "template", "lines").distinct().join(gone, "template").groupBy("k1", "k2").agg(F.sort_array(F.flatten(F.collect_list("lines"))).alias("_cut"))

@@ -33,12 +33,12 @@ def blocks(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all rows in a row, and where each row starts (nulls are empty)."""
+    """Bytes of all rows (text or binary) in a row, and where each row starts (nulls are empty)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+        column = column.fill_null(pa.scalar(b"", column.type) if "binary" in str(column.type) else "")
+    kind = np.int64 if str(column.type).startswith("large") else np.int32
     n = len(column)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
