@@ -42,7 +42,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes recurring lines out of every text; no document goes, null texts stay null, equal texts (repeated rows) lose equal lines."""
     _small_batches(spark)
-    out = drop_templates(docs.select("text", _whole(docs)))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    out = drop_templates(docs.select("text", _whole(docs.select(*rest))))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("text")}
     return out.select(*[new[c].alias(c) if c in new else F.col(f"_whole.`{c}`").alias(c) for c in docs.columns])
 

@@ -145,7 +145,7 @@ def _tokens(docs: DataFrame, leaves: np.ndarray) -> DataFrame:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(t)
-                        out.append((got[0], t, np.array([0 if x == b"*" else _hash(x) for x in got[1]], "<i8").tobytes()))
+                        out.append((got[0], t, np.array([0 if x == b"*" else xxh3_64_intdigest(x) for x in got[1]], "<u8").tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["leaf", "template", "tokens"])
 
@@ -157,18 +157,32 @@ class Leaf:
 
     def __init__(self, length: int, similar: float):
         spare = int(length * (1 - similar) + 1e-9)  # places that may differ, all of them beyond the leading ones
-        rest = np.arange(min(LEADING, length), length)
-        self.segments = [x for x in np.array_split(rest, spare + 1) if len(x)] if len(rest) > spare else []
+        start, n = min(LEADING, length), spare + 1
+        cuts = [start + (length - start) * k // n for k in range(n + 1)]
+        self.segments = list(zip(cuts, cuts[1:], strict=False)) if length - start > spare else []
         self.similar, self.length = similar, length
         self.kept: list[np.ndarray] = []
         self.ids: list[int] = []
         self.by: dict[tuple, list[int]] = {}
 
     def _keys(self, x):
-        return [(k, x[s].tobytes()) for k, s in enumerate(self.segments)]
+        raw = x.tobytes()
+        return [(k, raw[8 * lo : 8 * hi]) for k, (lo, hi) in enumerate(self.segments)]
+
+    def _file(self, number, keys):
+        for k in keys:
+            own = self.by.setdefault(k, [])
+            if number not in own:
+                own.append(number)
 
     def place(self, x: np.ndarray, t: int) -> int:
         """Number of the most similar template, or of a new one; of equal ones the first."""
+        if not self.ids:  # a leaf of one line needs no keys
+            self.kept.append(x)
+            self.ids.append(t)
+            return 0
+        if not self.by:
+            self._file(0, self._keys(self.kept[0]))
         keys = self._keys(x)
         at = sorted({c for k in keys for c in self.by.get(k, ())}) if self.segments else list(range(len(self.ids)))
         best, most = -1, 0.0
@@ -189,15 +203,12 @@ class Leaf:
                 return best
             self.kept[best] = now
             keys = self._keys(now)
-        for k in keys:
-            own = self.by.setdefault(k, [])
-            if best not in own:
-                own.append(best)
+        self._file(best, keys)
         return best
 
 
 def _grouped(rows: DataFrame, key: str, similar: float) -> DataFrame:
-    """(leaf, template, cluster, kept): rows of one key, most frequent first, join the most similar template or start one; kept: its tokens then."""
+    """(leaf, template, cluster, kept): rows of one key, most frequent first, join the most similar template or start one; kept: its tokens then, for crowded rows."""
 
     def run(batches):
         at, tree, held = None, None, []
@@ -205,18 +216,18 @@ def _grouped(rows: DataFrame, key: str, similar: float) -> DataFrame:
         def out():
             for lo in range(0, len(held), 10_000):
                 part = held[lo : lo + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2].ids[r[3]] for r in part], pa.int64()), pa.array([r[2].kept[r[3]].tobytes() for r in part], pa.binary())], ["leaf", "template", "cluster", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2].ids[r[3]] for r in part], pa.int64()), pa.array([r[2].kept[r[3]].tobytes() if r[4] else None for r in part], pa.binary())], ["leaf", "template", "cluster", "kept"])
 
         for b in batches:
-            for k, leaf, t, tokens in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for k, leaf, t, tokens, crowded in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 x = np.frombuffer(tokens, "<i8")
                 if (k, len(x)) != at:
                     yield from out()
                     at, tree, held = (k, len(x)), Leaf(len(x), similar), []
-                held.append((leaf, t, tree, tree.place(x, t)))
+                held.append((leaf, t, tree, tree.place(x, t), crowded))
         yield from out()
 
-    return rows.repartition(key).sortWithinPartitions(key, F.length("tokens"), F.desc("texts"), "template").select(F.col(key).alias("key"), "leaf", "template", "tokens").mapInArrow(run, "leaf long, template long, cluster long, kept binary")
+    return rows.repartition(key).sortWithinPartitions(key, F.length("tokens"), F.desc("texts"), "template").select(F.col(key).alias("key"), "leaf", "template", "tokens", "crowded").mapInArrow(run, "leaf long, template long, cluster long, kept binary")
 
 
 def _clusters(rows: DataFrame, similar: float) -> DataFrame:
@@ -228,7 +239,7 @@ def _clusters(rows: DataFrame, similar: float) -> DataFrame:
     first = written(_grouped(dealt.withColumn("part", part), "part", similar), "parts")
     split = first.join(crowded, "leaf", "left_semi")
     heads = split.join(rows.select("template", "texts"), "template").groupBy("leaf", F.col("cluster").alias("template"), F.col("kept").alias("tokens")).agg(F.sum("texts").alias("texts"))
-    second = _grouped(heads, "leaf", similar).select(F.col("template").alias("cluster"), F.col("cluster").alias("whole"))
+    second = _grouped(heads.withColumn("crowded", F.lit(False)), "leaf", similar).select(F.col("template").alias("cluster"), F.col("cluster").alias("whole"))
     return first.select("template", "cluster").join(second, "cluster", "left").select("template", F.coalesce("whole", "cluster").alias("cluster"))
 
 
@@ -246,10 +257,10 @@ def drop_templates(docs: DataFrame, text_col: str = "text", least: int = 2, simi
     texts = docs.select(keys[0].alias("k1"), keys[1].alias("k2"), F.col(text_col).cast("string").alias("text"))
     found = written(_lines(texts), "lines")
     lines = found.where("template is not null")
-    once = lines.select("leaf", "template", "k1").distinct()
     bit = F.pmod("leaf", F.lit(BITS)).cast("int")
-    bits = once.groupBy(bit.alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= least).toArrow()["b"].to_numpy()  # at most BITS
-    pairs = written(_in_leaves(lines.select("leaf", "template", "k1"), bits).distinct(), "alive")
+    several = (F.col("n") >= least) & ((F.col("low") < F.col("high")) | F.lit(least < 2))
+    bits = lines.groupBy(bit.alias("b")).agg(F.count("*").alias("n"), F.min("k1").alias("low"), F.max("k1").alias("high")).where(several).select("b").toArrow()["b"].to_numpy()  # at most BITS
+    pairs = written(_in_leaves(lines.select("leaf", "template", "k1", "k2", "lines"), bits).distinct(), "alive")
     alive = pairs.groupBy("leaf", "template").agg(F.count("*").alias("texts"))
     tokens = _tokens(texts, bits).join(alive.select("template", "texts"), "template")
     of = written(_clusters(tokens, similar), "clusters")
@@ -260,9 +271,10 @@ def drop_templates(docs: DataFrame, text_col: str = "text", least: int = 2, simi
     copies = near_components(compared, "k1", "runs", 1, alike).select(F.col("id").alias("k1"), "component_id").distinct()
     apart = held.join(copies, "k1").select("cluster", "component_id").distinct().groupBy("cluster").agg(F.count("*").alias("n"))
     gone = of.join(apart.where(F.col("n") >= least), "cluster").select("template").distinct()
-    cut = lines.select("k1", "k2", "template", "lines").distinct().join(gone, "template").groupBy("k1", "k2").agg(F.sort_array(F.flatten(F.collect_list("lines"))).alias("_cut"))
+    cut = pairs.join(gone, "template").groupBy("k1", "k2").agg(F.sort_array(F.flatten(F.collect_list("lines"))).alias("_cut"))
     rest = [c for c in docs.columns if c.lower() != "dropped_lines"]
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col(text_col).cast("string").alias("_text"), keys[0].alias("k1"), keys[1].alias("k2"))
+    beside = [c for c in rest if c != text_col]
+    whole = docs.select((F.struct(*[F.col(f"`{c}`") for c in beside]) if beside else F.lit(0)).alias("_row"), F.col(text_col).cast("string").alias("_text"), keys[0].alias("k1"), keys[1].alias("k2"))
     joined = whole.join(cut, ["k1", "k2"], "left")
     kept = F.array_join(F.filter(F.split("_text", "\n", -1), lambda x, i: ~F.array_contains("_cut", i)), "\n")
     text = F.when(F.col("_cut").isNull(), F.col("_text")).otherwise(kept)
