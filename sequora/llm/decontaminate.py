@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import GAP, written
 
-#: Blocks that share out 128 bits. Anchors (item, size, shingle) that are broadcast: 28 bytes each.
-BLOCKS, BROADCAST = 20, 200_000
+#: Blocks that share out 128 bits. Anchors (item, size, shingle) that are broadcast: 28 bytes each. Keys of texts that are: 8 bytes each.
+BLOCKS, BROADCAST, KEYS = 20, 200_000, 2_000_000
 RADIUS = 2 * BLOCKS - 1
 WHITE = " \t\n\x0b\f\r"
 
@@ -80,6 +80,11 @@ def numbered(shingles: str) -> Column:
     return F.transform(shingles, lambda x, i: F.xxhash64(x, i + 1 - F.array_position(shingles, x)))
 
 
+def few(rows: DataFrame, found: DataFrame, key: str, how: str) -> DataFrame:
+    """rows in (left_semi) or not in (left_anti) a written table of distinct keys, which is broadcast up to KEYS of them, so that rows aren't shuffled."""
+    return rows.join(F.broadcast(found) if found.count() <= KEYS else found, key, how)
+
+
 def starts_of(places: str, size: str, total: str, n: int, per_cent: int) -> Column:
     """Starts of the windows that hold enough of the sorted places for per_cent; total: words of the text."""
     gram = F.least(F.col(size), F.lit(n))
@@ -127,9 +132,11 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     at = written(laid.distinct(), "windows")
 
     by_text = at.groupBy("k1", "k2").agg(F.collect_list(F.struct("size", "start")).alias("windows"))
-    held = rows.withColumns(keys).join(by_text, ["k1", "k2"]).select("id", words_of(F.col("text")).alias("w"), "windows")
-    wins = held.select("id", F.explode_outer(F.transform("windows", lambda x: F.struct(x["size"].alias("size"), x["start"].alias("start"), F.slice("w", x["start"] + 1, x["size"]).alias("w")))).alias("x")).select("id", "x.*")
-    wins = wins.withColumn("sh", window_shingles("w", n)).select("id", "size", "start", "sh", F.xxhash64("sh").alias("c1"), F.xxhash64(F.lit(1), F.col("sh")).alias("c2"))
+    # texts without a window stay where they are; of those with one, a single copy is shuffled, and cut
+    some = few(rows.withColumns(keys), at.select("k1").distinct(), "k1", "left_semi")
+    held = some.select("k1", "k2", "text").dropDuplicates(["k1", "k2"]).join(by_text, ["k1", "k2"]).select("k1", "k2", words_of(F.col("text")).alias("w"), "windows")
+    wins = held.select("k1", "k2", F.explode_outer(F.transform("windows", lambda x: F.struct(x["size"].alias("size"), x["start"].alias("start"), F.slice("w", x["start"] + 1, x["size"]).alias("w")))).alias("x")).select("k1", "k2", "x.*")
+    wins = wins.withColumn("sh", window_shingles("w", n)).select("k1", "k2", "size", "start", "sh", F.xxhash64("sh").alias("c1"), F.xxhash64(F.lit(1), F.col("sh")).alias("c2"))
     wins = written(wins, "laid")
 
     contents = wins.select("size", "c1", "c2", "sh").dropDuplicates(["size", "c1", "c2"])
@@ -140,7 +147,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     both = F.size(F.array_intersect("set", "iset"))
     found = near.join(contents.drop("finger"), ["size", "c1", "c2"]).join(it.select("item", "ik", "iset"), "ik").select("size", "c1", "c2", "item", both.alias("both"), (F.size("set") + F.size("iset") - both).alias("any"))
     found = written(found.where(100 * F.col("both") >= per_cent * F.col("any")), "similar")
-    best = wins.drop("sh").join(found, ["size", "c1", "c2"]).groupBy("id", "item").agg(F.max(F.struct((F.col("both") / F.col("any")).alias("similarity"), (-F.col("start")).alias("s"), "size")).alias("m"))
+    top = F.max(F.struct((F.col("both") / F.col("any")).alias("similarity"), (-F.col("start")).alias("s"), "size")).alias("m")
+    texts = written(wins.drop("sh").join(found, ["size", "c1", "c2"]).groupBy("k1", "k2", "item").agg(top), "texts")
+    best = some.select("id", "k1", "k2").join(texts, ["k1", "k2"]).groupBy("id", "item").agg(F.max("m").alias("m"))
     return best.select("id", "item", (-F.col("m.s")).alias("start"), F.col("m.size").alias("n_words"), F.col("m.similarity").alias("similarity"))
 
 

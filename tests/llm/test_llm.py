@@ -523,6 +523,45 @@ def test_leaks_recall(spark, monkeypatch):
         assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 300
 
 
+def shuffled(spark, run):
+    """Bytes that a call writes to shuffles (in local mode)."""
+    context = spark.sparkContext._jsc.sc()
+
+    def total():
+        context.listenerBus().waitUntilEmpty()
+        every = context.statusStore().executorList(False)
+        return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_leaks_leave_texts_in_place(spark):
+    """Texts without a window aren't shuffled, even where no table is small enough to be broadcast unasked."""
+    rnd = random.Random(8)
+    item = " ".join(f"i{k}" for k in range(12))
+    texts = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz ", k=20_000)) for _ in range(100)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "so " + item + " there"])], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = []
+        assert shuffled(spark, lambda: got.extend(decontaminate.leaks(docs, items).collect())) < 300_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert [(r.id, r.item, r.start) for r in got] == [(100, 1, 1)]
+
+
+def test_leaks_beyond_keys(spark, monkeypatch):
+    """More found texts than are broadcast: the same rows."""
+    docs, items = spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/benchmark.parquet")
+    want = sorted(map(tuple, decontaminate.leaks(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "KEYS", 0)
+    assert want and sorted(map(tuple, decontaminate.leaks(docs, items).collect())) == want
+
+
 def test_leaks_blocks(spark):
     """Fingerprints within the radius share a key whatever bits differ; the radius is the greatest with that promise."""
     rnd = random.Random(6)
