@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sequora.operators import neighbours as N
 from sequora.sources import tables as T
 
-from .classification import _dist, _lin, _near
+from .classification import _counts, _lin, _near, _ranked
 from .concept_queries import _FINE, _ONE, _STYP, _SUP, _fine, _single, _supplier_types, _types
 from .registry import CTE, query
 
@@ -22,8 +22,8 @@ def weights_rara(spark, d):
 
 @query("SELECT q, CASE WHEN nx = n THEN -1 ELSE genus END AS pred, n AS votes FROM (SELECT q, genus, n, row_number() OVER (PARTITION BY q ORDER BY n DESC, genus) AS rn, lead(n) OVER (PARTITION BY q ORDER BY n DESC, genus) AS nx FROM (SELECT q, genus, count(*) AS n FROM rk JOIN lin ON rk.r = lin.seq WHERE place <= 3 AND genus IS NOT NULL GROUP BY ALL)) WHERE rn = 1", "cells lin dist rk")
 def majority_vote(spark, d):
-    near = _near(spark, d, 3, "neighbour").where("genus is not null")
-    votes = near.groupBy("q", "genus").agg(F.count("*").alias("n"))
+    near = N.each_taxon(_counts(spark, d, 3, "neighbour"), "genus")
+    votes = near.groupBy("q", "genus").agg(F.sum("n").alias("n"))
     return N.winner(votes, ["q"], "genus", "n").withColumnRenamed("support", "votes")
 
 
@@ -34,7 +34,7 @@ _BY_RANK = "rs AS (SELECT q, rank, taxon, round(sum(w), 6) AS s FROM (SELECT q,
 def winner_report(spark, d):
     """The winner and its support at each rank, a row per query."""
     lin = _lin(spark, d).select(F.col("seq").alias("r"), "family", "genus").unpivot("r", ["family", "genus"], "rank", "taxon").where("taxon is not null")
-    near = N.neighbours(_dist(spark, d), 3).join(lin, "r")
+    near = _ranked(spark, d).join(lin, "r")
     win = N.winner(N.support(near, ["q", "rank"], "taxon"), ["q", "rank"], "taxon", "w")
     wide = win.groupBy("q").pivot("rank", ["family", "genus"]).agg(F.first("pred").alias("p"), F.first("support").alias("s"))
     return wide.select("q", F.col("family_p").alias("family"), F.col("family_s").alias("family_support"), F.col("genus_p").alias("genus"), F.col("genus_s").alias("genus_support"))

@@ -165,3 +165,33 @@ def test_encode_refuses_other_letters(spark):
     assert df.select(C.encode(F.col("s"))).first()[0] == "12344000"
     with pytest.raises(Exception, match="no base letters"):
         spark.createDataFrame([("ACGJ",)], "s string").select(C.encode(F.col("s"))).collect()
+
+
+def test_nearest_equals_all_pairs(spark, monkeypatch):
+    """Blocks of a few rows, copies, short rows, unknown taxa and groups: the neighbours of all pairs; tallies add up to them."""
+    import random
+
+    monkeypatch.setattr(neighbours, "REFERENCES", 9)
+    monkeypatch.setattr(neighbours, "QUERIES", 7)
+    monkeypatch.setattr(neighbours, "COLUMNS", 4)
+    monkeypatch.setattr(neighbours, "HELD", 5)
+    rnd = random.Random(5)
+    rows = [(w, i, [rnd.randrange(5) for _ in range(4 if i % 6 else 3)], None if i % 7 == 0 else i % 3) for w in range(2) for i in range(40)]
+    df = spark.createDataFrame(rows, "w bigint, seq bigint, codes array<int>, taxon bigint")
+    cost = C.cost_table(1, 3)
+    near = lambda d, c: sorted((r.w, r.q, r.r, r.d4, r.u, round(r["w2"], 9), round(r.d, 9)) for r in neighbours.neighbours(d.withColumnRenamed("w", "g"), 3, c, ["g", "q"]).withColumnRenamed("w", "w2").withColumnRenamed("g", "w").collect())
+    for criterion in ("orbit", "neighbour"):
+        full = None
+        for w in range(2):
+            one = neighbours.distances(df.where(f"w = {w}"), df.where(f"w = {w}"), 4, cost=cost).withColumn("w", F.lit(w).cast("bigint"))
+            full = one if full is None else full.unionByName(one)
+        want = near(full, criterion)
+        pairs = neighbours.nearest(df, df, 4, 3, criterion, by=["w"], cost=cost)
+        assert want and near(pairs, criterion) == want
+        tally = neighbours.neighbour_counts(neighbours.nearest(df, df, 4, 3, criterion, by=["w"], taxon="taxon", cost=cost).withColumnRenamed("w", "g"), 3, criterion, ["g", "q"])
+        got = {(r.g, r.q, r.taxon): (r.n, round(r.u, 9), round(r.w, 9), round(r.d, 9), round(r.mean_d, 9), round(r.std_d, 6)) for r in neighbours.support_counts(tally, ["g", "q"], "taxon").collect()}
+        named = neighbours.neighbours(full.withColumnRenamed("w", "g"), 3, criterion, ["g", "q"]).join(df.where("w = 0").select(F.col("seq").alias("r"), "taxon"), "r")
+        assert got == {(r.g, r.q, r.taxon): (r.n, round(r.u, 9), round(r.w, 9), round(r.d, 9), round(r.mean_d, 9), round(r.std_d, 6)) for r in neighbours.support(named, ["g", "q"], "taxon").collect()}
+    assert neighbours.nearest(df.where("false"), df, 4, 3).count() == 0 and neighbours.nearest(df, df.where("false"), 4, 3).count() == 0
+    with pytest.raises(ValueError):
+        neighbours.nearest(df, df, 4, 3, cost=C.cost_table(1, 0.3))
