@@ -43,11 +43,12 @@ def winner_report(spark, d):
 @query("SELECT a, b, w, CAST(sum(differ) OVER (PARTITION BY a, b ORDER BY w) AS BIGINT) AS upto FROM (SELECT x.seq AS a, y.seq AS b, x.site // 16 AS w, count(*) FILTER (x.code <> y.code) AS differ FROM cells x JOIN cells y ON x.site = y.site AND x.label = y.label AND x.seq < y.seq GROUP BY ALL)", "cells")
 def cumulative_distance(spark, d):
     """Differing sites of pairs of one label, added up over windows of 16 sites."""
-    a = T.alignment(spark, d)
-    pairs = N.in_blocks(a, a.select(F.col("seq").alias("b"), F.col("codes").alias("cb"), "label"), 8, ["label"]).where("seq < b")
-    differ = F.zip_with("codes", "cb", lambda x, y: (x != y).cast("bigint"))
-    upto = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda w: F.aggregate(F.slice("differ", 1, 16 * (w + 1)), F.lit(0).cast("bigint"), lambda s, x: s + x))
-    return pairs.select(F.col("seq").alias("a"), "b", differ.alias("differ")).select("a", "b", F.posexplode(upto).alias("w", "upto")).withColumn("w", F.col("w").cast("bigint"))
+    p = N.packed(T.alignment(spark, d), "p", 64).select("label", "seq", *[F.col(f"p_{x}")[0].alias(f"{x}1") for x in "kcb"])
+    pairs = N.in_blocks(p, p.select("label", F.col("seq").alias("b"), *[F.col(f"{x}1").alias(f"{x}2") for x in "kcb"]), 8, ["label"]).where("seq < b")
+    k, c, b = (F.col(f"{x}1").bitwiseXOR(F.col(f"{x}2")) for x in "kcb")
+    differ = k.bitwiseOR(c).bitwiseOR(b)  # a bit per site, so a sum counts bits
+    upto = F.array(*[F.bit_count(differ.bitwiseAND(F.lit((1 << 16 * (w + 1)) - 1 if w < 3 else -1).cast("bigint"))).cast("bigint") for w in range(4)])
+    return pairs.select(F.col("seq").alias("a"), "b", F.posexplode(upto).alias("w", "upto")).withColumn("w", F.col("w").cast("bigint"))
 
 
 @query("SELECT type, bin, count(*) AS taxa FROM (SELECT g.genus, CAST(t.type AS BIGINT) AS type, CAST(CASE WHEN count(typ.site) = 0 THEN 0 ELSE (count(typ.site) - 1) // 5 + 1 END AS BIGINT) AS bin FROM (SELECT DISTINCT genus FROM typ) g CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS type) t LEFT JOIN typ ON typ.genus = g.genus AND typ.type = t.type GROUP BY g.genus, t.type) GROUP BY type, bin", "cells lin mask typ")

@@ -40,3 +40,9 @@ def test_same_rows(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_has_rows(spark, name):
     assert catalog.QUERIES[name](spark, D).count() > 0
+
+
+def test_pairs_count_bits(spark):
+    """Sites of a pair are compared as bits, not one by one in a lambda."""
+    plan = catalog.QUERIES["cumulative_distance"](spark, D)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "zip_with" not in plan
