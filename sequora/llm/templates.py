@@ -27,6 +27,8 @@ from .words import Words, blocks, mix
 
 #: Makes every digit a 0, so that a token with a digit is one with a 0.
 _ZERO = bytes(48 if 48 <= x <= 57 else x for x in range(256))
+#: Makes digits and white space other than blanks a 0: what a plain line has none of.
+_ODD = bytes(48 if 48 <= x <= 57 or x in (9, 11, 12, 13) else x for x in range(256))
 #: Tokens of the tree, least tokens of a line that is judged, leaves of the bitmap, lines of a leaf that one task takes as they are.
 LEADING, LEAST_TOKENS, BITS, SPLIT = 3, 3, 1 << 24, 20_000
 #: Texts and templates that a task remembers to pass over repeated ones; beyond, it forgets, which only costs time.
@@ -50,6 +52,24 @@ def generalise(line: bytes) -> tuple[int, list[bytes]] | None:
     return _hash(b"%d " % len(toks) + b" ".join(toks[:LEADING])), toks
 
 
+def parsed(text: bytes) -> list[tuple[int, bytes] | None]:
+    """For each line its leaf and its tokens in a row, as generalise has them. A line of single blanks and without a digit, as most are, is not cut."""
+    lines, odd, single = text.split(b"\n"), text.translate(_ODD), b"  " not in text
+    marked = odd.split(b"\n") if b"0" in odd else None
+    out: list[tuple[int, bytes] | None] = []
+    for i, line in enumerate(lines):
+        if single and line and (marked is None or b"0" not in marked[i]) and line[0] != 32 != line[-1]:
+            n = line.count(b" ") + 1
+            if n <= LEADING:
+                out.append((_hash(b"%d %b" % (n, line)), line) if n >= LEAST_TOKENS else None)
+            else:
+                out.append((_hash(b"%d %b" % (n, line[: -1 - len(line.split(b" ", LEADING)[LEADING])])), line))
+        else:
+            got = generalise(line)
+            out.append(got and (got[0], b" ".join(got[1])))
+    return out
+
+
 def _runs(column: pa.Array) -> list[bytes]:
     """The hashes of each text's runs of words, 8 bytes each; a word in four ends a run."""
     out = []
@@ -91,9 +111,9 @@ def _lines(docs: DataFrame) -> DataFrame:
                 out: list[list] = [[] for _ in range(5)]
                 for (_, k1, k2), text in zip(some, part, strict=True):
                     found: dict[int, tuple] = {}
-                    for i, line in enumerate((text.as_py() or "").encode().split(b"\n")):
-                        if got := generalise(line):
-                            found.setdefault(_hash(b" ".join(got[1])), (got[0], []))[1].append(i)
+                    for i, got in enumerate(parsed((text.as_py() or "").encode())):
+                        if got:
+                            found.setdefault(_hash(got[1]), (got[0], []))[1].append(i)
                     for t, (leaf, at) in found.items():
                         for col, x in zip(out, (k1, k2, leaf, t, at), strict=True):
                             col.append(x)
@@ -136,16 +156,15 @@ def _tokens(docs: DataFrame, leaves: np.ndarray) -> DataFrame:
         for b in batches:
             out = []
             for text in b.column(0):
-                for line in (text.as_py() or "").encode().split(b"\n"):
-                    got = generalise(line)
+                for got in parsed((text.as_py() or "").encode()):
                     if got and bits[got[0] % BITS]:
-                        t = _hash(b" ".join(got[1]))
+                        t = _hash(got[1])
                         if t in seen:
                             continue
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(t)
-                        out.append((got[0], t, np.array([0 if x == b"*" else xxh3_64_intdigest(x) for x in got[1]], "<u8").tobytes()))
+                        out.append((got[0], t, np.array([0 if x == b"*" else xxh3_64_intdigest(x) for x in got[1].split(b" ")], "<u8").tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["leaf", "template", "tokens"])
 
@@ -211,21 +230,28 @@ def _grouped(rows: DataFrame, key: str, similar: float) -> DataFrame:
     """(leaf, template, cluster, kept): rows of one key, most frequent first, join the most similar template or start one; kept: its tokens then, for crowded rows."""
 
     def run(batches):
-        at, tree, held = None, None, []
+        at, tree, held, done = None, None, [], []
+
+        def out(part):
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in part], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["leaf", "template", "cluster", "kept"])
 
-        def out():
-            for lo in range(0, len(held), 10_000):
-                part = held[lo : lo + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2].ids[r[3]] for r in part], pa.int64()), pa.array([r[2].kept[r[3]].tobytes() if r[4] else None for r in part], pa.binary())], ["leaf", "template", "cluster", "kept"])
+        def end():
+            """Keeps what a leaf of all its rows gives; many small leaves leave in one batch."""
+            done.extend((leaf, t, tree.ids[n], tree.kept[n].tobytes() if crowded else None) for leaf, t, n, crowded in held)
 
         for b in batches:
             for k, leaf, t, tokens, crowded in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 x = np.frombuffer(tokens, "<i8")
                 if (k, len(x)) != at:
-                    yield from out()
+                    end()
+                    while len(done) >= 10_000:
+                        yield out(done[:10_000])
+                        del done[:10_000]
                     at, tree, held = (k, len(x)), Leaf(len(x), similar), []
-                held.append((leaf, t, tree, tree.place(x, t), crowded))
-        yield from out()
+                held.append((leaf, t, tree.place(x, t), crowded))
+        end()
+        for lo in range(0, len(done), 10_000):
+            yield out(done[lo : lo + 10_000])
 
     return rows.repartition(key).sortWithinPartitions(key, F.length("tokens"), F.desc("texts"), "template").select(F.col(key).alias("key"), "leaf", "template", "tokens", "crowded").mapInArrow(run, "leaf long, template long, cluster long, kept binary")
 

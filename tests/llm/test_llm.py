@@ -794,6 +794,16 @@ def test_leaf_compares_what_can_be_similar():
             assert got == want
 
 
+def test_parsed_lines_are_generalised():
+    """Plain lines, which are not cut, have the leaf and tokens that cutting gives; a plain line is handed on as it is."""
+    rnd = random.Random(5)
+    texts = ["", "a", " ", "a b c", " a b c", "a b c ", "a  b c", "a b\tc d", "a b c\r\nd e f", "a b c d\n\n1 b c d\n1 2 3", "a\x0bb c d", "* b c *", "\u00a0 b c d"]
+    texts += ["".join(rnd.choices("ab1 \n\t", [5, 5, 1, 5, 1, 0.2], k=60)) for _ in range(300)]
+    for text in texts:
+        cut = [templates.generalise(x) for x in text.encode().split(b"\n")]
+        assert templates.parsed(text.encode()) == [x and (x[0], b" ".join(x[1])) for x in cut]
+
+
 def test_templates_independent_documents(spark):
     """Blank lines, inner lines of a block and lines of few documents count; near copies are one document."""
     rnd = random.Random(8)
