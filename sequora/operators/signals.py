@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a chunk of bitmaps; most blocks of taxa, and rows for each; stands for no taxon or code.
+CHUNK, SPREAD, ROWS, NONE = 4096, 32, 8192, -(1 << 63)
+
 
 def single_values(cells: DataFrame, taxon: str, least_known: float = 0.0) -> DataFrame:
     """(taxon, site, code) where a taxon has one known value and a share of at least `least_known` of its rows knows it."""
@@ -13,31 +17,86 @@ def single_values(cells: DataFrame, taxon: str, least_known: float = 0.0) -> Dat
     return g.where((F.col("code") == F.col("most")) & (F.col("known") >= F.lit(least_known) * F.col("n"))).select(taxon, "site", "code")
 
 
+def bitmaps(cells: DataFrame, taxon: str, n_chunks: int) -> DataFrame:
+    """(chunk, site, code, bits): a bit for each row of a chunk that has the code at the site, in whole 64-bit words.
+
+    Code null: a bit for each row that has the site at all. Site null: the taxon of each row, as 64-bit numbers.
+    """
+
+    def index(t: pa.Table) -> pa.Table:
+        seq, own, site, code = (t[c].combine_chunks().fill_null(NONE).to_numpy() for c in ("seq", "own", "site", "code"))
+        rows, at = np.unique(seq, return_inverse=True)
+        n = -(-len(rows) // 64) * 64
+        taxa = np.full(n, NONE)
+        taxa[at] = own
+        out = [(None, None, taxa.astype("<i8").tobytes())]
+        order = np.lexsort((code, site))
+        at, site, code = at[order], site[order], code[order]
+        for several in (False, True):
+            cuts = np.flatnonzero(np.r_[True, (site[1:] != site[:-1]) | (several & (code[1:] != code[:-1])), True])
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                bits = np.zeros(n, bool)
+                bits[at[lo:hi]] = True
+                out.append((int(site[lo]), int(code[lo]) if several else None, np.packbits(bits, bitorder="little").tobytes()))
+        cols = [pa.array([t["chunk"][0].as_py()] * len(out), pa.int32()), *(pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary())))]
+        return pa.table(cols, ["chunk", "site", "code", "bits"])
+
+    long = [F.col(c).cast("bigint").alias(a) for c, a in (("seq", "seq"), (taxon, "own"), ("site", "site"), ("code", "code"))]
+    dealt = cells.where("seq is not null and site is not null").select(F.pmod(F.xxhash64(F.col("seq").cast("bigint")), F.lit(n_chunks)).cast("int").alias("chunk"), *long)
+    return dealt.groupBy("chunk").applyInArrow(index, "chunk int, site long, code long, bits binary")
+
+
 def greedy_signal(cells: DataFrame, signs: DataFrame, taxon: str) -> DataFrame:
     """(concept, step, site, code, left): the site that the fewest other rows agree with, then again among those left.
 
-    Ends when no other row is left or when no site rejects one. signs: (taxon, site, code). Other rows reach a task
-    as distinct sets of agreeing sites with their counts, so equal and similar rows are one.
+    Ends when no other row is left or when no site rejects one. signs: (taxon, site, code). Rows meet taxa as bitmaps, a bit for
+    each row and code, which are sent to every block of taxa: rows and taxa are never paired, and what is shuffled grows with the rows.
     """
-    want = signs.select(F.col(taxon).alias("concept"), "site", F.col("code").alias("want"))
-    others = cells.select("seq", F.col(taxon).alias("own"), "site", "code").join(want, "site").where("own is null or own <> concept")
-    agree = others.groupBy("concept", "seq").agg(F.array_sort(F.collect_list(F.when(F.col("code") == F.col("want"), F.col("site")))).alias("sites"))
-    patterns = agree.groupBy(F.col("concept").alias("of"), "sites").agg(F.count("*").alias("n"))
-
-    def solve(key, signs: pd.DataFrame, patterns: pd.DataFrame) -> pd.DataFrame:
-        value = dict(zip(signs["site"], signs["want"], strict=True))
-        rest = [(set(s), n) for s, n in zip(patterns["sites"], patterns["n"], strict=True)]
-        left, out = sum(n for _, n in rest), []
-        while left and value:
-            site = min(sorted(value), key=lambda s: sum(n for sites, n in rest if s in sites))
-            kept = [(sites, n) for sites, n in rest if site in sites]
-            if sum(n for _, n in kept) == left:
-                break
-            rest, left = kept, sum(n for _, n in kept)
-            out.append((key[0], len(out) + 1, int(site), int(value.pop(site)), left))
-        return pd.DataFrame(out, columns=["concept", "step", "site", "code", "left"])
-
-    return want.groupBy("concept").cogroup(patterns.groupBy("of")).applyInPandas(solve, "concept bigint, step bigint, site bigint, code bigint, left bigint")
+    n = cells.agg(F.approx_count_distinct("seq")).first()[0]
+    chunks, blocks = max(1, -(-n // CHUNK)), min(SPREAD, max(1, n // ROWS))
+    want = signs.select(F.col(taxon).cast("bigint").alias("concept"), F.col("site").cast("bigint").alias("site"), F.col("code").cast("bigint").alias("want"))
+    known = bitmaps(cells, taxon, chunks).withColumn("_x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = want.withColumn("_x", F.pmod(F.xxhash64("concept"), F.lit(blocks)).cast("int"))
+
+    def solve(known: pa.Table, want: pa.Table) -> pa.Table:
+        rules: dict[int, dict[int, int]] = {}
+        for t, site, code in zip(*(want[c].to_pylist() for c in ("concept", "site", "want")), strict=True):
+            rules.setdefault(t, {})[site] = code
+        need = {(s, c) for own in rules.values() for site, code in own.items() for s, c in ((site, code), (site, None))}
+        cols = [known[c].to_pylist() for c in ("chunk", "site", "code")]
+        size = {chunk: len(bits.as_buffer()) // 512 for chunk, site, bits in zip(cols[0], cols[1], known["bits"], strict=True) if site is None}
+        first, words = {}, 0
+        for chunk in sorted(size):
+            first[chunk], words = words, words + size[chunk]
+        taxa, maps = np.full(64 * words, NONE), {}
+        for chunk, site, code, bits in zip(*cols, known["bits"], strict=True):
+            lo = first[chunk]
+            if site is None:
+                taxa[64 * lo : 64 * (lo + size[chunk])] = np.frombuffer(bits.as_buffer(), "<i8")
+            elif (site, code) in need:
+                if (site, code) not in maps:
+                    maps[site, code] = np.zeros(words, np.uint64)
+                maps[site, code][lo : lo + size[chunk]] = np.frombuffer(bits.as_buffer(), "<u8")
+        none, order, out = np.zeros(words, np.uint64), np.argsort(taxa, kind="stable"), []
+        taxa = taxa[order]
+        for t, own in sorted(rules.items()):
+            rest = np.bitwise_or.reduce([maps.get((s, None), none) for s in own])
+            mine = order[np.searchsorted(taxa, t) : np.searchsorted(taxa, t, "right")]
+            np.bitwise_and.at(rest, mine >> 6, ~(np.uint64(1) << (mine & 63).astype(np.uint64)))
+            agree = {s: maps.get((s, own[s]), none) for s in sorted(own)}
+            left, step = int(np.bitwise_count(rest).sum()), 0
+            while left and agree:
+                site, fewest = min(((s, int(np.bitwise_count(rest & m).sum())) for s, m in agree.items()), key=lambda x: x[1])
+                if fewest == left:
+                    break
+                rest, left, step = rest & agree.pop(site), fewest, step + 1
+                out.append((t, step, site, own[site], left))
+                some = np.flatnonzero(rest)
+                if 2 * len(some) < len(rest):  # words without a row that is left
+                    rest, agree = rest[some], {s: m[some] for s, m in agree.items()}
+        return pa.table([pa.array([r[k] for r in out], pa.int64()) for k in range(5)], ["concept", "step", "site", "code", "left"])
+
+    return known.groupBy("_x").cogroup(dealt.groupBy("_x")).applyInArrow(solve, "concept bigint, step bigint, site bigint, code bigint, left bigint")
 
 
 def complete(cells: DataFrame, signs: DataFrame, taxon: str) -> DataFrame:

@@ -53,6 +53,31 @@ def test_greedy_against_rows(spark):
     assert sorted(tuple(r) for r in got) == want
 
 
+def test_greedy_does_not_pair_rows_with_taxa(spark, monkeypatch):
+    """Rows meet taxa as bitmaps in several chunks and blocks, with sites that some rows lack; before, all rows were joined with all taxa by site."""
+    monkeypatch.setattr(S, "CHUNK", 30)
+    monkeypatch.setattr(S, "ROWS", 40)
+    rnd = random.Random(6)
+    rows = [(i, i // 4 if i % 9 else None, {s: rnd.choice([0, 1, 1, 1, 2]) for s in range(6) if rnd.random() < 0.8}) for i in range(200)]
+    cells = spark.createDataFrame([(q, t, s, c) for q, t, codes in rows for s, c in codes.items()], "seq bigint, taxon bigint, site bigint, code bigint")
+    signs = {t: {s: 1 for s in range(6) if (s + t) % 3} for t in range(50)}
+    got = S.greedy_signal(cells, spark.createDataFrame([(t, s, c) for t, x in signs.items() for s, c in x.items()], "taxon bigint, site bigint, code bigint"), "taxon")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+    want = []
+    for t, free in signs.items():
+        left, step = [c for _, own, c in rows if own != t and set(c) & set(free)], 0
+        free = dict(free)
+        while left and free:
+            site = min(sorted(free), key=lambda s: sum(c.get(s) == 1 for c in left))
+            kept = [c for c in left if c.get(site) == 1]
+            if len(kept) == len(left):
+                break
+            left, step = kept, step + 1
+            want.append((t, step, site, free.pop(site), len(left)))
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
 def test_signal_takes_the_best_combination(spark):
     c = long(spark, [(1, 7, [1, 1, 1]), (2, 7, [1, 2, 2]), (3, None, [1, 1, 2])])
     signs = S.single_values(c, "taxon")
