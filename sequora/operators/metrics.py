@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,12 +15,16 @@ def confusion(calls: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def scores(conf: DataFrame, by: list[str] | None = None, legacy_accuracy: bool = False) -> DataFrame:
     """(by, taxon, tp, fp, fn, acc, prc, rec, f1) of every real or predicted taxon, from one confusion table."""
-    by = by or []
-    real = conf.select(*by, F.col("real").alias("taxon"), F.when(F.col("real") == F.col("pred"), F.col("n")).otherwise(0).alias("tp"), F.lit(0).cast("bigint").alias("p"), F.col("n").alias("r"))
-    pred = conf.where("pred <> -1").select(*by, F.col("pred").alias("taxon"), F.lit(0).alias("tp"), F.col("n").alias("p"), F.lit(0).cast("bigint").alias("r"))
-    t = real.union(pred).groupBy(*by, "taxon").agg(F.sum("tp").alias("tp"), F.sum("p").alias("p"), F.sum("r").alias("r"))
-    total = conf.groupBy(*by).agg(F.sum("n").alias("total"))
-    t = t.join(total, by) if by else t.crossJoin(F.broadcast(total))
+    by, n, zero = by or [], F.col("n").cast("bigint"), F.lit(0).cast("bigint")
+
+    def of(taxon, *counts):
+        return F.struct(F.col(taxon).cast("bigint").alias("taxon"), *[c.alias(k) for k, c in zip(("tp", "p", "r"), counts, strict=True)])
+
+    real, pred = of("real", F.when(F.col("real") == F.col("pred"), n).otherwise(zero), zero, n), of("pred", zero, n, zero)
+    # the table is read once, since all that makes it would run again for a second use
+    both = conf.select(*by, F.explode(F.when(F.col("pred") != -1, F.array(real, pred)).otherwise(F.array(real))).alias("_x"))
+    t = both.groupBy(*by, F.col("_x.taxon").alias("taxon")).agg(*[F.sum(f"_x.{c}").alias(c) for c in ("tp", "p", "r")])
+    t = t.withColumn("total", F.sum("r").over(Window.partitionBy(*by)))  # every count has one real taxon
     tp, p, r = F.col("tp"), F.col("p"), F.col("r")
     good = tp if legacy_accuracy else F.col("total") - p - r + 2 * tp
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))

@@ -213,3 +213,11 @@ def test_fitting_equals_calls(spark, monkeypatch):
     want = sorted(map(tuple, signals.compatible(cells, rules, "taxon").collect()))
     assert sorted(map(tuple, concepts.fitting(aln, rules, "taxon", 3, True).select("seq", "concept").collect())) == want
     assert concepts.fitting(aln, rules.where("false"), "taxon", 3).count() == 0
+
+
+def test_scores_read_the_confusion_once(spark):
+    """A second or third use of the table would search all neighbours again."""
+    calls = spark.createDataFrame([(1, "a", 5, 5), (1, "b", 5, 6), (1, "c", 6, -1), (2, "a", 6, 6), (2, "b", None, 5)], "w bigint, q string, real bigint, pred bigint")
+    got = metrics.scores(metrics.confusion(calls, ["w"]), ["w"])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert sorted((r.w, r.taxon, r.tp, r.fp, r.fn, round(r.acc, 6)) for r in got.collect()) == [(1, 5, 1, 0, 1, 0.666667), (1, 6, 0, 1, 1, 0.333333), (2, 6, 1, 0, 0, 1.0)]
