@@ -20,8 +20,8 @@ GAP = r"[\x20\x09-\x0D]+"
 _cache: dict = {"owner": None, "kept": {}}
 
 
-def _give_back() -> None:
-    """Returns freed memory to the system, where the C library can; allocators keep it otherwise, beside the next operator's."""
+def give_back() -> None:
+    """Returns this process's freed memory to the system, where the C library can; allocators keep it otherwise, beside the next operator's."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -33,7 +33,7 @@ def kept_by(owner: str) -> dict:
     """What the operator keeps in this Python worker between tasks; another operator's is freed, so that memory is one operator's."""
     if _cache["owner"] != owner:
         _cache.update(owner=owner, kept={})
-        _give_back()
+        give_back()
     return _cache["kept"]
 
 

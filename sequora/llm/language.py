@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import kept_by
+from .common import give_back, kept_by
 
 #: Runs of letters: \\w less digits, the underscore and numbers that are no letters (such as superscripts and fractions).
 LETTERS = re.compile(rf"[^\W\d_{''.join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())}]+")
@@ -226,6 +226,8 @@ def identify(docs: DataFrame, train: DataFrame, vocabulary_path: str, text_col:
     if not langs:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     model = docs.sparkSession.sparkContext.broadcast((pieces, fit(Pieces(pieces), counts)))
+    del counts
+    give_back()  # what the fit took in the driver
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))  # a text travels once, in its row
     at = docs.columns.index(text_col)
     schema = StructType([whole.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])

@@ -49,3 +49,10 @@ def test_odd_rows(spark):
         out.count()
     kept = [r.doc_id for r in corpus_pipeline.jaccard_stage(spark, docs, D).collect()]
     assert kept.count(7) == 1 and 11 not in kept and 12 not in kept and 13 not in kept and 14 in kept
+
+
+def test_stages_give_memory_back_in_the_driver(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "give_back", lambda: calls.append(1))
+    corpus_pipeline._begin(spark)
+    assert calls == [1] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
