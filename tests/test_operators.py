@@ -1,6 +1,9 @@
 """Hand-computed cases of the operators."""
 
+import itertools
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +93,37 @@ def test_intervals(spark):
     assert [(m.start, m.end) for m in intervals.mesas(cov).collect()] == [(1, 4), (5, 9)]
 
 
+def test_overlaps_of_copies(spark):
+    """Many equal intervals, equal rows and nulls: each pair as often as row by row, whatever the blocks."""
+    rnd = random.Random(7)
+    sides = []
+    for n in (60, 90):
+        rows = [(rnd.randrange(40), s, s + rnd.choice([1, 3, 20])) for s in rnd.choices([0, 2, 9, 10, 31], k=n)]
+        sides.append([*rows, rows[0], (None, 9, 12), (1, None, 5), (2, 5, None)])
+    r, q = (spark.createDataFrame(x, "id int, start int, end int") for x in sides)
+    for least in (1, 3):
+        full = ([(i, a, b) for i, a, b in x if a is not None and b is not None] for x in sides)
+        pairs = itertools.product(*full)
+        want = Counter((i, j, max(a, c), min(b, d)) for (i, a, b), (j, c, d) in pairs if min(b, d) - max(a, c) >= least)
+        for size, most, grid in ((4, 5, 3), (100, 2048, 1), (7, 1, 2)):
+            assert Counter(tuple(x) for x in intervals.overlaps(r, q, least, size, most, grid).collect()) == want
+
+
+def test_overlaps_of_one_bin(spark, tmp_path):
+    """Pairs of one bin are made by several tasks, and stored in a fraction of a byte each."""
+    r, q = (spark.range(n).select("id", F.lit(0).alias("start"), F.lit(9).alias("end")) for n in (200, 20000))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        intervals.overlaps(r, q).write.parquet(f"{tmp_path}/pairs")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    got = spark.read.parquet(f"{tmp_path}/pairs")
+    assert got.count() == got.select("r", "q").distinct().count() == 200 * 20000
+    assert got.select(F.input_file_name()).distinct().count() > 1
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * 200 * 20000
+
+
 def test_windows():
     assert sites.sliding(100, 40, 30) == [(0, 0, 40), (1, 60, 100)]
     with pytest.raises(ValueError):
