@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -24,8 +25,8 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from .common import kept_by, written
 
-#: Words whose ids a Python worker keeps (some 150 bytes each); a mark that ends a word and is a token of its own (İ in lower case ends in a mark).
-KEPT = 1_200_000
+#: Words whose ids a Python worker keeps (some 150 bytes each), words looked up at once, words of letters encoded in a row; a mark that ends a word and is a token of its own (İ in lower case ends in a mark).
+KEPT, ONCE, ROW = 1_200_000, 100_000, 60
 MARK = re.compile(r"[.,;:!?](?<=[^\W_İ].)(?=[ \t-\r]|\Z)")
 
 
@@ -35,7 +36,11 @@ def _encoder(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        known[path] = (Tokenizer.from_file(path), {})
+        one = Tokenizer.from_file(path)
+        suffix, ends = getattr(one.model, "end_of_word_suffix", None), np.zeros(one.get_vocab_size(), bool)
+        if suffix:
+            ends[[i for t, i in one.get_vocab().items() if t.endswith(suffix)]] = True
+        known[path] = (one, {}, ends)
     return known[path]
 
 
@@ -47,23 +52,62 @@ def words_of(text: str) -> list[bytes]:
     return words.split()
 
 
-def encode_words(path: str, words: list[bytes], keep: int = KEPT) -> dict[bytes, bytes]:
+def encode_words(path: str, words: Iterable[bytes], keep: int = KEPT) -> dict[bytes, bytes]:
     """Ids (little-endian, 32 bits) of words; the tokenizer drops white space, so words don't touch."""
-    tokenizer, known = _encoder(path)
-    new = set(words).difference(known)
+    tokenizer, known, ends = _encoder(path)
+    words = set(words)
+    new = words.difference(known)
     if not new:
         return known
     if len(known) + len(new) > keep:
         known.clear()
-        new = set(words)
-    todo = list(new)
-    for lo in range(0, len(todo), 5_000):
-        part = todo[lo : lo + 5_000]
+        new = words
+    # a word of letters is one piece, which ends in an id of `ends`: many such are encoded as one text and cut there, unless some word has more pieces
+    letters, alone = [], []
+    for w in new:
+        (letters if w.decode().lower().isalpha() else alone).append(w)
+    for lo in range(0, len(letters), 80 * ROW):
+        rows = [letters[at : at + ROW] for at in range(lo, min(lo + 80 * ROW, len(letters)), ROW)]
+        got = tokenizer.encode_batch_fast([b" ".join(r).decode() for r in rows], add_special_tokens=False)
+        for row, e in zip(rows, got, strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+            if len(cuts) == len(row):
+                raw = ids.tobytes()
+                known.update((w, raw[x:y]) for w, x, y in zip(row, [0, *cuts[:-1]], cuts, strict=True))
+            else:
+                alone += row
+    for lo in range(0, len(alone), 5_000):
+        part = alone[lo : lo + 5_000]
         got = tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
         known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, got, strict=True))
     return known
 
 
+def ids_of(path: str, texts: Iterable[str], keep: int = KEPT) -> Iterator[bytes]:
+    """Ids of each text. Words of several texts are looked up at once, so that new ones fill rows; a long text's are in parts."""
+
+    def out():
+        known = encode_words(path, chain.from_iterable(held), keep)
+        for words in held:
+            yield b"".join(map(known.__getitem__, words))
+
+    held: list[list[bytes]] = []
+    n = 0
+    for text in texts:
+        words = words_of(text)
+        if n + len(words) > ONCE:
+            yield from out()
+            held, n = [], 0
+        if len(words) > ONCE:
+            parts = (words[lo : lo + ONCE] for lo in range(0, len(words), ONCE))
+            yield b"".join([b"".join(map(encode_words(path, some, keep).__getitem__, some)) for some in parts])
+        else:
+            held.append(words)
+            n += len(words)
+    yield from out()
+
+
 def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", most: int = 4096, end: int = 1, keep: int = KEPT) -> DataFrame:
     """One row per piece: id, piece, start, length, ids (binary, unsigned little-endian 32 bits), part, rank.
 
@@ -79,12 +123,8 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
         part, ranks = TaskContext.get().partitionId(), np.zeros(most + 1, np.int64)
         for b in batches:
             out, held = [], 0
-            for key, text in zip(b.column(0), b.column(1), strict=True):
-                words, ids = words_of(text.as_py() or ""), []
-                for lo in range(0, len(words), 100_000):
-                    some = words[lo : lo + 100_000]
-                    ids.append(b"".join(map(encode_words(tokenizer_path, some, keep).__getitem__, some)))
-                ids = b"".join(chain(ids, [last]))
+            for key, ids in zip(b.column(0), ids_of(tokenizer_path, (x.as_py() or "" for x in b.column(1)), keep), strict=True):
+                ids += last
                 for k, at in enumerate(range(0, len(ids), 4 * most)):
                     one = ids[at : at + 4 * most]
                     n = len(one) // 4

@@ -610,6 +610,34 @@ def test_packing(odd, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_encodes_words_in_rows(monkeypatch):
+    """Words of letters reach the tokenizer in rows and get the ids they have alone; where a word is several pieces its row is encoded word by word."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rnd = random.Random(6)
+    words = ["".join(rnd.choices("abcdeéüßſñаяλς中字ㅏǅ\u1100\u1161", k=rnd.randint(1, 12))) for _ in range(600)] + ["".join(rnd.choices("etaoinshr", k=7)) for _ in range(3_000)]
+    words = list(dict.fromkeys([*words, "ΟΔΟΣ", "İstanbul", "don't", "a1", "x.y", "***", "e\u0301t", "\u0301a", "\u0300", "<|endoftext|>", "ﬁ", "ªº", "ⅷ", "\U0001e900", "\U000323b0", "y" * 5_000]))
+    packing._encoder(path)[1].clear()
+    tokenizer, known, ends = packing._encoder(path)
+    given = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            given.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **how)
+
+    monkeypatch.setattr(packing, "_encoder", lambda path: (Counted(), known, ends))
+    got = packing.encode_words(path, [w.encode() for w in words])
+    assert {w: got[w.encode()] for w in words} == {w: np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words}
+    assert len(given) < len(words) / 10
+    known.clear()
+    given.clear()
+    texts = [" ".join(words[i : i + 3]) for i in range(0, 3_000, 3)] + ["", " ".join(words)]
+    for once in (100_000, 50):
+        monkeypatch.setattr(packing, "ONCE", once)
+        assert list(packing.ids_of(path, texts, 2_000)) == [np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+        assert once == 50 or len(given) < len(words) / 10  # short texts share rows
+
+
 @pytest.mark.parametrize("by", ["norm", "dot"])
 def test_plan_keeps_every_capacity(by):
     rnd = random.Random(4)
