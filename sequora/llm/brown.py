@@ -48,8 +48,28 @@ def tokens(texts: pa.Array):
         yield lo, np.repeat(np.arange(hi - lo), np.diff(bounds)), h.view(np.int64), shape, bounds
 
 
+def slim(x: np.ndarray) -> bytes:
+    """64-bit numbers by their bytes, the lowest of all first, up to the highest that any needs: shuffles store and compress this in a fraction of their size."""
+    raw = np.ascontiguousarray(x, "<i8").view("<u8")
+    width = -(-int(raw.max()).bit_length() // 8) or 1 if len(raw) else 1
+    return bytes([width]) + raw.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def wide(x: bytes) -> np.ndarray:
+    """The numbers of slim()."""
+    width, raw = x[0], np.frombuffer(x, np.uint8, offset=1)
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = raw.reshape(width, -1).T
+    return out.view("<i8")[:, 0]
+
+
+def steps_of(x: np.ndarray) -> np.ndarray:
+    """Differences of sorted numbers, from 0 on and modulo 2 ** 64; their running sums are the numbers."""
+    return np.diff(x.view(np.uint64), prepend=np.uint64(0)).view(np.int64)
+
+
 def dealt(bucket: np.ndarray, *columns: np.ndarray):
-    """Rows (bucket, one binary of each column): what is bound for one task is one row, so that the shuffle moves few rows."""
+    """Rows (bucket, one binary of each column, slim): what is bound for one task is one row, so that the shuffle moves few rows. The first column is sorted, and sent as steps."""
     order = np.argsort(bucket, kind="stable")
     bucket, columns = bucket[order], [c[order] for c in columns]
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
@@ -57,7 +77,13 @@ def dealt(bucket: np.ndarray, *columns: np.ndarray):
     names = ["bucket", *"abc"[: len(columns)]]
     for lo in range(0, len(cuts), 64):
         part = list(zip(cuts[lo : lo + 64], ends[lo : lo + 64], strict=False))
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[lo : lo + 64]].astype(np.int32)), *(pa.array([c[x:y].tobytes() for x, y in part], pa.binary()) for c in columns)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[lo : lo + 64]].astype(np.int32)), *(pa.array([slim(c[x:y] if k else steps_of(c[x:y])) for x, y in part], pa.binary()) for k, c in enumerate(columns))], names)
+
+
+def received(*columns) -> list[np.ndarray]:
+    """The columns of a row of dealt()."""
+    first, *rest = map(wide, columns)
+    return [np.cumsum(first), *rest]
 
 
 class Sums:
@@ -286,7 +312,7 @@ def _round(ids: DataFrame, symbol: np.ndarray, of: np.ndarray, n_hot: int, n_cla
         sums = Sums(bucket_of)
         for b in batches:
             for keys, n in zip(b.column(1), b.column(2), strict=True):
-                yield from sums.add(np.frombuffer(keys.as_py(), np.int64), np.frombuffer(n.as_py(), np.int64))
+                yield from sums.add(*received(keys.as_py(), n.as_py()))
         yield from sums.rest()
 
     def choose(batches):
@@ -296,9 +322,9 @@ def _round(ids: DataFrame, symbol: np.ndarray, of: np.ndarray, n_hot: int, n_cla
             for bucket, keys, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 word = np.arange(bucket, n_hot, buckets)
                 held = rows.setdefault(bucket, np.zeros((len(word), 2 * size)))
-                key = np.frombuffer(keys.as_py(), np.int64)
+                key, n = received(keys.as_py(), n.as_py())
                 at = (key // size % n_hot) // buckets * 2 * size + key % size + np.where(key >= n_hot * size, size, 0)
-                held += np.bincount(at, np.frombuffer(n.as_py(), np.int64), held.size).reshape(held.shape)
+                held += np.bincount(at, n, held.size).reshape(held.shape)
         for bucket, held in rows.items():
             word = np.arange(bucket, n_hot, buckets)
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(best_class(held[:, :size], held[:, size:], of[word], counts, n_classes))], ["w", "c"])
@@ -385,7 +411,7 @@ def learn(train: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Mod
         pairs, into, got = sent.value[3], np.zeros(size * c, np.int64), {}
         for b in batches:
             for bucket, *x in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                got.setdefault(bucket, []).append([np.frombuffer(y, t) for y, t in zip(x, (np.int64, np.int32, np.int64), strict=True)])
+                got.setdefault(bucket, []).append(received(*x))
         for parts in got.values():
             w, s, n = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
             starts = np.r_[np.flatnonzero(np.r_[True, w[1:] != w[:-1]]), len(w)] if len(w) else np.zeros(1, int)
@@ -395,7 +421,7 @@ def learn(train: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Mod
                 word, place = w[some[:-1]], np.repeat(np.arange(len(some) - 1), np.diff(some))
                 cls = best_left(place, s[x] // SHAPES, n[x], len(word), pairs, c) if rounds else (mix(word.view(np.uint64)) % np.uint64(c)).astype(np.int64)
                 into += np.bincount(s[x] // SHAPES * c + cls[place], n[x], size * c).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(word), np.int32)), pa.array(word), pa.array(np.add.reduceat(n[x], some[:-1] - some[0])), pa.array(cls.astype(np.int32)), pa.array(s[some[:-1]] % SHAPES)], ["kind", "word", "n", "cls", "shape"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(word), np.int32)), pa.array(word), pa.array(np.add.reduceat(n[x], some[:-1] - some[0])), pa.array(cls.astype(np.int32)), pa.array((s[some[:-1]] % SHAPES).astype(np.int32))], ["kind", "word", "n", "cls", "shape"])
         at = np.flatnonzero(into)
         zero = np.zeros(len(at), np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(zero + 1), pa.array(at), pa.array(into[at]), pa.array(zero), pa.array(zero)], ["kind", "word", "n", "cls", "shape"])

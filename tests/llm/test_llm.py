@@ -741,6 +741,24 @@ def test_brown_scores(spark, monkeypatch, hot):
         assert got[i] == pytest.approx(want, rel=1e-9)
 
 
+def test_brown_counts_travel_slim():
+    """Counts dealt to tasks come back whole, and in fewer bytes than their numbers hold."""
+    rng = np.random.default_rng(3)
+    for top in (1, 300, 2**40, 2**63 - 1):
+        keys = np.unique(rng.integers(-top if top > 2**50 else 0, top, 5_000))
+        n, symbol = rng.geometric(0.5, len(keys)).astype(np.int64), rng.integers(0, 9_000, len(keys)).astype(np.int32)
+        bucket = keys % 7
+        rows = [x for b in brown.dealt(bucket, keys, symbol, n) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert [b for b, *_ in rows] == sorted(set(bucket.tolist()))
+        for b, *columns in rows:
+            for got, want in zip(brown.received(*columns), (keys, symbol, n), strict=True):
+                assert got.tolist() == want[bucket == b].tolist()
+    keys = np.sort(rng.choice(2_000_000, 50_000, replace=False))
+    [batch] = brown.dealt(np.zeros(50_000, np.int64), keys, rng.geometric(0.7, 50_000))
+    assert sum(c.nbytes for c in batch.columns) < 4 * 50_000
+    assert [len(x) for x in brown.received(brown.slim(keys[:0]), brown.slim(keys[:0]))] == [0, 0]
+
+
 def test_brown_classes_help(spark):
     """Held-out texts are likelier by exchanged classes than by classes dealt by hash."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
