@@ -23,7 +23,7 @@ from xxhash import xxh3_64_intdigest
 
 from .common import kept_by, written
 from .jaccard import near_components
-from .words import Words, blocks, mix
+from .words import Words, blocks, mix, mixed
 
 #: Makes every digit a 0, so that a token with a digit is one with a 0.
 _ZERO = bytes(48 if 48 <= x <= 57 else x for x in range(256))
@@ -80,7 +80,7 @@ def _runs(column: pa.Array) -> list[bytes]:
         first[w.first[:-1][w.first[:-1] < len(h)]] = True
         at = np.flatnonzero(first)
         place = np.arange(len(h)) - np.repeat(at, np.diff(np.r_[at, len(h)]))
-        runs = mix(np.add.reduceat(mix(h + mix(place.astype(np.uint64))), at)) if len(at) else h
+        runs = mix(np.add.reduceat(mix(h + mixed(place)), at)) if len(at) else h
         bounds = np.searchsorted(at, w.first)
         out += [runs[i:j].astype("<u8").tobytes() for i, j in zip(bounds, bounds[1:], strict=False)]
     return out

@@ -11,7 +11,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: By the number of bytes left: which of eight bytes are a word's.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _C1, _C2, _C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -22,6 +23,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def mixed(x: np.ndarray, by: np.uint64 = np.uint64(1)) -> np.ndarray:
+    """mix(x * by) of whole numbers from 0 on, looked up where there are more of them than different ones."""
+    top = int(x.max()) + 1 if len(x) else 0
+    return mix(np.arange(top, dtype=np.uint64) * by)[x] if top < len(x) else mix(x.astype(np.uint64) * by)
+
+
 def blocks(column: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of at most so many bytes of text, or of one row."""
     offsets = text_buffers(column)[1]
@@ -55,14 +62,17 @@ class Words:
         data, self.offsets = text_buffers(column)
         self.data = _LOWER[data] if lower else data
         solid = ~_SPACE[data]
-        cut = np.zeros(len(data) + 1, bool)
-        cut[self.offsets] = True
-        before = np.ones(len(data), bool)
-        before[1:] = ~solid[:-1]
-        self.starts = np.flatnonzero(solid & (before | cut[:-1]))
-        after = np.ones(len(data), bool)
-        after[:-1] = ~solid[1:]
-        self.ends = np.flatnonzero(solid & (after | cut[1:])) + 1
+        edge = np.zeros(len(data) + 1, bool)
+        if len(data):
+            edge[0], edge[-1] = solid[0], solid[-1]
+            np.not_equal(solid[1:], solid[:-1], out=edge[1:-1])
+        at = np.flatnonzero(edge)
+        self.starts, self.ends = at[::2], at[1::2]
+        rows = np.unique(self.offsets[(self.offsets > 0) & (self.offsets < len(data))])
+        rows = rows[solid[rows - 1] & solid[rows]]  # where a row's last word meets the next one's first
+        if len(rows):
+            self.starts = np.insert(self.starts, np.searchsorted(self.starts, rows), rows)
+            self.ends = np.insert(self.ends, np.searchsorted(self.ends, rows), rows)
         self.first = np.searchsorted(self.starts, self.offsets)
 
     def hashes(self) -> np.ndarray:
@@ -70,11 +80,10 @@ class Words:
         padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
         eight = np.ndarray((len(padded) - 7,), "<u8", padded.data, strides=(1,))
         size = (self.ends - self.starts).astype(np.int64)
-        out = mix(size.astype(np.uint64) * _C3)
-        todo, k = np.arange(len(size)), 0
+        out = mix((mixed(size, _C3) ^ (eight[self.starts] & _MASKS[np.minimum(size, 8)])) * _C3 + np.uint64(1))
+        todo, k = np.flatnonzero(size > 8), 8
         while len(todo):
-            left = np.minimum(size[todo] - k, 8)
-            part = eight[self.starts[todo] + k] & (_ONES >> ((8 - left) * 8).astype(np.uint64))
+            part = eight[self.starts[todo] + k] & _MASKS[np.minimum(size[todo] - k, 8)]
             out[todo] = mix((out[todo] ^ part) * _C3 + np.uint64(k + 1))
             k += 8
             todo = todo[size[todo] > k]

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sequora.llm import brown, decontaminate, jaccard, language, packing, quality, substrings, templates, urls, warc
+from sequora.llm import brown, decontaminate, jaccard, language, packing, quality, substrings, templates, urls, warc, words
 
 D = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -850,6 +850,45 @@ def test_parsed_lines_are_generalised():
         assert templates.parsed(text.encode()) == [x and (x[0], b" ".join(x[1])) for x in cut]
 
 
+def test_words_and_runs(monkeypatch):
+    """Words of rows that touch, and the hashes of words and runs, as found one by one; each word is mixed but twice."""
+    rnd = random.Random(11)
+    rows = ["", None, "a", "b", " c", "d ", "", "ee\tff", "x" * 70, "\n\n", "é ü\x0b", "end", *("".join(rnd.choices("abA é\n\x0c", [5, 5, 2, 4, 1, 1, 0.3], k=rnd.randrange(60))) for _ in range(400)), *(" ".join(rnd.choices(["of", "the", "and", "posted", "by"], k=40)) for _ in range(200))]
+    for column in (pa.array(rows, pa.string()), pa.array(rows, pa.large_string()).slice(3, 500), pa.array([""]), pa.array([], pa.string())):
+        w, texts = words.Words(column), [(x.as_py() or "").encode().lower() for x in column]
+        cut = [[w.data[a:b].tobytes() for a, b in zip(w.starts[x:y], w.ends[x:y], strict=True)] for x, y in zip(w.first, w.first[1:], strict=False)]
+        assert cut == [x.split() for x in texts]
+
+    mask = 2**64 - 1
+
+    def mix(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+        return h ^ h >> 31
+
+    def word(x):
+        h = mix(len(x) * 0x9E3779B97F4A7C15 & mask)
+        for k in range(0, len(x), 8):
+            h = mix(((h ^ int.from_bytes(x[k : k + 8], "little")) * 0x9E3779B97F4A7C15 + k + 1) & mask)
+        return h
+
+    def runs(x):
+        out, place = [], 0
+        for i, h in enumerate(hs := [word(t) for t in x.split()]):
+            place = 0 if not i or hs[i - 1] % 4 == 0 else place + 1
+            if not place:
+                out.append(0)
+            out[-1] = (out[-1] + mix((h + mix(place)) & mask)) & mask
+        return np.array([mix(r) for r in out], "<u8").tobytes()
+
+    column, given = pa.array(rows, pa.string()), []
+    assert words.Words(column).hashes().tolist() == [word(t) for x in rows for t in (x or "").encode().lower().split()]
+    for at in (words, templates):
+        monkeypatch.setattr(at, "mix", lambda h, f=at.mix: given.append(len(h)) or f(h))
+    assert templates._runs(column) == [runs((x or "").encode().lower()) for x in rows]
+    assert sum(given) < 3 * len(words.Words(column).starts)
+
+
 def test_templates_independent_documents(spark):
     """Blank lines, inner lines of a block and lines of few documents count; near copies are one document."""
     rnd = random.Random(8)
