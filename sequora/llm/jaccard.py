@@ -238,16 +238,24 @@ def ordered_sets(blobs: DataFrame, per_cent: int, n_buckets: int) -> DataFrame:
 
 
 class Trie:
-    """Ordered sets along paths; links found so far are kept as labels of joined sets."""
+    """Ordered sets along paths; links found so far are kept as labels of joined sets.
 
-    def __init__(self, per_cent: int):
+    heads: the prefix of every set that will be added, in that order. Linked sets share a token of their prefixes, so a set
+    enters at the root's branches that hold such sets, not at all of them.
+    """
+
+    def __init__(self, per_cent: int, heads: list[np.ndarray]):
         self.t = per_cent
         self.nodes: list[list] = [[np.zeros(0, np.int64), {}, [], 1 << 60, 0, 0, -1, False]]
-        self.label = np.zeros(16, np.int64)
         self.members: dict[int, list[int]] = {}
         self.sets: list[np.ndarray] = []
-        self.n: list[int] = []
         self.edges: list[tuple[int, int]] = []
+        self.label, self.n, self.branch = (np.zeros(len(heads), np.int64) for _ in range(3))
+        tokens, of = np.concatenate([*heads, np.zeros(0, np.int64)]), np.repeat(np.arange(len(heads)), [len(x) for x in heads])
+        order = np.argsort(tokens, kind="stable")
+        # holders[at[t] : at[t] + stored[t]]: the sets stored so far whose prefix holds token t
+        self.heads, self.holders, self.at = heads, of[order], np.searchsorted(tokens[order], np.arange(tokens.max(initial=-1) + 1))
+        self.stored = np.zeros(len(self.at), np.int64)
 
     # a node: 0 its run of tokens, 1 children, 2 sets that end here, 3 and 4 least and most size of sets below,
     # 5 most tokens below it, 6 a set below, 7 whether sets below have several labels
@@ -265,18 +273,35 @@ class Trie:
             self.label[move] = x
             self.members[x] += move
 
+    def _entries(self, me: int, mark: np.ndarray) -> list[int]:
+        """The root's branches with sets that share a token of the prefix, aren't joined with this one and can reach the needed overlap."""
+        head, n, nodes = self.heads[me], int(self.n[me]), self.nodes
+        near = [self.holders[a : a + k] for a, k in zip(self.at[head].tolist(), self.stored[head].tolist(), strict=True) if k]
+        if not near:
+            return []
+        some = np.concatenate(near)
+        size = self.n[some]
+        some = some[(self.label[some] != self.label[me]) & (size * self.t <= 100 * n) & (n * self.t <= 100 * size)]
+        branches, out = np.unique(self.branch[some]).tolist(), []
+        for lo in range(0, len(branches), 4096):
+            part = branches[lo : lo + 4096]
+            runs = [nodes[c][0] for c in part]
+            length, least, below = (np.array(x) for x in ([len(x) for x in runs], [nodes[c][3] for c in part], [nodes[c][5] for c in part]))
+            got = np.add.reduceat(mark[np.concatenate(runs)], np.cumsum(length) - length, dtype=np.int64)
+            can = got + below >= -(-self.t * (n + least) // (100 + self.t))
+            out += [c for c, x in zip(part, can.tolist(), strict=True) if x]
+        return out
+
     def add(self, tokens: np.ndarray, n: int, mark: np.ndarray) -> None:
         """Links the set with those that are stored, then stores it. mark: zeros, as many as tokens in all."""
         me = len(self.sets)
-        if me >= len(self.label):
-            self.label = np.concatenate([self.label, np.zeros(len(self.label), np.int64)])
-        self.label[me] = me
+        self.label[me], self.n[me] = me, n
         self.members[me] = [me]
         mark[tokens] = 1
         for o in [own[0] for own in islice(self.members.values(), 8)]:  # the trie finds the rest
             if self.label[o] != self.label[me] and int(mark[self.sets[o]].sum()) >= self.need(n, self.n[o]):
                 self.join(me, o)
-        todo = [(0, 0)] if me else []
+        todo = [(c, 0) for c in self._entries(me, mark)]
         nodes = self.nodes
         while todo:
             at, got = todo.pop()
@@ -300,8 +325,9 @@ class Trie:
                 todo += [(c, got) for c in children.values()]
         mark[tokens] = 0
         self.sets.append(tokens)
-        self.n.append(n)
         self._store(me, tokens, n)
+        self.branch[me] = self.nodes[0][1][int(tokens[0])]
+        self.stored[self.heads[me]] += 1
 
     def _store(self, me: int, tokens: np.ndarray, n: int) -> None:
         nodes, at, pos = self.nodes, 0, 0
@@ -339,11 +365,12 @@ def trie_edges(rows: list[tuple[int, int, bytes, bytes]], per_cent: int) -> list
     u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
     rank = np.empty(len(u), np.int64)
     rank[np.lexsort((u, k[first]))] = np.arange(len(u))
-    ranks, at, mark, trie = rank[inverse], 0, np.zeros(len(u), np.uint8), Trie(per_cent)
-    for r in rows:
-        m = len(r[2]) // 8
-        trie.add(np.sort(ranks[at : at + m]), r[1], mark)
-        at += m
+    ranks, mark = rank[inverse], np.zeros(len(u), np.uint8)
+    cuts = np.cumsum([len(r[2]) // 8 for r in rows])[:-1]
+    sets = [np.sort(x) for x in np.split(ranks, cuts)]
+    trie = Trie(per_cent, [x[: prefix_length(r[1], per_cent) - (r[1] - len(x))] for x, r in zip(sets, rows, strict=True)])
+    for x, r in zip(sets, rows, strict=True):
+        trie.add(x, r[1], mark)
     return [(rows[a][0], rows[b][0]) for a, b in trie.edges]
 
 

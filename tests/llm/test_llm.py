@@ -94,6 +94,57 @@ def test_jaccard_blocks(spark, monkeypatch):
         assert sorted(((r.id, r.n_shingles, r.component_id) for r in jaccard.near_components(df).collect()), key=str) == want
 
 
+def trie_rows(sets):
+    """Rows of trie_edges: sets of numbers, each number once in its order by how many sets hold it."""
+    count = Counter(x for s in sets for x in s)
+    rows = []
+    for i, s in enumerate(sets):
+        h = np.array(sorted((x for x in s if count[x] > 1), key=lambda x: (count[x], x)), "<u8")
+        rows.append((i, len(s), h.tobytes(), np.array([count[x] for x in h.tolist()], np.int32).tobytes()))
+    return [r for r in rows if len(r[2]) // 8 - -(-75 * r[1] // 100) + 1 > 0]
+
+
+def test_jaccard_trie_links():
+    """Families of sets that grow apart, with numbers of their own and common ones: joined as all pairs say."""
+    rnd = random.Random(7)
+    for _ in range(60):
+        sets = []
+        for _ in range(rnd.randrange(1, 6)):
+            base = rnd.sample(range(200), rnd.choice((1, 2, 4, 9, 30)))
+            for _ in range(rnd.randrange(1, 12)):
+                sets.append(frozenset(rnd.randrange(200) if rnd.random() < 0.12 else x for x in base) | {rnd.randrange(1000, 10**6) for _ in range(rnd.randrange(3))})
+        sets = sorted(set(sets), key=sorted)
+        label = list(range(len(sets)))
+        for a in range(len(sets)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    label = [label[b] if x == label[a] else x for x in label]
+        got, edges = list(range(len(sets))), jaccard.trie_edges(rows, 75) if (rows := trie_rows(sets)) else []
+        for a, b in edges:
+            got = [got[b] if x == got[a] else x for x in got]
+        assert [label.index(x) for x in label] == [got.index(x) for x in got]
+
+
+def test_jaccard_trie_of_a_chain(monkeypatch):
+    """Sets that share a number with two others each, which makes them one candidate component, meet those only, not all others."""
+    asked, need = [0], jaccard.Trie.need
+
+    def counted(self, a, b):
+        asked[0] += 1
+        return need(self, a, b)
+
+    monkeypatch.setattr(jaccard.Trie, "need", counted)
+    n = 1500
+    sets = [frozenset([i, i + 1, *range(10_000 + i % 4 * 9, 10_000 + i % 4 * 9 + 9)]) for i in range(n)]
+    edges = jaccard.trie_edges(trie_rows(sets), 60)
+    assert len({b for e in edges for b in e}) == n and len(edges) == n - 4
+    asked[0] = 0
+    apart = [frozenset([i, i + 1, *range(10_000 + 9 * i, 10_007 + 9 * i)]) for i in range(n)]
+    twice = [*apart, *(s | {10**6 + i, 10**7} for i, s in enumerate(apart))]
+    assert len(jaccard.trie_edges(trie_rows(twice), 75)) == n
+    assert asked[0] < 100 * n
+
+
 def test_jaccard_table(spark):
     rows = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text").collect()
     got = sorted(map(tuple, jaccard.op8_jaccard(spark, D).collect()), key=str)
